@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, sentencepieces, toxicity
+from . import chat_format, line_dedup, mixing, near_dedup, secret_scan, sentencepieces, tiff_media, toxicity, url_filter, vector_topk
 from .common import table
 
 
@@ -21,6 +21,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat(table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,9 +45,40 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_toxicity, op5_mixing, op6_sentencepiece, op7_near_dedup)}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = url_filter.labels_of(table(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels)
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff_media.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"), 10, "vec_id % 100 = 0")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_secret_scan,
+        op3_chat_format,
+        op4_toxicity,
+        op5_mixing,
+        op6_sentencepiece,
+        op7_near_dedup,
+        op8_url_filter,
+        op9_tiff,
+        op10_exact_topk,
+    )
+}
 
+#: op2, op4, op6, op7, op8 and op9 have no SQL (test batteries, trained scores, Viterbi, shingle links of whole texts,
+#: mined rules, file formats); tests hold them against brute-force versions.
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op3_chat_format": chat_format.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op10_exact_topk": vector_topk.ORACLE,
 }
