@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode(docs, tokenizer_path(), [c for c in docs.columns if c not in ("text", "n_chars")])
+    return sentencepieces.encode(docs, tokenizer_path(), [c for c in docs.columns if c not in ("text", "n_chars", "ids", "n_tokens")])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -42,8 +42,8 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     return common.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with `text` cleaned, and two more columns: n_lines and n_dropped (long)."""
+def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """pages with `text` cleaned and, with `counts`, two more columns: n_lines and n_dropped (long)."""
     found = settle(boilerplate(pages, host, text, ratio, min_pages).withColumnRenamed("host", "_host").withColumnRenamed("lines", "_drop"))
     held = found.agg(F.coalesce(F.sum(F.size("_drop") + 1), F.lit(0))).first()[0]
     same = F.col(host).eqNullSafe(F.col("_host"))
@@ -60,11 +60,11 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
     n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(n).cast("long")
     n_dropped = F.when(F.col("_lines").isNull(), 0).otherwise(n - F.size("_kept")).cast("long")
     cleaned = [F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in pages.columns]
-    return joined.select(*cleaned, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    return joined.select(*cleaned, *[n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] * counts)
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    return drop_boilerplate(docs, "source", "text").select(*docs.columns)
+    return drop_boilerplate(docs, "source", "text", counts=False)
 
 
 ORACLE = f"""

@@ -1,10 +1,15 @@
 """MinHash near-duplicate grouping.
 
 One-permutation hashing with optimal densification gives each distinct shingle set a signature; banded
-buckets propose candidates as stars around a bucket's smallest member, so a bucket of n members gives n - 1
-pairs; every link is confirmed on the full shingle sets of the whole texts. Buckets that still hold several
-components then get further centres, twice as many each round, until each member outside the first centre's
-component has been one: no link inside a bucket goes untested, whatever the bucket's size.
+buckets propose candidates as stars around a bucket's centre, so a bucket of n members gives n - 1 pairs. The
+centre is the member whose buckets are the fullest over all bands: the text that a family of near copies was made
+from, or the one nearest to it, rather than any member. Every link is confirmed on the full shingle sets of the
+whole texts.
+
+A bucket whose members end up in several components may hide links between members other than the centre. If
+it is small (at most SMALL members, so that pairs stay a fixed multiple of the members), all its pairs between
+different components are confirmed too. Members of larger ones are hashed again with longer, more numerous
+bands, which tell near from nearest, and go through the same two steps.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; fewer than SHINGLE words form
 one shingle; rows that repeat a doc_id are one document and share its component; a row whose doc_id is null
@@ -23,12 +28,14 @@ from .common import discard, mix64, runs_of, settle, small, text_bytes
 
 SHINGLE = 5
 BINS = 192
-ROWS = 6
+#: (bands, bins a band) of each level. A link of similarity 0.85 is missed by all bands of a level with a chance of
+#: (1 - 0.85**rows)**bands: below one in a million.
+LEVELS = ((32, 6), (96, 12))
+SMALL = 16
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 85
 #: Bytes of text hashed at once: the working arrays of a run stay near the CPU's caches.
 RUN_BYTES = 1 << 20
-FIRST_CENTRES = 8
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -100,8 +107,9 @@ def _probes() -> np.ndarray:
     return _POWERS["probes"]
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A (documents, BINS / ROWS) array of bucket keys; all sets must have members."""
+def band_keys(sets: list[np.ndarray], level: int) -> np.ndarray:
+    """A (documents, bands) array of bucket keys; all sets must have members."""
+    bands, rows = LEVELS[level]
     n, sizes = len(sets), np.array([len(s) for s in sets])
     everything = np.concatenate(sets)
     cell = np.repeat(np.arange(n), sizes) * BINS + ((everything >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
@@ -120,11 +128,13 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
         empty, row, column = empty[~hit], row[~hit], column[~hit]
     for e, r in zip(empty.tolist(), row.tolist()):
         out[e] = signature[r : r + BINS][filled[r : r + BINS]][0]
-    out = out.reshape(n, BINS // ROWS, ROWS)
+    out = out.reshape(n, BINS)
+    # The first level cuts the signature into bands; later ones draw bins, so that bands overlap.
+    drawn = np.arange(BINS).reshape(bands, rows) if bands * rows == BINS else np.random.default_rng(level).permuted(np.tile(np.arange(BINS), (bands, 1)), axis=1)[:, :rows]
     with np.errstate(over="ignore"):
-        keys = np.tile(np.arange(1, BINS // ROWS + 1, dtype=np.uint64) * _P, (n, 1))
-        for k in range(ROWS):
-            keys = mix64(keys * _Q + out[:, :, k])
+        keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _P + np.uint64(level), (n, 1))
+        for k in range(rows):
+            keys = mix64(keys * _Q + out[:, drawn[:, k]])
     return keys
 
 
@@ -137,14 +147,14 @@ def _sketch(batches):
             sizes = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(sizes)
             d = np.zeros((2, b - a), np.uint64)
-            keys = np.zeros((0, BINS // ROWS), np.uint64)
+            keys = np.zeros((0, LEVELS[0][0]), np.uint64)
             if len(some):
                 filled = [sets[i] for i in some]
                 everything, at = np.concatenate(filled), np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
                 with np.errstate(over="ignore"):
                     d[0, some] = np.add.reduceat(mix64(everything + _P), at)
                     d[1, some] = np.add.reduceat(mix64(everything ^ _Q), at)
-                keys = band_keys(filled)
+                keys = band_keys(filled, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((sizes > 0) * keys.shape[1]))), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists], names)
 
@@ -207,46 +217,86 @@ def components(links: DataFrame) -> DataFrame:
         discard(after)
 
 
+def _again(level: int):
+    """(id, n_shingles, keys) of a later level, for texts that have shingles."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in runs_of(offsets, RUN_BYTES):
+                sets = shingle_sets(data, offsets[a : b + 1])
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if not some:
+                    continue
+                keys = band_keys([sets[i] for i in some], level)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int64()), lists], ["id", "n_shingles", "keys"])
+
+    return run
+
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """(key, id, n_shingles, size, full) of buckets with more than one member; full: how full a member's buckets are."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    held = settle(members.join(sizes, "key"))
+    out = settle(held.join(held.groupBy("id").agg(F.sum("size").alias("full")), "id").select("key", "id", "n_shingles", "size", "full"))
+    discard(held)
+    return out
+
+
+def _near_size():
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(a, b, a < b) between each bucket's centre and its other members."""
+    centre = buckets.groupBy("key").agg(F.max(F.struct("full", (-F.col("id")).alias("i"), F.col("n_shingles").alias("nb"))).alias("c")).select("key", (-F.col("c.i")).alias("c"), "c.nb")
+    pairs = buckets.withColumnRenamed("n_shingles", "na").join(centre, "key").where((F.col("id") != F.col("c")) & _near_size())
+    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that hold several components."""
+    named = settle(buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return settle(named.join(keys, "key").select("key", "id", "n_shingles", "size", "label"))
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """(a, b, a < b) of the pairs between components in small buckets."""
+    few = mixed.where(F.col("size") <= SMALL)
+    left = few.select("key", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
+    right = few.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"))
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near_size()).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = settle(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     some = sketches.where("n_shingles > 0 and doc_id is not null")
-    sets = settle(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    members = sets.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    stars = settle(members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1"))
-    buckets = settle(members.join(stars.select("key", "centre"), "key").select("key", "centre", F.col("rep").alias("id"), "n_shingles"))
-    near_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    sizes = buckets.groupBy(F.col("id").alias("centre")).agg(F.first("n_shingles").alias("nb"))
-    pairs = buckets.where("id <> centre").groupBy("id", "centre").agg(F.first("n_shingles").alias("na")).join(sizes, "centre").where(near_size)
-    pairs = settle(pairs.select(F.col("id").alias("a"), F.col("centre").alias("b")))
-    tested = settle(confirm(pairs, texts))
-    discard(pairs, stars)
-    labels = components(tested.where("ok"))
-    done, centres = None, FIRST_CENTRES
-    while True:
-        named = buckets.join(labels, "id", "left").select("key", "id", "n_shingles", F.coalesce("label", "id").alias("label"), (F.col("id") == F.col("centre")).alias("first"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col("first"), F.col("label"))).alias("main")).where("lo <> hi")
-        open_ = settle(named.join(mixed.select("key", "main"), "key"))
-        rest = open_.where("label <> main")
-        if done is not None:
-            rest = rest.join(done, ["key", "id"], "left_anti")
-        chosen = settle(rest.groupBy("key", F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres)).alias("slot")).agg(F.min(F.struct("id", "n_shingles", "label")).alias("c")).select("key", "c.*"))
-        if chosen.limit(1).count() == 0:
+    sets = settle(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
+    members = sets.select("id", "n_shingles", F.explode("keys").alias("key"))
+    tested = labels = None
+    for level in range(len(LEVELS)):
+        buckets = _buckets(members)
+        for step in ("stars", "across"):
+            if step == "across":
+                mixed = _mixed(buckets, labels)
+            pairs = _stars(buckets) if step == "stars" else _across(mixed)
+            pairs = settle(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti") if tested is not None else pairs)
+            found = settle(confirm(pairs, texts))
+            discard(pairs)
+            news = labels is None or found.where("ok").limit(1).count()
+            tested = settle(tested.union(found)) if tested is not None else found
+            if news:
+                labels = components(tested.where("ok"))
+        crowded = settle(mixed.where(F.col("size") > SMALL).select(F.col("id").alias("doc_id")).distinct())
+        if level + 1 == len(LEVELS) or not crowded.limit(1).count():
             break
-        done = chosen.select("key", "id") if done is None else settle(done.union(chosen.select("key", "id")))
-        other = chosen.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"))
-        pairs = open_.join(other, "key").where(F.col("label") != F.col("lb")).withColumnRenamed("n_shingles", "na").where(near_size)
-        pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        was = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = settle(pairs.join(was, ["a", "b"], "left_anti"))
-        found = settle(confirm(pairs, texts))
-        tested = settle(tested.union(found))
-        if found.where("ok").limit(1).count():
-            labels = components(tested.where("ok"))
-        discard(open_, pairs)
-        centres *= 2
-    of_sets = settle(sets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "rep").alias("label")))
+        again = texts.join(small(crowded), "doc_id", "left_semi").mapInArrow(_again(level + 1), "id long, n_shingles long, keys array<long>")
+        members = settle(again.select("id", "n_shingles", F.explode("keys").alias("key")))
+    of_sets = settle(sets.join(labels, "id", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "id").alias("label")))
     out = sketches.drop("keys").join(of_sets, ["n_shingles", "d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("label"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Patterns give the base spans (assign, access, hex). The battery looks at every other run of 20 or more characters
-of the base64 alphabets that holds a digit and a letter, infers the run's encoding (hex, base32, base62 or
-base64) and tests it as a draw of uniform symbols: chi-squared of the symbol counts, runs above and below the
+of the base64 alphabets that holds a digit and a letter, infers the run's encoding (hex, base32, base36, base62
+or base64) and tests it as a draw of uniform symbols: chi-squared of the symbol counts, runs above and below the
 alphabet's middle, and serial correlation. A run that fails none of these is consistent with a random key. How
 surely it isn't ordinary text is a second question, whose answer depends on its length: ordinary text repeats
 symbols, so the number of equal pairs of symbols has a lower tail under an alphabet with the collision rate of text.
@@ -33,7 +33,7 @@ ASSIGN = (
 )
 ASSIGN_VALUE, ACCESS, HEX = 6, r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-ENCODINGS, LENGTHS = 4, 12
+ENCODINGS, LENGTHS = 5, 12
 #: Chance that a random run fails one of the three tests, and the false-discovery rate.
 FAIL, RATE = 0.001, 0.01
 #: Collision rate of text, and how many times the uniform rate it is at least taken to be.
@@ -63,7 +63,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def _encoding(token: Column) -> Column:
-    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 0).when(token.rlike("^[A-Z2-7]+$"), 1).when(token.rlike("^[A-Za-z0-9]+$"), 2).otherwise(3)
+    return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 0).when(token.rlike("^[A-Z2-7]+$"), 1).when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 2).when(token.rlike("^[A-Za-z0-9]+$"), 3).otherwise(4)
 
 
 def normal_tail(z: Column) -> Column:
@@ -81,10 +81,10 @@ def battery(token: Column) -> Column:
     """struct<stratum, bin, random>: the stratum of encoding and length class, the histogram bin of how unlike text
     the token is, and whether no randomness test rejects it."""
     encoding = _encoding(token)
-    size = F.when(encoding == 0, 16.0).when(encoding == 1, 32.0).when(encoding == 2, 62.0).otherwise(64.0)
+    size = F.when(encoding == 0, 16.0).when(encoding == 1, 32.0).when(encoding == 2, 36.0).when(encoding == 3, 62.0).otherwise(64.0)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    alphabet = F.when(encoding == 0, F.lit(digits + "abcdef")).when(encoding == 1, F.lit(upper + "234567")).when(encoding == 2, F.lit(upper + lower + digits)).otherwise(F.lit(upper + lower + digits + "+/"))
-    plain = F.when(encoding == 0, F.lower(token)).when(encoding == 3, F.translate(token, "-_", "+/")).otherwise(token)
+    alphabet = F.when(encoding == 0, F.lit(digits + "abcdef")).when(encoding == 1, F.lit(upper + "234567")).when(encoding == 2, F.lit(digits + lower)).when(encoding == 3, F.lit(upper + lower + digits)).otherwise(F.lit(upper + lower + digits + "+/"))
+    plain = F.when(encoding.isin(0, 2), F.lower(token)).when(encoding == 4, F.translate(token, "-_", "+/")).otherwise(token)
     made = F.array(F.struct(encoding.alias("e"), size.alias("k"), alphabet.alias("a"), plain.alias("t"), F.length(token).cast("double").alias("n")))
 
     def sums(x):

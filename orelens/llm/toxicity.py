@@ -152,7 +152,7 @@ def prior_of(index, stems: dict[str, float], size: int):
     return np.array([1 / (1 + math.exp(-stems.get(s[: shorter[0]], 0.0))) for s in index])
 
 
-def _scanner(model, text_at: int, keep: list[str] | None):
+def _scanner(model, text_at: int, keep: list[str] | None, prefix: str = ""):
     """Segments' raw scores of each row for the fit (keep None); else the columns to keep and the score."""
 
     def scan(batches):
@@ -168,7 +168,7 @@ def _scanner(model, text_at: int, keep: list[str] | None):
             evidence = [m.evidence(n, f) for n, f, _ in rows]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(len(keep))), pa.array([m.score(e) for e in evidence]), pa.array(evidence, pa.float64()), pa.array(passages, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("log_expect", pa.float64())])))],
-                [*keep, "score", "evidence", "passages"],
+                [*keep, *(prefix + c for c in ("score", "evidence", "passages"))],
             )
 
     return scan
@@ -231,13 +231,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), max(0.0, float(b[1]))
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns `keep` of each row of docs, and score, evidence and passages (code points)."""
+def score(docs: DataFrame, model: Model, *keep: str, prefix: str = "") -> DataFrame:
+    """The columns `keep` of each row of docs, and score, evidence and passages (code points), their names prefixed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     read = docs.select(*keep, *["text"] * ("text" not in keep))
     kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
-    scan = _scanner(shared, read.columns.index("text"), list(keep))
-    return read.mapInArrow(scan, f"{kinds}, score double, evidence double, passages array<struct<start:int,end:int,log_expect:double>>")
+    scan = _scanner(shared, read.columns.index("text"), list(keep), prefix)
+    return read.mapInArrow(scan, f"{kinds}, {prefix}score double, {prefix}evidence double, {prefix}passages array<struct<start:int,end:int,log_expect:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,4 +247,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score THRESHOLD or more."""
-    return score(docs, fit(docs, labels), *docs.columns).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    scored = score(docs, fit(docs, labels), *docs.columns, prefix="_found_")
+    return scored.where(F.col("_found_score") < THRESHOLD).select(*docs.columns)
