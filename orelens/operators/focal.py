@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import along_col, along_row, inside, neighbours, pad
+from .grid import along_col, along_row, inside, pad
 from .preprocess import _odd, box_sums
 
 
@@ -39,29 +39,34 @@ def roughness(pixels: DataFrame, slope: str, height: int, width: int) -> DataFra
     return inside(sums, height, width).withColumn("roughness_proxy", F.when(F.col(slope).isNotNull(), spread)).drop("_n", "_s", "_q")
 
 
-def _medians(classes: DataFrame, cls: str, k: int, height: int, width: int, nodata: int) -> DataFrame:
-    """(row, col, median) of k x k cells; invalid cells take part as `nodata`, borders repeat the edge (symmetric)."""
-    filled = classes.select("row", "col", F.coalesce(F.col(cls), F.lit(nodata)).cast("int").alias("v"))
-    seen = neighbours(filled, height, width, _odd(k), ["v"], "symmetric")
-    # Counts by class instead of lists: a cell needs as many as there are classes around it, whatever k is.
-    counts = seen.groupBy("row", "col", "v").agg(F.count("*").alias("n"))
-    lists = counts.groupBy("row", "col").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"))
-    half = k * k // 2
-    zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("int").alias("at"))
-    median = F.aggregate("h", zero, lambda acc, x: F.struct((acc["upto"] + x["n"]).alias("upto"), F.when(acc["at"].isNull() & (acc["upto"] + x["n"] > half), x["v"]).otherwise(acc["at"]).alias("at")), lambda acc: acc["at"])
-    return lists.select("row", "col", median.alias("median"))
+def _with_median(classes: DataFrame, cls: str, k: int, height: int, width: int, nodata: int, values: list[int] | None) -> DataFrame:
+    """classes with `_median` of k x k cells; invalid cells take part as `nodata`, borders repeat the edge (symmetric).
 
+    A class map has few values, so the median is where the running votes pass the half: box sums of one indicator a
+    value, whose cost doesn't depend on k, and no list of neighbours is ever built.
+    """
+    values = sorted({nodata, *(class_values(classes, cls) if values is None else values)})
+    own = F.coalesce(F.col(cls).cast("int"), F.lit(nodata))
+    votes = {f"_v{i}": F.when(own == v, 1).otherwise(0) for i, v in enumerate(values)}
+    sums = inside(box_sums(pad(classes, height, width, _odd(k) // 2, "symmetric"), votes, k), height, width)
+    upto, median = F.lit(0), None
+    for i, v in enumerate(values):
+        upto = upto + F.col(f"_v{i}")
+        reached = upto > k * k // 2
+        median = F.when(reached, v) if median is None else median.when(reached, v)
+    return sums.withColumn("_median", median).drop(*votes)
 
-def median_smooth(classes: DataFrame, cls: str, height: int, width: int, k: int = 3, nodata: int = -1) -> DataFrame:
-    out = classes.join(_medians(classes, cls, k, height, width, nodata), ["row", "col"])
-    return out.withColumn(cls, F.when(F.col(cls).isNotNull(), F.col("median"))).drop("median")
 
+def median_smooth(classes: DataFrame, cls: str, height: int, width: int, k: int = 3, nodata: int = -1, values: list[int] | None = None) -> DataFrame:
+    out = _with_median(classes, cls, k, height, width, nodata, values)
+    return out.withColumn(cls, F.when(F.col(cls).isNotNull(), F.col("_median"))).drop("_median")
 
-def confidence_filter(classes: DataFrame, cls: str, conf: str, height: int, width: int, threshold: float = 0.6, k: int = 5, nodata: int = -1) -> DataFrame:
+
+def confidence_filter(classes: DataFrame, cls: str, conf: str, height: int, width: int, threshold: float = 0.6, k: int = 5, nodata: int = -1, values: list[int] | None = None) -> DataFrame:
     """Classes of low confidence take the median of the original classes around them."""
     doubtful = F.col(cls).isNotNull() & (F.col(conf) >= 0) & (F.col(conf) < threshold)
-    out = classes.join(_medians(classes, cls, k, height, width, nodata), ["row", "col"])
-    return out.withColumn(cls, F.when(doubtful, F.col("median")).otherwise(F.col(cls))).drop("median")
+    out = _with_median(classes, cls, k, height, width, nodata, values)
+    return out.withColumn(cls, F.when(doubtful, F.col("_median")).otherwise(F.col(cls))).drop("_median")
 
 
 def class_values(classes: DataFrame, cls: str) -> list[int]:

@@ -92,18 +92,6 @@ def inside(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return pixels.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
 
 
-def neighbours(pixels: DataFrame, height: int, width: int, k: int, values: list[str], mode: str) -> DataFrame:
-    """(row, col, and each of `values` of the k*k cells around): a narrow halo exchange for rank filters.
-
-    Each cell is sent to the k*k cells that see it; the mirror images at the border are the sender's own matter.
-    """
-    p = k // 2
-    sent = pad(pixels.select("row", "col", *values), height, width, p, mode)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-p, p + 1) for j in range(-p, p + 1)])
-    spread = sent.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), *values)
-    return inside(spread, height, width)
-
-
 def overview(pixels: DataFrame, height: int, width: int, bands: list[str], most: int = 512) -> DataFrame:
     """A thumbnail whose longer side has `most` pixels, by averages; smaller rasters are enlarged by repetition."""
     scale = most / max(height, width)

@@ -86,12 +86,12 @@ def postprocess_chain(pixels: DataFrame, raster: Raster, cfg: Mapping[str, Any],
         return True
 
     def smooth(k, method):
-        return lambda x: focal.median_smooth(x, cls, h, w, k) if method == "median" else focal.majority_smooth(x, cls, h, w, k, values)
+        return lambda x: focal.median_smooth(x, cls, h, w, k, values=values) if method == "median" else focal.majority_smooth(x, cls, h, w, k, values)
 
     plan: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
     if not (own and own["skip_confidence"]):
         k = own["conf_filter_size"] if own else 5
-        plan.append(("confidence_filter", lambda x: focal.confidence_filter(x, cls, conf, h, w, float(cfg.get("confidence_threshold", 0.6)), k)))
+        plan.append(("confidence_filter", lambda x: focal.confidence_filter(x, cls, conf, h, w, float(cfg.get("confidence_threshold", 0.6)), k, values=values)))
     if own:
         plan += [(f"smooth_pass_{i}", smooth(p["kernel"], p["method"])) for i, p in enumerate(own["smooth_passes"])]
     else:

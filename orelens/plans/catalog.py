@@ -84,12 +84,12 @@ def sar_ratio_db(spark, sf_dir):
     return g.bands(spark, sf_dir).select("row", "col", r6(ix.sar_ratio(F.col("vv"), F.col("vh"), True), "value"))
 
 
-@query(f"WITH {g.BANDS_SQL} SELECT row, col, round((nir - red) / nullif(nir + red, 0), 6) AS v, round(2.0 * green - red - blue, 6) AS x FROM b WHERE red > 0.4")
+@query(f"WITH {g.BANDS_SQL} SELECT row, col, round((nir - red) / nullif(nir + red, 0), 6) AS v, round(2.0 * green - red - blue, 6) AS x FROM b")
 def sql_functions(spark, sf_dir):
     """Indices called from SQL text."""
     ix.register_sql_functions(spark)
     g.bands(spark, sf_dir).createOrReplaceTempView("orelens_bands")
-    return spark.sql("SELECT row, col, round(ndvi(nir, red), 6) AS v, round(exg(green, red, blue), 6) AS x FROM orelens_bands WHERE red > 0.4")
+    return spark.sql("SELECT row, col, round(ndvi(nir, red), 6) AS v, round(exg(green, red, blue), 6) AS x FROM orelens_bands")
 
 
 @query(f"WITH {g.BANDS_SQL} SELECT row, col, round(coalesce((nir - red) / nullif(nir - red, 0), -1.0), 6) AS value FROM b")
@@ -185,17 +185,19 @@ def imbalance(spark, sf_dir):
 
 
 _DRIFT_SQL = f"""{g.CLASSES_SQL},
-  now AS (SELECT cls AS class_id, count(*) * 0.01 AS area_ha FROM c WHERE cls IS NOT NULL AND row % 2 = 0 GROUP BY cls),
-  was AS (SELECT cls AS class_id, CASE WHEN cls = 2 THEN 0 ELSE count(*) * 0.01 END AS area_ha FROM c WHERE cls IS NOT NULL AND row % 2 = 1 GROUP BY cls)"""
+  now AS (SELECT cls AS class_id, count(*) * 0.01 AS area_ha FROM c WHERE cls IS NOT NULL GROUP BY cls),
+  was AS (SELECT class_id, CASE WHEN class_id = 2 THEN 0 ELSE count(*) * 0.01 END AS area_ha FROM (SELECT CASE WHEN conf < 0.1 THEN cls % 3 + 1 ELSE cls END AS class_id FROM c WHERE cls IS NOT NULL) GROUP BY class_id)"""
 
 
 @query(f"""WITH {_DRIFT_SQL}, j AS (SELECT class_id, now.area_ha AS n, was.area_ha AS w FROM now JOIN was USING (class_id)),
   p AS (SELECT class_id, round(CASE WHEN w <> 0 THEN (n - w) / w * 100 WHEN n = 0 THEN 0 END, 6) AS pct_change, w = 0 AND n > 0 AS is_new FROM j)
-  SELECT *, is_new OR coalesce(abs(pct_change) >= 2.0, false) AS flagged FROM p""")
+  SELECT *, is_new OR coalesce(abs(pct_change) >= 20.0, false) AS flagged FROM p""")
 def drift(spark, sf_dir):
-    c = g.classes(spark, sf_dir)
-    now, was = (stats.class_areas(c.where(F.col("row") % 2 == k), "cls", g.RES) for k in (0, 1))
-    return rounded(stats.drift(now, was.withColumn("area_ha", F.when(F.col("class_id") == 2, 0.0).otherwise(F.col("area_ha"))), 2.0))
+    """Against an earlier run in which doubtful pixels had other classes and one class had no area."""
+    now = g.classes(spark, sf_dir)
+    then = now.withColumn("cls", F.when(F.col("conf") < 0.1, F.col("cls") % 3 + 1).otherwise(F.col("cls")))
+    was = stats.class_areas(then, "cls", g.RES).withColumn("area_ha", F.when(F.col("class_id") == 2, 0.0).otherwise(F.col("area_ha")))
+    return rounded(stats.drift(stats.class_areas(now, "cls", g.RES), was))
 
 
 @query("SELECT CAST(s_suppkey AS BIGINT) AS id, round(s_acctbal * s_acctbal * 0.01, 6) AS hectares FROM supplier")
@@ -701,22 +703,25 @@ def _polygons(spark) -> DataFrame:
     return spark.createDataFrame(list(_POLYGONS), "poly_id int, class_id int, rings array<array<struct<x:double,y:double>>>")
 
 
-_GEOM = Raster(g.BAND_WIDTH, 20, 1.0, 0.0, 0.0, 32633)
+def _polygon_pixels(spark, sf_dir, most: int = 0) -> DataFrame:
+    raster = Raster(g.BAND_WIDTH, g.height(spark, sf_dir, "embeddings", g.BAND_WIDTH), 1.0, 0.0, 0.0, 32633)
+    return sampling.extract_from_polygons(g.bands(spark, sf_dir), _polygons(spark), ["red", "nir"], raster, most)
+
+
 _EDGE_ROWS = ", ".join(f"({p}, {c}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for p, c, rings in _POLYGONS for ring in rings for a, b in zip(ring, ring[1:]))
 _POLYGON_SQL = f"""{g.BANDS_SQL}, e AS (SELECT * FROM (VALUES {_EDGE_ROWS}) v(poly_id, class_id, x1, y1, x2, y2)),
   i AS (SELECT poly_id, class_id, row, col, count(*) FILTER ((y1 > -(row + 0.5)) <> (y2 > -(row + 0.5)) AND col + 0.5 < (x2 - x1) * (-(row + 0.5) - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS inside
-        FROM b, e WHERE red IS NOT NULL AND row < 20 GROUP BY 1, 2, 3, 4)"""
+        FROM b, e WHERE red IS NOT NULL GROUP BY 1, 2, 3, 4)"""
 
 
 @query(f"WITH {_POLYGON_SQL} SELECT poly_id, row, col, class_id AS label FROM i WHERE inside")
 def polygon_sample(spark, sf_dir):
-    return sampling.extract_from_polygons(g.bands(spark, sf_dir).where("row < 20"), _polygons(spark), ["red", "nir"], _GEOM).select("poly_id", "row", "col", "label")
+    return _polygon_pixels(spark, sf_dir).select("poly_id", "row", "col", "label")
 
 
 @query(f"WITH {_POLYGON_SQL} SELECT poly_id, least(count(*), 10) AS n FROM i WHERE inside GROUP BY poly_id")
 def per_polygon_cap(spark, sf_dir):
-    out = sampling.extract_from_polygons(g.bands(spark, sf_dir).where("row < 20"), _polygons(spark), ["red", "nir"], _GEOM, 10)
-    return out.groupBy("poly_id").agg(F.count("*").alias("n"))
+    return _polygon_pixels(spark, sf_dir, 10).groupBy("poly_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 0.0::DOUBLE AS \"left\", -20.0::DOUBLE AS bottom, 20.0::DOUBLE AS \"right\", -1.0::DOUBLE AS top, [1, 2, 3] AS class_labels")
@@ -744,40 +749,33 @@ def stratified_subsample(spark, sf_dir):
 
 # --- components and the chain ----------------------------------------------------------------------------------
 
-_COARSE_SQL = f"""{g.CLASSES_SQL}, k AS (SELECT row, col, CASE WHEN cls IS NOT NULL THEN CASE WHEN cls <= 2 THEN 1 WHEN cls <= 4 THEN 2 ELSE 3 END END AS cls FROM c WHERE row < 30 AND col < 40)"""
-
-
-def _coarse(spark, sf_dir) -> DataFrame:
-    c = g.classes(spark, sf_dir).where("row < 30 and col < 40")
-    return c.select("row", "col", F.when(F.col("cls").isNotNull(), F.when(F.col("cls") <= 2, 1).when(F.col("cls") <= 4, 2).otherwise(3)).alias("cls"))
-
-
 def _component_sql(eight: bool) -> str:
-    near = "abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1" if eight else "abs(a.row - b.row) + abs(a.col - b.col) <= 1"
-    return f"""WITH RECURSIVE {_COARSE_SQL}, cell AS (SELECT row * 40 + col AS id, row, col, cls FROM k WHERE cls IS NOT NULL),
-      link AS (SELECT a.id AS a, b.id AS b FROM cell a JOIN cell b ON a.cls = b.cls AND {near}),
+    near = "true" if eight else "abs(i) + abs(j) <= 1"
+    return f"""WITH RECURSIVE {g.CLASSES_SQL}, cell AS (SELECT row * {g.CLASS_WIDTH} + col AS id, row, col, cls FROM c WHERE cls IS NOT NULL),
+      step AS (SELECT i, j FROM range(-1, 2) x(i), range(-1, 2) y(j) WHERE {near}),
+      link AS (SELECT a.id AS a, b.id AS b FROM cell a JOIN step ON true JOIN cell b ON b.row = a.row + i AND b.col = a.col + j AND a.cls = b.cls),
       reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
       comp AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY a)"""
 
 
 @query(_component_sql(False) + " SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(cls AS BIGINT) AS cls, CAST(label AS BIGINT) AS label FROM cell JOIN comp USING (id)")
 def components_4(spark, sf_dir):
-    return components.label_components(_coarse(spark, sf_dir), "cls", 40, 4, 8)
+    return components.label_components(g.classes(spark, sf_dir), "cls", g.CLASS_WIDTH, 4, 32)
 
 
 @query(_component_sql(True) + " SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(cls AS BIGINT) AS cls, CAST(label AS BIGINT) AS label FROM cell JOIN comp USING (id)")
 def components_8(spark, sf_dir):
-    return components.label_components(_coarse(spark, sf_dir), "cls", 40, 8, 8)
+    return components.label_components(g.classes(spark, sf_dir), "cls", g.CLASS_WIDTH, 8, 32)
 
 
 @query(_component_sql(False) + """, size AS (SELECT label, count(*) AS n, any_value(cls) AS cls FROM comp JOIN cell USING (id) GROUP BY label),
-  touch AS (SELECT DISTINCT x.label AS a, y.label AS b FROM cell a JOIN cell b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 JOIN comp x ON x.id = a.id JOIN comp y ON y.id = b.id WHERE x.label <> y.label),
+  touch AS (SELECT DISTINCT x.label AS a, y.label AS b FROM cell a JOIN step ON abs(i) + abs(j) = 1 JOIN cell b ON b.row = a.row + i AND b.col = a.col + j JOIN comp x ON x.id = a.id JOIN comp y ON y.id = b.id WHERE x.label <> y.label),
   next AS (SELECT a AS label, b AS nb FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM touch JOIN size ON size.label = b) WHERE r = 1),
   hop(label, place, step) AS (SELECT label, label, 0 FROM size UNION ALL SELECT h.label, nx.nb, step + 1 FROM hop h JOIN size s ON s.label = h.place JOIN next nx ON nx.label = h.place WHERE s.n < 6 AND step < 64),
   ends AS (SELECT h.label, any_value(s.cls) AS cls FROM hop h JOIN size s ON s.label = h.place WHERE s.n >= 6 GROUP BY h.label)
-  SELECT k.row, k.col, CASE WHEN k.cls IS NOT NULL THEN coalesce(ends.cls, k.cls) END AS cls FROM k LEFT JOIN comp ON comp.id = k.row * 40 + k.col LEFT JOIN ends ON ends.label = comp.label""")
+  SELECT c.row, c.col, CASE WHEN c.cls IS NOT NULL THEN coalesce(ends.cls, c.cls) END AS cls FROM c LEFT JOIN comp ON comp.id = c.row * 100 + c.col LEFT JOIN ends ON ends.label = comp.label""")
 def sieve(spark, sf_dir):
-    return components.sieve(_coarse(spark, sf_dir), "cls", 40, 6, 4, 8)
+    return components.sieve(g.classes(spark, sf_dir).drop("conf"), "cls", g.CLASS_WIDTH, 6, 4, 32)
 
 
 @query()
@@ -918,12 +916,12 @@ def stac_item(spark, sf_dir):
     return export.stac_items(raster, "RUN1", 32633, {"gate": "pass"}, datetime(2024, 1, 1, tzinfo=UTC))
 
 
-@query("SELECT event_id AS id, CAST(event_id % 6 + 6 AS DOUBLE) AS lon, round(45.0::DOUBLE + event_id % 900 / 100.0, 7) AS lat FROM events WHERE event_id < 1000")
+@query("SELECT event_id AS id, CAST(event_id % 6 + 6 AS DOUBLE) AS lon, round(45.0::DOUBLE + event_id % 900 / 100.0, 7) AS lat FROM events")
 def utm_round_trip(spark, sf_dir):
     """Degrees to UTM zone 32 and back."""
     n = F.col("event_id")
     x, y = to_projected((n % 6) - 3 + 9.0, 45.0 + n % 900 / 100.0, 32632)
-    e = g.read(spark, sf_dir, "events").where("event_id < 1000").select(n.alias("id"), x.alias("x"), y.alias("y"))
+    e = g.read(spark, sf_dir, "events").select(n.alias("id"), x.alias("x"), y.alias("y"))
     lon, lat = to_degrees(F.col("x"), F.col("y"), 32632)
     return e.select("id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
@@ -944,6 +942,6 @@ def preview_stretch(spark, sf_dir):
 @query()
 def coregister_shift(spark, sf_dir):
     """Phase correlation of a band with itself moved by two columns and a row."""
-    d = g.dem(spark, sf_dir).where("row < 64 and col < 64").na.fill(0.0)
+    d = g.dem(spark, sf_dir).na.fill(0.0)
     moved = d.select((F.col("row") + 1).alias("row"), (F.col("col") + 2).alias("col"), "dem")
     return coregister.shift_report(coregister.coregister(d, moved, "dem", "dem", "x.tif", 5.0))
