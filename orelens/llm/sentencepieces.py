@@ -27,9 +27,9 @@ MARK = "▁"
 #: A character that only byte pieces cover scores this much less than the worst piece, as published.
 UNKNOWN_PENALTY = 10.0
 #: Segments that a worker remembers, and the longest it remembers, in characters.
-CACHE, CACHED_CHARS = 200_000, 64
-#: Characters of text looked at before new segments are encoded.
-RUN_CHARS = 1 << 21
+CACHE, CACHED_CHARS = 100_000, 64
+#: Characters of text looked at before new segments are encoded, and of those that are encoded together.
+RUN_CHARS, SEGMENT_CHARS = 1 << 19, 1 << 16
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -278,6 +278,20 @@ class Encoder:
             lo = hi
         return np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
 
+    def _segments(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """segment() in parts, as its working arrays are many times the size of what it is given."""
+        ids, counts, lo = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while lo < len(new):
+            hi, chars = lo, 0
+            while hi < len(new) and (hi == lo or chars + len(new[hi]) <= SEGMENT_CHARS):
+                chars += len(new[hi])
+                hi += 1
+            x, n = self.v.segment(new[lo:hi])
+            ids.append(x)
+            counts.append(n)
+            lo = hi
+        return np.concatenate(ids), np.concatenate(counts)
+
     def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split, lead = self.v.split.findall, " " if self.v.prefix else ""
         if len(self.known) > CACHE:
@@ -288,10 +302,7 @@ class Encoder:
         first = len(known)
         for c in chunks:
             number.append(np.fromiter((k if (k := known.get(x)) is not None else new.setdefault(x, first + len(new)) for x in c), np.int64, len(c)))
-        if new:
-            ids, counts = self.v.segment(list(new))
-        else:
-            ids, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        ids, counts = self._segments(list(new))
         flat = np.concatenate([*self.flat, ids])
         count = np.concatenate([*self.count, counts]).astype(np.int64)
         at = np.cumsum(count) - count

@@ -29,6 +29,8 @@ from .common import settle
 #: Labelled rows used for training: those with the smallest hashes of their id.
 SAMPLE_ROWS = 20_000
 STEMS = (5, 4)
+#: Rows that are scanned and handed on at once.
+SLICE_ROWS = 1000
 PRIOR = 2.0
 DRIFT = 0.75
 THRESHOLD = 0.3
@@ -115,41 +117,39 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int32()), pa.array(list(rows.values()), pa.int64())], ["word", "toxic", "n"])
 
 
-def _odds(counts, n1: int, n0: int) -> tuple[dict[str, float], dict[str, float]]:
-    """counts: a pandas frame (word, c1, c0)."""
-    base = (n1 + 1) / (n1 + n0 + 2)
+def _odds(counts: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Positive log-odds of words and of stems from counts (word, c1, c0); what reaches the driver are toxic stems, the
+    words that have one, and toxic words."""
     # Shares are taken as if both kinds were as frequent, so that log-odds don't hold the sample's balance.
-    counts["t"] = counts.c1 / max(n1, 1)
-    counts["c"] = counts.c0 / max(n0, 1)
-    counts["n"] = counts.c1 + counts.c0
-    share = counts.t / (counts.t + counts.c)
-    sure = counts.n / (counts.n + PRIOR)  # a word seen once says little about its stem
-    stems: dict[str, float] = {}
-    prior = np.full(len(counts), 0.5)
+    toxic, clean = F.col("c1") / n1, F.col("c0") / n0
+    n = F.col("c1") + F.col("c0")
+    words = settle(counts.withColumns({"share": toxic / (toxic + clean), "sure": n / (n + PRIOR)}))  # a word seen once says little about its stem
+    logit = lambda theta: F.log(theta / (1 - theta))
+    known: dict[str, float] = {}
+    prior = F.lit(0.5)
     for size in reversed(STEMS):
-        stem = counts.word.str[:size].where(counts.word.str.len() > size)
-        sums = (share * sure).groupby(stem).sum().to_frame("s").join(sure.groupby(stem).sum().rename("n"))
-        up = prior_of(sums.index, stems, size)
-        theta = (sums.s + PRIOR * up) / (sums.n + PRIOR)
-        for s, x in zip(sums.index, np.log(theta / (1 - theta))):
-            if x > LEAST_ODDS:
-                stems[s] = float(x)
-        own = stem.map(theta)
-        prior = own.where(own.notna(), prior).to_numpy()
+        stem = F.substring("word", 1, size)
+        sums = words.where(F.length("word") > size).groupBy(stem.alias(f"stem{size}")).agg(F.sum(F.col("share") * F.col("sure")).alias("s"), F.sum("sure").alias("n"))
+        shorter = {k: v for k, v in known.items() if len(k) < size}
+        up = F.lit(0.5)
+        if shorter:  # a stem goes by its own stem where that one is toxic
+            shares = F.create_map(*[F.lit(x) for k, v in shorter.items() for x in (k, 1 / (1 + math.exp(-v)))])
+            up = F.coalesce(F.element_at(shares, F.substring(f"stem{size}", 1, len(next(iter(shorter))))), up)
+        theta = settle(sums.select(f"stem{size}", ((F.col("s") + PRIOR * up) / (F.col("n") + PRIOR)).alias(f"theta{size}")))
+        known |= {r[0]: r[1] for r in theta.select(f"stem{size}", logit(F.col(f"theta{size}")).alias("x")).where(F.col("x") > LEAST_ODDS).collect()}
+        words = words.withColumn(f"stem{size}", F.when(F.length("word") > size, stem)).join(theta, f"stem{size}", "left")
+        prior = F.coalesce(f"theta{size}", prior)
+    base = (n1 + 1) / (n1 + n0 + 2)
     one, zero = 0.5 / base, 0.5 / (1 - base)
     held = PRIOR * max(one, zero)  # the prior is worth PRIOR documents of the rarer kind
-    theta = (counts.c1 * one + held * prior) / (counts.c1 * one + counts.c0 * zero + held)
-    x = np.log(theta / (1 - theta))
-    keep = (x > LEAST_ODDS) | counts.word.str[:4].isin(list(stems)) | counts.word.str[:5].isin(list(stems))
-    return {w: float(v) if v > LEAST_ODDS else 0.0 for w, v in zip(counts.word[keep], x[keep])}, stems
-
-
-def prior_of(index, stems: dict[str, float], size: int):
-    """The prior of a stem: its own stem's share where that is known to be toxic, else one half."""
-    shorter = [n for n in STEMS if n < size]
-    if not shorter:
-        return 0.5
-    return np.array([1 / (1 + math.exp(-stems.get(s[: shorter[0]], 0.0))) for s in index])
+    theta = (F.col("c1") * one + held * prior) / (F.col("c1") * one + F.col("c0") * zero + held)
+    judged = words.withColumn("x", logit(theta))
+    toxic_stem = F.lit(False)
+    for size in STEMS:
+        mine = [k for k in known if len(k) == size]
+        toxic_stem = toxic_stem | (F.substring("word", 1, size).isin(mine) if mine else F.lit(False))
+    rows = judged.where((F.col("x") > LEAST_ODDS) | toxic_stem).select("word", "x").collect()
+    return {r.word: r.x if r.x > LEAST_ODDS else 0.0 for r in rows}, known
 
 
 def _scanner(model, text_at: int, keep: list[str] | None, prefix: str = ""):
@@ -157,7 +157,7 @@ def _scanner(model, text_at: int, keep: list[str] | None, prefix: str = ""):
 
     def scan(batches):
         m = model.value
-        for batch in batches:
+        for batch in (part.slice(a, SLICE_ROWS) for part in batches for a in range(0, part.num_rows, SLICE_ROWS)):
             rows = [m.scan(t or "") for t in batch.column(text_at).to_pylist()]
             if keep is None:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([[s for _, _, s in f] for _, f, _ in rows], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
@@ -184,8 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     if not n1 or not n0:
         return Model(curve=((50.0 if n1 else -50.0), 0.0))
     counts = sample.mapInArrow(_count, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c0"))
-    words, stems = _odds(counts.toPandas().sort_values("word", ignore_index=True), n1, n0)
-    model = Model(words, stems)
+    model = Model(*_odds(counts, n1, n0))
     shared = spark.sparkContext.broadcast(model)
     scan = _scanner(shared, 1, None)
     rows = sample.select("toxic", "text").mapInArrow(scan, "toxic int, n long, scores array<double>").toPandas()
