@@ -32,8 +32,8 @@ def correlation(pixels: DataFrame, features: list[str]) -> DataFrame:
     valid = pixels.na.drop(subset=features)
 
     def r(a, b):
-        flat = F.stddev_pop(a) * F.stddev_pop(b) <= 1e-12
-        return F.when((F.count(F.lit(1)) < 2) | flat, 0.0).otherwise(F.coalesce(F.corr(a, b), F.lit(0.0)))
+        spread = F.stddev_pop(a) * F.stddev_pop(b)  # corr() itself fails on constants in ANSI mode
+        return F.when((F.count(F.lit(1)) < 2) | (spread <= 1e-12), 0.0).otherwise(F.coalesce(F.try_divide(F.covar_pop(a, b), spread), F.lit(0.0)))
 
     pairs = list(combinations(features, 2))
     one = valid.agg(*[r(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]) if pairs else valid.agg(F.lit(0).alias("_none"))
