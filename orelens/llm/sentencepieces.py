@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import runs_of, text_bytes
+
 MARK = "▁"
 #: A character that only byte pieces cover scores this much less than the worst piece, as published.
 UNKNOWN_PENALTY = 10.0
@@ -335,27 +337,22 @@ def _encoder(vocabulary, text_at: int, names: list[str], verify: bool):
             encoder = _CACHES["encoder"] = Encoder(vocabulary.value)
         for batch in batches:
             column = batch.column(text_at)
-            texts = [t or "" for t in column.to_pylist()]
-            lo = 0
-            while lo < len(texts):  # ids take more room than texts, so batches are cut
-                hi, chars = lo + 1, len(texts[lo])
-                while hi < len(texts) and chars + len(texts[hi]) <= RUN_CHARS:
-                    chars += len(texts[hi])
-                    hi += 1
-                ids, counts = encoder.encode(texts[lo:hi])
+            for lo, hi in runs_of(text_bytes(column)[1], RUN_CHARS):  # ids take more room than texts, so batches are cut
+                part = column.slice(lo, hi - lo)
+                texts = [t or "" for t in part.to_pylist()]
+                ids, counts = encoder.encode(texts)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                null = pa.array(np.array([t is None for t in column.slice(lo, hi - lo).to_pylist()])) if column.null_count else None
+                null = part.is_null() if part.null_count else None
                 arrays = [batch.column(k).slice(lo, hi - lo) for k in range(len(names))]
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()), mask=null), pa.array(counts)]
                 more = ["ids", "n_tokens"]
                 if verify:
                     data, ends = encoder.v.decode(ids, counts)
                     data = data.tobytes()
-                    same = [data[a:b] == t.encode() for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts[lo:hi])]
+                    same = [data[a:b] == t.encode() for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts)]
                     arrays.append(pa.array(same, pa.bool_()))
                     more.append("round_trip")
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *more])
-                lo = hi
 
     return encode
 

@@ -31,7 +31,8 @@ SAMPLE_ROWS = 20_000
 STEMS = (5, 4)
 #: Rows that are scanned and handed on at once.
 SLICE_ROWS = 1000
-PRIOR = 2.0
+#: Weight of the priors: in documents for a word, in sure words for a stem.
+PRIOR, STEM_PRIOR = 2.0, 1.0
 DRIFT = 0.75
 THRESHOLD = 0.3
 #: Log-odds of no more than this are noise and count as the drift alone.
@@ -123,7 +124,7 @@ def _odds(counts: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[s
     # Shares are taken as if both kinds were as frequent, so that log-odds don't hold the sample's balance.
     toxic, clean = F.col("c1") / n1, F.col("c0") / n0
     n = F.col("c1") + F.col("c0")
-    words = settle(counts.withColumns({"share": toxic / (toxic + clean), "sure": n / (n + PRIOR)}))  # a word seen once says little about its stem
+    words = settle(counts.withColumns({"share": toxic / (toxic + clean), "sure": n / (n + 1)}))  # a word seen once says little about its stem
     logit = lambda theta: F.log(theta / (1 - theta))
     known: dict[str, float] = {}
     prior = F.lit(0.5)
@@ -135,7 +136,7 @@ def _odds(counts: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[s
         if shorter:  # a stem goes by its own stem where that one is toxic
             shares = F.create_map(*[F.lit(x) for k, v in shorter.items() for x in (k, 1 / (1 + math.exp(-v)))])
             up = F.coalesce(F.element_at(shares, F.substring(f"stem{size}", 1, len(next(iter(shorter))))), up)
-        theta = settle(sums.select(f"stem{size}", ((F.col("s") + PRIOR * up) / (F.col("n") + PRIOR)).alias(f"theta{size}")))
+        theta = settle(sums.select(f"stem{size}", ((F.col("s") + STEM_PRIOR * up) / (F.col("n") + STEM_PRIOR)).alias(f"theta{size}")))
         known |= {r[0]: r[1] for r in theta.select(f"stem{size}", logit(F.col(f"theta{size}")).alias("x")).where(F.col("x") > LEAST_ODDS).collect()}
         words = words.withColumn(f"stem{size}", F.when(F.length("word") > size, stem)).join(theta, f"stem{size}", "left")
         prior = F.coalesce(f"theta{size}", prior)
