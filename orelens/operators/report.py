@@ -79,3 +79,56 @@ def chain_parameters(steps: list[str], cfg: dict) -> list[tuple[str, str]]:
         ("Closing kernel", str(cfg.get("morphological_kernel_size", 3))),
         ("Minimum mapping unit (ha)", str(cfg.get("min_mapping_unit_ha", 0.5))),
     ]
+
+
+def configuration(cfg: dict) -> list[tuple[str, str]]:
+    """(label, value) of the settings that a run was made with."""
+    keys = (
+        ("Target reference system", "target_crs"),
+        ("Pixel size (m)", "target_resolution_m"),
+        ("Looks (radar default)", "sar_enl_default"),
+        ("Looks (Sentinel-1 IW)", "sar_enl_sentinel1_iw"),
+        ("Minimum overlap (%)", "min_overlap_pct"),
+        ("Largest resolution ratio", "max_resolution_ratio"),
+        ("Largest date gap (days)", "max_date_gap_days"),
+        ("Least overall accuracy", "min_oa_threshold"),
+        ("Least minority F1", "min_minority_f1"),
+        ("Largest coregistration RMSE (px)", "coreg_rmse_threshold"),
+    )
+    return [(label, str(cfg.get(k, "N/A"))) for label, k in keys]
+
+
+def model_section(result, config) -> list[tuple[str, str]]:
+    """(label, value) of a model's parameters and global metrics; result and config as operators.ml has them."""
+    number = lambda x: "N/A" if x is None else f"{x:.4f}"
+    return [
+        ("Model type", config.model_type),
+        ("Trees", str(config.n_estimators)),
+        ("Depth", "N/A" if config.max_depth is None else str(config.max_depth)),
+        ("SMOTE applied", "Yes" if result.smote_applied else "No"),
+        ("Random state", str(config.random_state)),
+        ("Overall accuracy", number(result.oa)),
+        ("Cohen's kappa", number(result.kappa)),
+        ("Minority F1", number(result.minority_f1)),
+        ("Quality gate", result.gate_message),
+    ]
+
+
+def fold_section(folds: DataFrame) -> DataFrame:
+    """One row: mean, least and largest overall accuracy of the folds, as text with four decimals."""
+    shown_ = lambda c: F.format_string("%.4f", c)
+    return folds.agg(shown_(F.avg("oa")).alias("mean"), shown_(F.min("oa")).alias("min"), shown_(F.max("oa")).alias("max"))
+
+
+def item_properties(result, features, gates: DataFrame, accuracy: dict | None = None) -> dict:
+    """What an exported item says about its run: features, metrics to four decimals, gates and the worst of them."""
+    out = {"features": list(features)}
+    if result is not None:
+        out |= {f"model_{k}": round(v, 4) for k, v in (("oa", result.oa), ("kappa", result.kappa), ("minority_f1", result.minority_f1)) if v is not None}
+        out["classes"] = list(result.classes)
+    for k, v in (accuracy or {}).items():
+        out[f"accuracy_{k}"] = round(v, 4) if isinstance(v, float) else v
+    rows = gates.orderBy("gate").collect()  # one row a gate
+    out["gate_status"] = max((r.status for r in rows), key=("pass", "warning", "fail").index, default="pass")
+    out["gate_results"] = [{"metric": r.metric, "value": round(r.value, 4), "status": r.status} for r in rows]
+    return out

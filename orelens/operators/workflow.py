@@ -118,13 +118,3 @@ def survey(pixels: DataFrame, labels: DataFrame, bands: BandMap, raster: Raster,
     steps = postprocess_chain(predicted, raster, cfg, res_m)
     final = list(steps.values())[-1]
     return {"features": features, "result": result, "predicted": predicted, "steps": steps, "areas": stats.class_areas(final, "cls", res_m), "confidence": stats.confidence_stats(predicted, "conf", float(cfg.get("confidence_threshold", 0.6)))}
-
-
-def synthetic_labels(spark, height: int, width: int, classes: int = 5, seed: int = 42) -> DataFrame:
-    """(row, col, label): rings around the centre, with a tenth of the pixels moved to a neighbouring class by hash."""
-    r, c = F.floor(F.col("id") / width), F.col("id") % width
-    far = F.sqrt(F.pow((r - height / 2) / max(height, 1), F.lit(2.0)) + F.pow((c - width / 2) / max(width, 1), F.lit(2.0))) / 0.7072
-    ring = F.least(F.floor(far * classes), F.lit(classes - 1)) + 1
-    noise = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(100))
-    moved = F.when(noise < 5, F.greatest(ring - 1, F.lit(1))).when(noise < 10, F.least(ring + 1, F.lit(classes))).otherwise(ring)
-    return spark.range(height * width).select(r.cast("int").alias("row"), c.cast("int").alias("col"), moved.cast("int").alias("label"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orelens.functions import indices as ix
 from orelens.functions.geodesy import to_degrees, to_projected
 from orelens.model import DEFAULTS, Raster
-from orelens.operators import accuracy, components, coregister, focal, gates, grid, ml, preprocess, report, sampling, stats, texture, validate, workflow
+from orelens.operators import accuracy, components, coregister, focal, gates, grid, ml, preprocess, report, sampling, stats, synthetic, texture, validate, workflow
 from orelens.sources import audit, export, ingest
 
 from . import grids as g
@@ -844,7 +844,32 @@ def stratified_folds(spark, sf_dir):
 
 @query()
 def synthetic_labels(spark, sf_dir):
-    return workflow.synthetic_labels(spark, 60, 60).groupBy("label").agg(F.count("*").alias("n"))
+    """Pixels by class of the three synthetic sites."""
+    sites = {"rings": synthetic.ring_labels, "pit": synthetic.pit_wall_labels, "tailings": synthetic.tailings_labels}
+    parts = [make(spark, 120, 120).groupBy("label").agg(F.count("*").alias("n")).select(F.lit(name).alias("site"), "label", "n") for name, make in sites.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {_SAMPLES_SQL} SELECT 'Class ' || CAST(y AS VARCHAR) AS label, CAST(count(*) AS VARCHAR) AS value FROM s GROUP BY y")
+def support_section(spark, sf_dir):
+    """Samples by class as report rows."""
+    f = _features(spark, sf_dir)
+    samples = sampling.extract_from_labels(f.drop("label"), f.select("row", "col", "label"), list(_FEATURES))
+    conf = accuracy.confusion(samples, "label", "label")
+    return accuracy.per_class(conf).select(F.concat(F.lit("Class "), F.col("class_id").cast("string")).alias("label"), report.shown(F.col("support"), "bigint").alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('Minimum overlap (%)', '80.0'), ('Largest resolution ratio', '2.0'), ('Largest date gap (days)', '30'), ('Looks (radar default)', '1.0'), ('Looks (Sentinel-1 IW)', '4.9'), ('Least overall accuracy', '0.8'), ('Least minority F1', '0.7'), ('Largest coregistration RMSE (px)', '0.5'), ('Target reference system', 'N/A'), ('Pixel size (m)', 'N/A')) v(label, value)")
+def configuration_section(spark, sf_dir):
+    return spark.createDataFrame(report.configuration(DEFAULTS), "label string, value string")
+
+
+@query("SELECT 'fail' AS gate_status, 3 AS gates")
+def gate_summary(spark, sf_dir):
+    """The worst status of a run's gates, as exported items carry it."""
+    metrics = spark.createDataFrame([("Minority F1", 0.1), ("Mean Confidence", 0.7), ("Nodata Coverage", 0.01)], "metric string, value double")
+    done = gates.quality_gates(metrics, gates.thresholds(spark, DEFAULTS))
+    return gates.worst(done).select(F.col("status").alias("gate_status")).join(done.agg(F.count("*").cast("int").alias("gates")))
 
 
 # --- planning, reports, exports --------------------------------------------------------------------------------

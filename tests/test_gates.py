@@ -94,3 +94,18 @@ def test_reports(spark):
     assert dict(report.chain_parameters(["smooth_pass_0"], {}))["Smoothing"] == "Yes"
     text = spark.range(1).select(stats.drift_text(F.lit(12.34), F.lit(False)).alias("a"), stats.drift_text(F.lit(None).cast("double"), F.lit(True)).alias("b")).first()
     assert (text.a, text.b) == ("+12.3%", "∞ (new class)")
+
+
+def test_model_and_item_sections(spark):
+    from orelens.operators import ml
+
+    result = ml.ClassificationResult(0.91, None, 0.123456, True, "fine", False, (1, 2), ("a",))
+    rows = dict(report.model_section(result, ml.ClassificationConfig()))
+    assert rows["Cohen's kappa"] == "N/A" and rows["Minority F1"] == "0.1235" and rows["Trees"] == "100"
+    assert dict(report.configuration(DEFAULTS))["Pixel size (m)"] == "N/A"
+    done = gates.quality_gates(spark.createDataFrame([("Minority F1", 0.6), ("Mean Confidence", 0.9)], "metric string, value double"), gates.thresholds(spark, DEFAULTS))
+    item = report.item_properties(result, ["ndvi"], done, {"oa": 0.98765, "n": 7})
+    assert item["gate_status"] == "warning" and item["model_oa"] == 0.91 and "model_kappa" not in item and item["accuracy_oa"] == 0.9877
+    assert [g["status"] for g in item["gate_results"]] == ["warning", "pass"]
+    folds = spark.createDataFrame([(0, 0.5), (1, 0.75)], "fold int, oa double")
+    assert tuple(report.fold_section(folds).first()) == ("0.6250", "0.5000", "0.7500")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orelens.model import DEFAULTS, Raster
-from orelens.operators import accuracy, ml, sampling, workflow
+from orelens.operators import accuracy, ml, sampling, synthetic, workflow
 from orelens.plans.catalog import _POLYGONS
 
 from .grids import array, table
@@ -114,7 +114,7 @@ def test_folds_and_smote(spark):
 
 def test_survey_from_pixels_to_areas(spark):
     h = w = 16
-    labels = workflow.synthetic_labels(spark, h, w, 3)
+    labels = synthetic.ring_labels(spark, h, w, 3)
     grid = array(labels, "label", (h, w))
     bands = {n: grid * k + 1 + RNG.normal(size=(h, w)) * 0.05 for k, n in ((1.0, "nir"), (0.0, "red"))}
     bands["red"][0, 0] = 0.1  # else the darkest red would leave nothing
@@ -124,3 +124,14 @@ def test_survey_from_pixels_to_areas(spark):
     out = workflow.survey(table(spark, **bands), labels, BandMap.of(bands), Raster(w, h, 10.0, epsg=32633), cfg, ml.ClassificationConfig(n_estimators=5, max_depth=4))
     assert sum(r.pixel_count for r in out["areas"].collect()) == h * w
     assert out["result"].oa > 0.6 and list(out["steps"])[-1] == "sieve_filter"
+
+
+def test_synthetic_sites(spark):
+    pit = array(synthetic.pit_wall_labels(spark, 60, 70), "label", (60, 70))
+    assert set(np.unique(pit)) == {1, 2, 3, 4, 5} and pit[0, 0] == 4
+    dam = array(synthetic.tailings_labels(spark, 80, 80), "label", (80, 80))
+    assert {1, 2, 4} <= set(np.unique(dam)) <= {1, 2, 3, 4, 5, 6} and dam[0, 0] == 4 and dam[36, 40] == 1
+    again = array(synthetic.tailings_labels(spark, 80, 80).repartition(3), "label", (80, 80))
+    assert (dam == again).all()
+    far = array(synthetic._grid(spark, 30, 30).withColumn("n", synthetic.noise(F.col("row"), F.col("col"), 30, 30, 8, 1)), "n", (30, 30))
+    assert far.min() >= 0 and far.max() <= 1 and np.abs(np.diff(far, axis=0)).max() < 0.6
