@@ -29,12 +29,14 @@ class FeatureResult:
     texture_summary: DataFrame | None = field(default=None, compare=False)
 
 
-def feature_stack(pixels: DataFrame, bands: BandMap, raster: Raster, cfg: Mapping[str, Any] | None = None, enabled=None, block: int = BLOCK) -> tuple[DataFrame, list[str]]:
-    """(row, col, one column a feature) of a complete grid, and the features' names. Spectral features are one
-    projection; terrain needs the dem's neighbours; texture is joined by tile."""
+def feature_stack(pixels: DataFrame, bands: BandMap, raster: Raster, cfg: Mapping[str, Any] | None = None, enabled=None, block: int = BLOCK, dense: bool = False) -> tuple[DataFrame, list[str]]:
+    """(row, col, one column a feature), and the features' names. Spectral features are one projection without a shuffle;
+    terrain needs the dem's neighbours; texture is joined by tile. Only these two need every cell to be there: tables
+    that are known to be `dense`, as rasters read from files are, aren't filled up first."""
     names = planner.active_features(bands, cfg, enabled)
     cfg = cfg or {}
-    grid = complete(pixels, raster.height, raster.width)
+    focal_ones = {"slope", "aspect", "roughness_proxy", *planner.GLCM} & set(names)
+    grid = complete(pixels, raster.height, raster.width) if focal_ones and not dense else pixels
     if raster.dtype == "uint8" and cfg.get("drone_rgb_scale_to_float", False):
         used = {b for r in bands.__dataclass_fields__ if (b := getattr(bands, r))}
         grid = grid.withColumns({b: F.col(b) / 255.0 for b in used})
@@ -54,22 +56,21 @@ def feature_stack(pixels: DataFrame, bands: BandMap, raster: Raster, cfg: Mappin
     return out.select("row", "col", *names), names
 
 
-def compute_features(pixels: DataFrame, bands: BandMap, raster: Raster, cfg: Mapping[str, Any] | None = None, enabled=None, block: int = BLOCK) -> FeatureResult:
+def compute_features(pixels: DataFrame, bands: BandMap, raster: Raster, cfg: Mapping[str, Any] | None = None, enabled=None, block: int = BLOCK, dense: bool = False) -> FeatureResult:
     """The stack, checkpointed once as three reports read it, with statistics, correlation and texture summary."""
-    stack, names = feature_stack(pixels, bands, raster, cfg, enabled, block)
+    stack, names = feature_stack(pixels, bands, raster, cfg, enabled, block, dense)
     stack = _checkpointed(stack)
     corr = stats.correlation(stack, names)
     summary, band = None, planner.summary_band(bands)
     if band:
-        grid = complete(pixels, raster.height, raster.width)
-        summary = texture.texture_summary(texture.glcm_tile(texture.tiles_of(grid, band, block), band))
+        summary = texture.texture_summary(texture.glcm_tile(texture.tiles_of(pixels, band, block), band))
     return FeatureResult(stack, tuple(names), stats.feature_stats(stack, names), corr, stats.high_correlations(corr, float((cfg or {}).get("corr_flag_threshold", 0.95))), summary)
 
 
-def postprocess_chain(pixels: DataFrame, raster: Raster, cfg: Mapping[str, Any], res_m: float, drone: bool = False, cancelled: Callable[[], bool] = lambda: False, on_step: Callable[[str], None] = lambda step: None, cls: str = "cls", conf: str = "conf") -> dict[str, DataFrame]:
+def postprocess_chain(pixels: DataFrame, raster: Raster, cfg: Mapping[str, Any], res_m: float, drone: bool = False, cancelled: Callable[[], bool] = lambda: False, on_step: Callable[[str], None] = lambda step: None, cls: str = "cls", conf: str = "conf", dense: bool = False) -> dict[str, DataFrame]:
     """step: class map after it, in order. Every step ends in a checkpoint; `cancelled` is asked between steps."""
     h, w, out = raster.height, raster.width, {}
-    now = complete(pixels, h, w)
+    now = pixels if dense else complete(pixels, h, w)
     drone = drone or planner.is_drone(res_m, cfg)
     own = planner.drone_adaptive_params(res_m, cfg) if drone else None
     values = focal.class_values(now, cls)
@@ -108,13 +109,13 @@ def postprocess_chain(pixels: DataFrame, raster: Raster, cfg: Mapping[str, Any],
 def survey(pixels: DataFrame, labels: DataFrame, bands: BandMap, raster: Raster, cfg: Mapping[str, Any], config: ml.ClassificationConfig | None = None, most: int | None = 50_000) -> dict[str, Any]:
     """Preprocess, features, samples, training, prediction, post-processing and areas of one raster."""
     used = [b for r in bands.__dataclass_fields__ if r not in ("dem", "dsm") and (b := getattr(bands, r))]
-    clean = dos1(pixels, used, raster.dtype)
-    features = compute_features(clean, bands, raster, cfg)
+    clean = dos1(complete(pixels, raster.height, raster.width), used, raster.dtype)
+    features = compute_features(clean, bands, raster, cfg, dense=True)
     names = list(features.names)
     samples = sampling.extract_from_labels(features.pixels, labels, names, most=most)
     result = ml.train(samples, names, config or ml.ClassificationConfig(), cfg)
     predicted = _checkpointed(ml.predict(result.model, features.pixels))
     res_m = raster.gsd_m or raster.res
-    steps = postprocess_chain(predicted, raster, cfg, res_m)
+    steps = postprocess_chain(predicted, raster, cfg, res_m, dense=True)
     final = list(steps.values())[-1]
     return {"features": features, "result": result, "predicted": predicted, "steps": steps, "areas": stats.class_areas(final, "cls", res_m), "confidence": stats.confidence_stats(predicted, "conf", float(cfg.get("confidence_threshold", 0.6)))}
