@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import exact_quantiles
+
 
 def shown(value: Column, kind: str = "string") -> Column:
     """A value as reports show it: N/A for NULL, four decimals for fractions, Yes and No for truth values."""
@@ -60,10 +62,10 @@ def candidate_sources(raw: DataFrame, preprocessed: DataFrame) -> DataFrame:
 
 def stretch(pixels: DataFrame, band: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Percentile stretch to [0, 1] for previews."""
-    limits = pixels.agg(F.percentile(band, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    lo, hi = F.get("_q", 0), F.get("_q", 1)
-    x = F.when(hi > lo, (F.col(band) - lo) / (hi - lo)).otherwise(0.0)
-    return pixels.join(F.broadcast(limits)).withColumn(band, F.when(F.col(band).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))).drop("_q")
+    lo, hi = exact_quantiles(pixels, band, [low, high])
+    if lo is None or hi <= lo:
+        return pixels.withColumn(band, F.when(F.col(band).isNotNull(), 0.0))
+    return pixels.withColumn(band, F.when(F.col(band).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(band) - lo) / (hi - lo)))))
 
 
 def chain_parameters(steps: list[str], cfg: dict) -> list[tuple[str, str]]:

@@ -67,14 +67,55 @@ def nodata_fraction(areas: DataFrame, height: int, width: int) -> DataFrame:
     return areas.agg(((n - F.coalesce(F.sum("pixel_count"), F.lit(0))) / n).alias("nodata_fraction"))
 
 
+def exact_quantiles(df: DataFrame, column: str, points: list[float], bins: int = 1024) -> list[float | None]:
+    """Interpolated quantiles of the non-NULL values, exact at any size.
+
+    An order statistic is found by narrowing: values between two bounds are counted in bins, and the bin that holds the
+    rank gives the next bounds, its least and largest value. A pass reads the column once, for all ranks, and brings a
+    row a bin to the driver; bounds meet after a few passes. Nothing is sorted or gathered, unlike with percentile().
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(points)
+    places = [p * (n - 1) for p in points]
+    open_ = {r: (low, high, 0) for x in places for r in (int(x), min(int(x) + 1, n - 1))}  # rank: bounds, values below them
+    found = {}
+    while open_:
+        for r in [r for r, (a, b, _) in open_.items() if a == b]:
+            found[r] = open_.pop(r)[0]
+        spans = sorted(set(open_.values()))
+        if not spans:
+            break
+        v = F.col("v")
+        at = [F.when(v.between(a, b), F.struct(F.lit(i).alias("i"), F.least(F.lit(bins - 1), F.floor((v - a) / (b - a) * bins)).alias("bin"))) for i, (a, b, _) in enumerate(spans)]
+        counted = values.withColumn("p", F.explode(F.array_compact(F.array(*at)))).groupBy("p.i", "p.bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rows = sorted(counted.collect(), key=lambda r: (r.i, r.bin))
+        for rank, span in list(open_.items()):
+            below = span[2]
+            for row in (r for r in rows if r.i == spans.index(span)):
+                if below + row.n > rank:
+                    open_[rank] = (row.lo, row.hi, below)
+                    break
+                below += row.n
+    out = []
+    for x in places:
+        lo, hi = found[int(x)], found[min(int(x) + 1, n - 1)]
+        out.append(lo + (hi - lo) * (x - int(x)))
+    return out
+
+
 def confidence_stats(pixels: DataFrame, conf: str, threshold: float = 0.6, approximate: bool = False) -> DataFrame:
     """One row: mean, min, max, p05, p50, p95, n_valid, n_above, pct_above, n_below, pct_below over values from 0."""
     valid, c = pixels.where(F.col(conf) >= 0), F.col(conf)
-    points = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
-    quantiles = F.percentile_approx(c, [0.05, 0.5, 0.95], 10000) if approximate else F.percentile(c, points)
+    names, points = ("p05", "p50", "p95"), [0.05, 0.5, 0.95]
+    if approximate:
+        quantiles = F.percentile_approx(c, points, 10000)
+    else:
+        quantiles = F.array(*[F.lit(x).cast("double") for x in exact_quantiles(valid, conf, points)])
     above, below, n = F.count_if(c >= threshold), F.count_if(c < threshold), F.count(F.lit(1))
-    one = valid.agg(F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), quantiles.alias("q"), n.alias("n_valid"), above.alias("n_above"), F.try_divide(100.0 * above, n).alias("pct_above"), below.alias("n_below"), F.try_divide(100.0 * below, n).alias("pct_below"))
-    return one.select("mean", "min", "max", *[F.get("q", i).alias(name) for i, name in enumerate(("p05", "p50", "p95"))], "n_valid", "n_above", "pct_above", "n_below", "pct_below")
+    one = valid.agg(F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), (quantiles if approximate else F.first(quantiles)).alias("q"), n.alias("n_valid"), above.alias("n_above"), F.try_divide(100.0 * above, n).alias("pct_above"), below.alias("n_below"), F.try_divide(100.0 * below, n).alias("pct_below"))
+    return one.select("mean", "min", "max", *[F.get("q", i).alias(name) for i, name in enumerate(names)], "n_valid", "n_above", "pct_above", "n_below", "pct_below")
 
 
 def class_summary(samples: DataFrame, label: str) -> DataFrame:

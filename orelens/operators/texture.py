@@ -1,29 +1,63 @@
-"""Grey-level co-occurrence texture, one set of scalars a tile."""
+"""Grey-level co-occurrence texture, one set of scalars a tile.
+
+Pixels are dealt out by tile once. Grey levels, neighbours in each direction (windows over rows, columns and the two
+diagonals of a tile) and the co-occurrence counts all keep that partitioning, so a texture costs one shuffle. A tile has
+a fixed size, which bounds every window.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+TILE = ("tile_r", "tile_c")
+#: Lines along which the neighbour at an angle is the one before (in rows, or in columns for 0 degrees).
+LINES = {0: ("row", "col"), 45: ("_sum", "row"), 90: ("col", "row"), 135: ("_diff", "row")}
+
+
+def _levels(tiles: DataFrame, value: str, levels: int) -> DataFrame:
+    """tiles with grey level q, and whether their tile is flat; invalid cells take the tile's mean, and tiles without any
+    valid cell drop out."""
+    w = Window.partitionBy(*TILE)
+    known = tiles.withColumns({"_lo": F.min(value).over(w), "_hi": F.max(value).over(w), "_mean": F.avg(value).over(w)}).where(F.col("_lo").isNotNull())
+    flat = F.col("_hi") <= F.col("_lo")
+    x = F.try_divide(F.coalesce(F.col(value), F.col("_mean")) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (levels - 1)
+    q = F.when(flat, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor(x)))).cast("int")
+    return known.select(*TILE, "row", "col", q.alias("q"), flat.alias("flat"))
+
 
-#: Steps to the neighbour at 0, 45, 90 and 135 degrees.
-DIRECTIONS = {0: (0, 1), 45: (-1, 1), 90: (-1, 0), 135: (-1, -1)}
+def _counts(q: DataFrame, angles: list[int]) -> DataFrame:
+    """(tile, i, j, flat, n<angle>...): how often grey levels meet at each angle, in both orders. A tile without any pair
+    still has a row, of NULL levels."""
+    q = q.withColumns({"_sum": F.col("row") + F.col("col"), "_diff": F.col("row") - F.col("col")})
+    for a in angles:
+        line, order = LINES[a]
+        w = Window.partitionBy(*TILE, line).orderBy(order)
+        q = q.withColumn(f"_j{a}", F.when(F.lag(order).over(w) == F.col(order) - 1, F.lag("q").over(w)))
+    pair = lambda a, i, j: F.when(F.col(f"_j{a}").isNotNull(), F.struct(F.lit(a).alias("angle"), i.alias("i"), j.alias("j")))
+    both = [pair(a, *x) for a in angles for x in ((F.col("q"), F.col(f"_j{a}")), (F.col(f"_j{a}"), F.col("q")))]
+    met = q.withColumn("p", F.explode_outer(F.array_compact(F.array(*both))))
+    return met.groupBy(*TILE, F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.first("flat").alias("flat"), *[F.count_if(F.col("p.angle") == a).alias(f"n{a}") for a in angles])
 
 
-def _quantised(tiles: DataFrame, value: str, levels: int) -> DataFrame:
-    """tiles (tile_r, tile_c, row, col, value) with grey level q; invalid cells take the tile's mean. Flat tiles drop out."""
-    known = tiles.groupBy("tile_r", "tile_c").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean")).where("hi > lo")
-    x = (F.coalesce(F.col(value), F.col("mean")) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (levels - 1)
-    return tiles.join(known, ["tile_r", "tile_c"]).select("tile_r", "tile_c", "row", "col", F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor(x))).cast("int").alias("q"))
+def _shares(counts: DataFrame, angles: list[int]) -> tuple[DataFrame, list[Column], Column]:
+    """Counts with their totals by tile; each angle's probability, NULL if the tile has no such pair; their mean."""
+    w = Window.partitionBy(*TILE)
+    out = counts.withColumns({f"t{a}": F.sum(f"n{a}").over(w) for a in angles})
+    shares = [F.try_divide(F.col(f"n{a}"), F.col(f"t{a}")) for a in angles]
+    total, known = F.lit(0.0), F.lit(0)
+    for p in shares:
+        total, known = total + F.coalesce(p, F.lit(0.0)), known + p.isNotNull().cast("int")
+    return out, shares, F.try_divide(total, known)
 
 
-def _pairs(q: DataFrame, angles: list[int]) -> DataFrame:
-    """(tile_r, tile_c, angle, i, j, p): symmetric co-occurrence probabilities."""
-    steps = F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(DIRECTIONS[a][0]).alias("dr"), F.lit(DIRECTIONS[a][1]).alias("dc")) for a in angles])
-    here = q.withColumn("s", F.explode(steps)).select("tile_r", "tile_c", "s.angle", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("q").alias("i"))
-    counts = here.join(q.withColumnRenamed("q", "j"), ["tile_r", "tile_c", "row", "col"]).groupBy("tile_r", "tile_c", "angle", "i", "j").agg(F.count("*").alias("n"))
-    both = counts.union(counts.select("tile_r", "tile_c", "angle", F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy("tile_r", "tile_c", "angle", "i", "j").agg(F.sum("n").alias("n"))
-    total = both.groupBy("tile_r", "tile_c", "angle").agg(F.sum("n").alias("total"))
-    return both.join(total, ["tile_r", "tile_c", "angle"]).select("tile_r", "tile_c", "angle", "i", "j", (F.col("n") / F.col("total")).alias("p"))
+def _entropy(p: Column) -> Column:
+    return -F.sum(p * F.log2(p + 1e-12))
+
+
+def _or_flat(value: Column, flat: float) -> Column:
+    return F.when(F.max("flat"), flat).otherwise(F.coalesce(value, F.lit(flat)))
 
 
 def tiles_of(pixels: DataFrame, value: str, block: int) -> DataFrame:
@@ -48,45 +82,40 @@ def padded_tiles(pixels: DataFrame, value: str, block: int, height: int, width:
     return spread.withColumn("tile_c", F.explode(tiles(F.col("col"), width))).select("tile_r", "tile_c", "row", "col", value)
 
 
-def _with_flat(texture: DataFrame, tiles: DataFrame, flat: dict[str, float]) -> DataFrame:
-    """Tiles without spread get the values of a flat surface; tiles without any valid cell are left out."""
-    every = tiles.groupBy("tile_r", "tile_c").agg(F.count(tiles.columns[-1]).alias("_n")).where("_n > 0").drop("_n")
-    return every.join(texture, ["tile_r", "tile_c"], "left").na.fill(flat)
-
-
 def glcm_tile(tiles: DataFrame, value: str, levels: int = 16) -> DataFrame:
-    """(tile_r, tile_c, contrast, homogeneity, entropy) from pairs along rows; homogeneity weighs by 1 + |i - j|."""
-    p, d = _pairs(_quantised(tiles, value, levels), [0]), F.col("i") - F.col("j")
-    out = p.groupBy("tile_r", "tile_c").agg(
-        F.sum(F.col("p") * d * d).alias("contrast"),
-        F.sum(F.col("p") / (1 + F.abs(d))).alias("homogeneity"),
-        (-F.sum(F.col("p") * F.log2(F.col("p") + 1e-12))).alias("entropy"),
+    """(tile_r, tile_c, contrast, homogeneity, entropy) from pairs along rows; homogeneity weighs by 1 + |i - j|. Tiles
+    that are flat or have no pair get the values of a flat surface."""
+    counts, (p,), _ = _shares(_counts(_levels(tiles, value, levels), [0]), [0])
+    d = F.col("i") - F.col("j")
+    return counts.groupBy(*TILE).agg(
+        _or_flat(F.sum(p * d * d), 0.0).alias("contrast"),
+        _or_flat(F.sum(p / (1 + F.abs(d))), 1.0).alias("homogeneity"),
+        _or_flat(_entropy(F.when(d.isNotNull(), p)), 0.0).alias("entropy"),
     )
-    return _with_flat(out, tiles, {"contrast": 0.0, "homogeneity": 1.0, "entropy": 0.0})
 
 
-def glcm_directional(tiles: DataFrame, value: str, levels: int = 32, angles: list[int] = [0, 45, 90, 135]) -> DataFrame:  # noqa: B006
+def glcm_directional(tiles: DataFrame, value: str, levels: int = 32, angles: tuple[int, ...] = (0, 45, 90, 135)) -> DataFrame:
     """(tile_r, tile_c, contrast, homogeneity, correlation, entropy), averaged over the angles; homogeneity weighs by
-    1 + (i - j)**2, and the entropy is that of the averaged matrix."""
-    p = _pairs(_quantised(tiles, value, levels), angles)
-    i, j, w, d = F.col("i").cast("double"), F.col("j").cast("double"), F.col("p"), F.col("i") - F.col("j")
-    sums = p.groupBy("tile_r", "tile_c", "angle").agg(
-        F.sum(w * d * d).alias("contrast"),
-        F.sum(w / (1 + d * d)).alias("homogeneity"),
-        F.sum(w * i).alias("mi"),
-        F.sum(w * j).alias("mj"),
-        F.sum(w * i * i).alias("ii"),
-        F.sum(w * j * j).alias("jj"),
-        F.sum(w * i * j).alias("ij"),
+    1 + (i - j)**2, and the entropy is that of the averaged matrix.
+
+    Contrast and homogeneity are linear in the probabilities, so their averages are those of the mean matrix; the
+    correlation is taken angle by angle.
+    """
+    counts, shares, mean = _shares(_counts(_levels(tiles, value, levels), list(angles)), list(angles))
+    i, j, d = F.col("i").cast("double"), F.col("j").cast("double"), F.col("i") - F.col("j")
+    corr = []
+    for p in shares:
+        mi, mj = F.sum(p * i), F.sum(p * j)
+        spread = F.sqrt(F.greatest(F.sum(p * i * i) - mi * mi, F.lit(0.0)) * F.greatest(F.sum(p * j * j) - mj * mj, F.lit(0.0)))
+        corr.append(F.when(spread < 1e-15, 1.0).otherwise(F.try_divide(F.sum(p * i * j) - mi * mj, spread)))
+    known = F.filter(F.array(*corr), lambda c: c.isNotNull())
+    average = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, c: a + c), F.size(known))
+    return counts.groupBy(*TILE).agg(
+        _or_flat(F.sum(mean * d * d), 0.0).alias("contrast"),
+        _or_flat(F.sum(mean / (1 + d * d)), 1.0).alias("homogeneity"),
+        _or_flat(average, 0.0).alias("correlation"),
+        _or_flat(_entropy(F.when(d.isNotNull(), mean)), 0.0).alias("entropy"),
     )
-    var = F.greatest(F.col("ii") - F.col("mi") * F.col("mi"), F.lit(0.0)) * F.greatest(F.col("jj") - F.col("mj") * F.col("mj"), F.lit(0.0))
-    corr = F.when(F.sqrt(var) < 1e-15, 1.0).otherwise(F.try_divide(F.col("ij") - F.col("mi") * F.col("mj"), F.sqrt(var)))
-    by_angle = sums.groupBy("tile_r", "tile_c").agg(F.avg("contrast").alias("contrast"), F.avg("homogeneity").alias("homogeneity"), F.avg(corr).alias("correlation"), F.count("*").alias("k"))
-    mean_p = p.groupBy("tile_r", "tile_c", "i", "j").agg(F.sum("p").alias("s")).join(by_angle.select("tile_r", "tile_c", "k"), ["tile_r", "tile_c"])
-    m = F.col("s") / F.col("k")
-    entropy = mean_p.groupBy("tile_r", "tile_c").agg((-F.sum(m * F.log2(m + 1e-12))).alias("entropy"))
-    out = by_angle.drop("k").join(entropy, ["tile_r", "tile_c"])
-    return _with_flat(out, tiles, {"contrast": 0.0, "homogeneity": 1.0, "correlation": 0.0, "entropy": 0.0})
 
 
 def spread_to_pixels(pixels: DataFrame, texture: DataFrame, block: int, prefix: str = "glcm_") -> DataFrame:

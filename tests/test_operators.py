@@ -266,3 +266,13 @@ def test_chain_runs_in_order_and_can_be_cancelled(spark):
     assert list(steps) == ["confidence_filter", "median_smooth"]
     drone = workflow.postprocess_chain(df, Raster(12, 12, 0.9), {}, 0.9)
     assert list(drone) == ["confidence_filter", "smooth_pass_0", "smooth_pass_1", "morphological_close_0", "morphological_close", "sieve_filter"]
+
+
+def test_exact_quantiles(spark):
+    for values in (RNG.random(1000), np.repeat([1.0, 2.0, 5.0], 40), np.array([3.0]), np.array([0.0, 1e300, -1e-300, 7.0]), RNG.normal(size=501) * 1e6):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        points = [0.0, 0.05, 0.37, 0.5, 0.95, 1.0]
+        got = stats.exact_quantiles(df, "v", points, 16)
+        assert np.allclose(got, np.quantile(values, points), rtol=1e-12)
+    assert stats.exact_quantiles(df.where("v is null"), "v", [0.5]) == [None]
+    assert stats.confidence_stats(df.where("v is null"), "v").first().p50 is None
