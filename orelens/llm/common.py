@@ -38,6 +38,9 @@ def settle(df: DataFrame) -> DataFrame:
     """df as a written table in the shared folder: lineage ends here and survives a lost executor."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/orelens/{uuid.uuid4().hex}"
+    # A column of nothing but NULLs may have no type, which files need.
+    if any(kind == "void" for _, kind in df.dtypes):
+        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if kind == "void" else F.col(f"`{c}`") for c, kind in df.dtypes])
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path

@@ -66,3 +66,10 @@ def test_empty_documents(spark, tmp_path):
 
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_columns_without_a_type_are_settled(spark):
+    from pyspark.sql import functions as F
+
+    out = P.settle(spark.range(2).select("id", F.lit(None).alias("x y")))
+    assert out.dtypes == [("id", "bigint"), ("x y", "string")] and out.count() == 2
