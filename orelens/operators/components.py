@@ -113,11 +113,13 @@ def sieve(classes: DataFrame, cls: str, width: int, threshold: int, connectivity
     largest = touch.join(big, "b").groupBy(F.col("a").alias("label")).agg((-F.max("rank")["l"]).alias("next"))
     hops = sizes.join(largest, "label", "left").select("label", "cls", F.when(F.col("n") < threshold, F.coalesce("next", "label")).otherwise(F.col("label")).alias("next"), (F.col("n") >= threshold).alias("kept"))
     hops = _checkpointed(hops)
-    small = hops.where("not kept").count()
     to = hops.select("label", "next")
-    for _ in range(max(1, math.ceil(math.log2(small + 1)))):  # each round doubles the reach
+    while True:  # each round doubles the reach; two that point at each other come to rest after the first
         step = to.select(F.col("label").alias("next"), F.col("next").alias("over"))
-        to = _checkpointed(to.join(step, "next").select("label", F.col("over").alias("next")))
+        after = _checkpointed(to.join(step, "next").select("label", F.col("over").alias("next"), (F.col("over") != F.col("next")).alias("moved")))
+        to = after.select("label", "next")
+        if not after.where("moved").limit(1).count():
+            break
     end = hops.select(F.col("label").alias("next"), F.col("cls").alias("new"), F.col("kept").alias("sound"))
     taken = to.join(end, "next").where("sound").select("label", "new")
     out = labelled.join(taken, "label", "left").select(F.col("row").cast("int"), F.col("col").cast("int"), F.coalesce("new", "cls").alias("_new"))
