@@ -74,11 +74,13 @@ QUERIES = {
     )
 }
 
-#: op2, op4, op6, op7, op8 and op9 have no SQL (test batteries, trained scores, Viterbi, shingle links of whole texts,
-#: mined rules, file formats); tests hold them against brute-force versions.
+#: op4, op6 and op9 have no SQL (trained scores, Viterbi, file formats); tests hold them against brute-force versions.
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_secret_scan": secret_scan.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_near_dedup": near_dedup.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
     "op10_exact_topk": vector_topk.ORACLE,
 }

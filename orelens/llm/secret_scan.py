@@ -164,3 +164,60 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
     every = F.array_sort(F.concat("base", "random"))
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spell(every).alias("spans"), F.size("random").cast("long").alias("n_random"))
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql_matches(name: str, pattern: str, rank: int) -> str:
+    """SQL of (rid, rank, pos, m, start, end) of a pattern's matches."""
+    return f"""{name}_m AS (
+  SELECT rid, unnest(regexp_extract_all(t, {_sql(pattern)})) AS m, unnest(list_slice(string_split_regex(t, {_sql(pattern)}), 1, len(regexp_extract_all(t, {_sql(pattern)})))) AS g,
+         generate_subscripts(regexp_extract_all(t, {_sql(pattern)}), 1) AS pos FROM d),
+{name} AS (
+  SELECT rid, {rank} AS rank, pos, m, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY pos) - length(m) AS s, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY pos) AS e FROM {name}_m)"""
+
+
+_TAIL_SQL = "(1 / (1 + exp(1.5976 * {0} + 0.07056 * {0} * {0} * {0})))"
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{_sql_matches("assign0", ASSIGN, 0)}, {_sql_matches("access0", ACCESS, 1)}, {_sql_matches("hex0", HEX, 2)}, {_sql_matches("token0", TOKEN, 3)},
+base AS (
+  SELECT rid, rank, s, e FROM assign0 WHERE length(regexp_extract(m, {_sql("^" + ASSIGN)}, 2)) >= {ASSIGN_VALUE}
+  UNION ALL SELECT rid, rank, s, e FROM access0 UNION ALL SELECT rid, rank, s, e FROM hex0),
+tok AS (
+  SELECT rid, pos, s, e, m, length(m) AS n,
+         CASE WHEN regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') THEN 0 WHEN regexp_matches(m, '^[A-Z2-7]+$') THEN 1 WHEN regexp_matches(m, '^([a-z0-9]+|[A-Z0-9]+)$') THEN 2 WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN 3 ELSE 4 END AS enc
+  FROM token0 WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
+enc AS (
+  SELECT *, [16.0, 32.0, 36.0, 62.0, 64.0][enc + 1]::DOUBLE AS k, CASE WHEN enc IN (0, 2) THEN lower(m) WHEN enc = 4 THEN translate(m, '-_', '+/') ELSE m END AS plain,
+         ['{_DIGITS}abcdef', '{_UPPER}234567', '{_DIGITS}{_LOWER}', '{_UPPER}{_LOWER}{_DIGITS}', '{_UPPER}{_LOWER}{_DIGITS}+/'][enc + 1] AS abc FROM tok),
+ch AS (SELECT rid, pos, i, substr(plain, i, 1) AS c, strpos(abc, substr(plain, i, 1)) - 1 - (k - 1) / 2 AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM enc)),
+sq AS (SELECT rid, pos, sum(q * q)::DOUBLE AS squares FROM (SELECT rid, pos, c, count(*) AS q FROM ch GROUP BY ALL) GROUP BY ALL),
+wk AS (
+  SELECT rid, pos, 1.0 + count(*) FILTER (was IS NOT NULL AND (v > 0) <> (was > 0)) AS runs, count(*) FILTER (v > 0)::DOUBLE AS above, coalesce(sum(v * was), 0) AS lag
+  FROM (SELECT rid, pos, v, lag(v) OVER (PARTITION BY rid, pos ORDER BY i) AS was FROM ch) GROUP BY ALL),
+z AS (
+  SELECT *, (pow(greatest(k / n * squares - n, 0) / (k - 1), 1 / 3.0::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z_chi,
+         1 + 2 * above * (n - above) / n AS mean, abs(lag) / ((k * k - 1) / 12 * sqrt(n - 1)) AS z_lag, n * (n - 1) / 2.0 * greatest({TEXT_COLLISIONS}, {TIMES_UNIFORM} / k) AS expected, (squares - n) / 2 AS equal
+  FROM enc JOIN sq USING (rid, pos) JOIN wk USING (rid, pos)),
+y AS (
+  SELECT *, (mean - 1) * (mean - 2) / (n - 1) AS spread, (expected - equal) / sqrt(expected) AS u, least(floor(log2(n / 20.0) * 2), {LENGTHS - 1}) AS cls FROM z),
+x AS (
+  SELECT rid, s, e, enc * {LENGTHS} + cls AS stratum,
+         {_TAIL_SQL.format("z_chi")} >= {FAIL} AND 2 * {_TAIL_SQL.format("least(CASE WHEN spread > 0 THEN abs(runs - mean) / sqrt(greatest(spread, 1e-9)) ELSE 99 END, 9)")} >= {FAIL} AND 2 * {_TAIL_SQL.format("least(z_lag, 9)")} >= {FAIL} AS random,
+         least(floor(10 * CASE WHEN u <= 0 THEN 0 WHEN u < 2.5 THEN -log10({_TAIL_SQL.format("u")}) ELSE (u * u / 2 + ln(u * 2.5066282746310002)) / 2.302585092994046 END), {BINS - 1}) AS bin FROM y),
+bh AS (
+  SELECT stratum, min(bin) AS least FROM (
+    SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS found, sum(count(*)) OVER (PARTITION BY stratum) AS every FROM x GROUP BY stratum, bin)
+  WHERE pow(10, -bin / 10) * every <= {RATE} * found GROUP BY stratum),
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT x.rid, 3, x.s, x.e FROM x JOIN bh USING (stratum) WHERE random AND bin >= least AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)),
+told AS (SELECT rid, rank, s, e, {list(KINDS)}[rank + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM spans)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, rank), '') AS spans, count(*) FILTER (rank = 3) AS n_random
+FROM d LEFT JOIN told USING (rid) GROUP BY rid
+"""

@@ -35,7 +35,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 SAMPLE_ROWS = 100_000
-SUPPORT, CONFIDENCE, LIFT = 0.005, 0.6, 1.5
+#: A rule's share of the labelled pages, and the pages it needs at the least, as a share of few pages says nothing.
+SUPPORT, LEAST_PAGES = 0.005, 5
+CONFIDENCE, LIFT = 0.6, 1.5
 MOST_TOKENS = 3
 BAD = "=bad"
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -100,7 +102,8 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
 
     baskets = settle(rows.select("url", F.col("bad").cast("int")).mapInArrow(items, "items array<string>"))
     total, bad = baskets.agg(F.count("*"), F.count(F.when(F.array_contains("items", BAD), 1))).first()
-    if not bad:
+    support = max(support, LEAST_PAGES / max(total, 1))
+    if not bad or support > 1:
         return [], {}
     # Tokens rarer than the support can be in no rule; without them every basket is short.
     frequent = baskets.select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= support * total).collect()
@@ -147,3 +150,35 @@ def labels_of(labels: DataFrame) -> DataFrame:
     """A page is bad if the document of its id is of poor quality or toxic."""
     bad: Column = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = "list_transform({0}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN 'p:#' || length(x) ELSE 'p:' || x END)"
+ORACLE = f"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT rid, page_id, translate(regexp_extract(coalesce(rest, ''), '(?s)^([^/?#]*)', 1), {_A_TO_Z}) AS host, regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(coalesce(rest, ''), '(?s)^[^/?#]*[^?#]*(.*)$', 1) AS tail FROM u),
+t AS (
+  SELECT rid, page_id, unnest(list_distinct(list_concat(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+    {_WORDS.format(f"regexp_extract_all(translate(path, {_A_TO_Z}), '[a-z0-9]+')")},
+    list_transform(list_filter(regexp_extract_all(translate(tail, {_A_TO_Z}), '[a-z0-9]+'), lambda x: NOT regexp_matches(x, '^[0-9]+$')), lambda x: 'q:' || x)))) AS tok FROM h),
+l AS (SELECT doc_id AS page_id, max(CAST(quality = 0 OR toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY 1),
+b AS (SELECT rid, bad FROM h JOIN l USING (page_id)),
+g AS (SELECT greatest({SUPPORT} * count(*), {LEAST_PAGES}) AS least, avg(bad) AS base FROM b),
+f AS (SELECT t.rid, tok, bad FROM t JOIN b USING (rid)),
+s AS (
+  SELECT [tok] AS r, count(*) AS n, sum(bad) AS nb FROM f GROUP BY ALL
+  UNION ALL SELECT [x.tok, y.tok], count(*), sum(x.bad) FROM f x JOIN f y ON x.rid = y.rid AND x.tok < y.tok GROUP BY ALL
+  UNION ALL SELECT [x.tok, y.tok, z.tok], count(*), sum(x.bad) FROM f x JOIN f y ON x.rid = y.rid AND x.tok < y.tok JOIN f z ON x.rid = z.rid AND y.tok < z.tok GROUP BY ALL),
+c AS (SELECT r, nb / n AS sure FROM s, g WHERE nb >= least AND nb / n >= {CONFIDENCE} AND nb / n >= {LIFT} * base),
+-- a rule that a kept shorter one covers as surely goes; whatever covers the shorter one covers it too
+m AS (SELECT r FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE len(d.r) < len(c.r) AND d.sure >= c.sure AND list_has_all(c.r, d.r))),
+o AS (SELECT rid, list(tok) AS own FROM t GROUP BY rid),
+k AS (SELECT DISTINCT rid FROM o, m WHERE list_has_all(own, r)),
+e AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{d}', '{q}')" for v, d, q in RULES)}) v(verdict, rh, rp)),
+w AS (SELECT rid, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC) AS n FROM h, e WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN k.rid IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN w ON w.rid = h.rid AND w.n = 1 LEFT JOIN k ON k.rid = h.rid
+"""
