@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OCTAVES = (1, 2, 4, 8)
+#: Centre and reach of each site as shares of its height and width, how far noise bends the zones, and the
+#: zones' limits as distances from the centre.
+PIT = {"centre": (0.55, 0.5), "reach": (0.5, 0.5), "bend": 0.15, "crest": 0.78, "slope": 0.45, "band": (0.42, 0.50), "band_noise": 0.45, "pond_row": 0.70, "pond_sigma": 0.07, "pond_level": 0.55, "pond_within": 0.25}
+TAILINGS = {"centre": (0.45, 0.5), "reach": (0.48, 0.52), "bend": 0.12, "wet": 0.30, "beach": 0.72, "pond": 0.12, "pond_row": 0.55, "toe": (0.68, 0.80), "toe_noise": 0.55, "face": (0.22, 0.50), "face_col": 0.55, "face_noise": 0.60}
 
 
 def noise(row: Column, col: Column, height: int, width: int, pixels: int, seed: int) -> Column:
@@ -47,29 +51,38 @@ def _zones(cells: DataFrame, rules: list[tuple[Column, int]], default: int) -> D
     return cells.select("row", "col", label.otherwise(default).cast("int").alias("label"))
 
 
+def _bent(spark: SparkSession, height: int, width: int, site: dict, seed: int, **grains: int) -> DataFrame:
+    """Cells with the bent distance `d` and one noise a name in `grains`."""
+    row, col = F.col("row"), F.col("col")
+    smooth = lambda pixels, k: noise(row, col, height, width, pixels, seed + k)
+    more = {name: smooth(pixels, k) for k, (name, pixels) in enumerate(grains.items(), 1)}
+    return _grid(spark, height, width).withColumns({"d": _distance(height, width, site["centre"], site["reach"]) + site["bend"] * (smooth(8, 0) - 0.5), **more})
+
+
+def _between(value: Column, limits: tuple[float, float]) -> Column:
+    return (value > limits[0]) & (value <= limits[1])
+
+
 def pit_wall_labels(spark: SparkSession, height: int, width: int, seed: int = 42) -> DataFrame:
     """1 fresh rock, 2 weathered slope, 3 unstable band, 4 vegetation at the crest, 5 water on the floor."""
-    bend = noise(F.col("row"), F.col("col"), height, width, 8, seed)
-    cells = _grid(spark, height, width).withColumns({"d": _distance(height, width, (0.55, 0.5), (0.5, 0.5)) + 0.15 * (bend - 0.5), "n": noise(F.col("row"), F.col("col"), height, width, 4, seed + 1)})
-    d = F.col("d")
-    away = F.pow(F.col("row") - height * 0.70, F.lit(2.0)) + F.pow(F.col("col") - width * 0.5, F.lit(2.0))
-    water = F.exp(-away / (2 * (height * 0.07) ** 2))
-    return _zones(cells, [((water > 0.55) & (d < 0.25), 5), ((d > 0.42) & (d <= 0.50) & (F.col("n") > 0.45), 3), (d > 0.78, 4), (d > 0.45, 2)], 1)
+    d, site = F.col("d"), PIT
+    away = F.pow(F.col("row") - height * site["pond_row"], F.lit(2.0)) + F.pow(F.col("col") - width * site["centre"][1], F.lit(2.0))
+    water = F.exp(-away / (2 * (height * site["pond_sigma"]) ** 2)) > site["pond_level"]
+    rules = [(water & (d < site["pond_within"]), 5), (_between(d, site["band"]) & (F.col("loose") > site["band_noise"]), 3), (d > site["crest"], 4), (d > site["slope"], 2)]
+    return _zones(_bent(spark, height, width, site, seed, loose=4), rules, 1)
 
 
 def tailings_labels(spark: SparkSession, height: int, width: int, seed: int = 42) -> DataFrame:
     """1 wet tailings, 2 dry beach, 3 pond, 4 rehabilitated crest, 5 dust risk down wind, 6 seepage at the toe."""
-    row, col = F.col("row"), F.col("col")
-    cells = _grid(spark, height, width).withColumns({"d": _distance(height, width, (0.45, 0.5), (0.48, 0.52)) + 0.12 * (noise(row, col, height, width, 8, seed) - 0.5), "seep": noise(row, col, height, width, 6, seed + 1), "dust": noise(row, col, height, width, 5, seed + 2)})
-    d = F.col("d")
+    d, site = F.col("d"), TAILINGS
     rules = [
-        ((d > 0.22) & (d <= 0.50) & (col > width * 0.55) & (F.col("dust") > 0.60), 5),
-        ((d > 0.68) & (d <= 0.80) & (F.col("seep") > 0.55), 6),
-        ((d <= 0.12) & (row > height * 0.55), 3),
-        (d <= 0.30, 1),
-        (d <= 0.72, 2),
+        (_between(d, site["face"]) & (F.col("col") > width * site["face_col"]) & (F.col("dust") > site["face_noise"]), 5),
+        (_between(d, site["toe"]) & (F.col("seep") > site["toe_noise"]), 6),
+        ((d <= site["pond"]) & (F.col("row") > height * site["pond_row"]), 3),
+        (d <= site["wet"], 1),
+        (d <= site["beach"], 2),
     ]
-    return _zones(cells, rules, 4)
+    return _zones(_bent(spark, height, width, site, seed, seep=6, dust=5), rules, 4)
 
 
 def ring_labels(spark: SparkSession, height: int, width: int, classes: int = 5, seed: int = 42) -> DataFrame:
