@@ -9,7 +9,8 @@ whole texts.
 A bucket whose members end up in several components may hide links between members other than the centre. If
 it is small (at most SMALL members, so that pairs stay a fixed multiple of the members), all its pairs between
 different components are confirmed too. Members of larger ones are hashed again with longer, more numerous
-bands, which tell near from nearest, and go through the same two steps.
+bands, which tell near from nearest, and go through the same two steps. What is still crowded then is joined
+exactly: two sets that are linked share one of their rarest shingles, and how rare follows from their sizes.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; fewer than SHINGLE words form
 one shingle; rows that repeat a doc_id are one document and share its component; a row whose doc_id is null
@@ -19,10 +20,13 @@ not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, mix64, runs_of, settle, small, text_bytes
 
@@ -32,6 +36,8 @@ BINS = 192
 #: (1 - 0.85**rows)**bands: below one in a million.
 LEVELS = ((32, 6), (96, 12))
 SMALL = 16
+#: Ratio of the sizes in a class of the exact join, and the rows of a shingle there that stay in one task.
+SIZE_CLASS, SALTED = 1.03, 512
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 85
 #: Bytes of text hashed at once: the working arrays of a run stay near the CPU's caches.
@@ -270,6 +276,59 @@ def _across(mixed: DataFrame) -> DataFrame:
     return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near_size()).select("a", "b").distinct()
 
 
+def _sets(batches):
+    """(id, n, s) of texts: their distinct shingles."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for a, b in runs_of(offsets, RUN_BYTES):
+            sets = shingle_sets(data, offsets[a : b + 1])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), lists], ["id", "n", "s"])
+
+
+def _rarest(texts: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, a < b) of all pairs between components of the crowded texts that can be linked: a prefix-filter join.
+
+    Each text's shingles are ordered from the rarest on. The first that a pair has in common stands where what is left
+    of either set can still hold the intersection that a link needs: (100 + PERCENT) * common >= PERCENT * (nx + ny). x,
+    the smaller set, knows ny >= nx; y is listed for each class of sizes that x may have. Within a class, pairs inside
+    the component that holds most rows of a shingle are never formed, and the x of common shingles are salted.
+    """
+    own = texts.join(small(crowded), "doc_id", "left_semi").mapInArrow(_sets, "id long, n long, s array<long>").withColumn("v", F.xxhash64("s")).dropDuplicates(["id", "v"])
+    size = lambda n: F.floor(F.log(n) / math.log(SIZE_CLASS)).cast("int")
+    own = settle(own.where("n > 0").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("k", size(F.col("n"))))
+    flat = settle(own.select("id", "v", "n", "label", "k", F.explode("s").alias("g")))
+    shared = flat.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
+    order = F.row_number().over(Window.partitionBy("id", "v").orderBy(F.coalesce("f", F.lit(1)), "g"))
+    placed = flat.join(shared, "g", "left").withColumn("p", order).withColumn("rest", F.col("n") - F.col("p") + 1)
+    placed = settle(placed.where(f"f > 1 and rest * 100 >= {PERCENT} * n").select("g", "id", "v", "n", "label", "k", "p", "rest"))
+    x = placed.where(f"rest * {100 + PERCENT} >= {2 * PERCENT} * n").select("g", "k", "id", "v", "n", "label", "p", F.lit(True).alias("x"))
+    least = F.broadcast(own.groupBy("k").agg(F.min("n").alias("lo")))  # one row a class of sizes
+    classes = F.explode(F.sequence(size(F.ceil(F.col("n") * PERCENT / 100)), F.col("k")))
+    y = placed.withColumn("k", classes).join(least, "k").where(f"rest * {100 + PERCENT} >= {PERCENT} * (n + lo)").select("g", "k", "id", "v", "n", "label", "p", F.lit(False).alias("x"))
+    both = settle(x.union(y))
+    counts = both.groupBy("g", "k", "label").agg(F.count_if("x").alias("xs"), F.count_if(~F.col("x")).alias("ys"))
+    groups = counts.groupBy("g", "k").agg(F.max(F.struct(F.col("xs") + F.col("ys"), "label")).getField("label").alias("main"), F.count("*").alias("labels"), F.sum("xs").alias("xs"), F.sum("ys").alias("ys"))
+    groups = groups.where("labels > 1 and xs > 0 and ys > 0").select("g", "k", "main", F.ceil(F.col("xs") / SALTED).cast("int").alias("salts"))
+    named = settle(both.join(groups, ["g", "k"]).withColumn("most", F.col("label") == F.col("main")).drop("main"))
+    # In "to_most" x isn't of the main component and y is; in the other side y isn't.
+    side = lambda mine, other: F.explode(F.when(F.col("most"), F.array(F.lit(mine))).otherwise(F.array(*map(F.lit, other))))
+    left = named.where("x").withColumn("to_most", side(False, (True, False))).withColumn("salt", F.pmod(F.xxhash64("id", "v"), F.col("salts")).cast("int"))
+    right = named.where("not x").withColumn("to_most", side(True, (False,))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = left.select("g", "k", "to_most", "salt", F.col("id").alias("xi"), F.col("v").alias("xv"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("p").alias("px"))
+    right = right.select("g", "k", "to_most", "salt", F.col("id").alias("yi"), F.col("v").alias("yv"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("p").alias("py"))
+    met = left.join(right, ["g", "k", "to_most", "salt"]).where(
+        f"lx <> ly and (nx < ny or nx = ny and xi < yi) and nx * 100 >= ny * {PERCENT} and (1 + least(nx - px, ny - py)) * {100 + PERCENT} >= {PERCENT} * (nx + ny)"
+    )
+    met = met.groupBy("xi", "xv", "yi", "yv", "nx", "ny").agg(F.count("*").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
+    # Whatever else they share stands after the last shingle that both lists have.
+    met = met.where(f"(c + least(nx - px, ny - py)) * {100 + PERCENT} >= {PERCENT} * (nx + ny)")
+    out = settle(met.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct())
+    discard(own, flat, placed, both, named)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -278,21 +337,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = settle(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
     members = sets.select("id", "n_shingles", F.explode("keys").alias("key"))
     tested = labels = None
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal tested, labels
+        pairs = settle(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti") if tested is not None else pairs)
+        found = settle(confirm(pairs, texts))
+        discard(pairs)
+        news = labels is None or found.where("ok").limit(1).count()
+        tested = settle(tested.union(found)) if tested is not None else found
+        if news:
+            labels = components(tested.where("ok"))
+
     for level in range(len(LEVELS)):
         buckets = _buckets(members)
-        for step in ("stars", "across"):
-            if step == "across":
-                mixed = _mixed(buckets, labels)
-            pairs = _stars(buckets) if step == "stars" else _across(mixed)
-            pairs = settle(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti") if tested is not None else pairs)
-            found = settle(confirm(pairs, texts))
-            discard(pairs)
-            news = labels is None or found.where("ok").limit(1).count()
-            tested = settle(tested.union(found)) if tested is not None else found
-            if news:
-                labels = components(tested.where("ok"))
+        test(_stars(buckets))
+        mixed = _mixed(buckets, labels)
+        test(_across(mixed))
         crowded = settle(mixed.where(F.col("size") > SMALL).select(F.col("id").alias("doc_id")).distinct())
-        if level + 1 == len(LEVELS) or not crowded.limit(1).count():
+        if not crowded.limit(1).count():
+            break
+        if level + 1 == len(LEVELS):
+            test(_rarest(texts, crowded, labels))
             break
         again = texts.join(small(crowded), "doc_id", "left_semi").mapInArrow(_again(level + 1), "id long, n_shingles long, keys array<long>")
         members = settle(again.select("id", "n_shingles", F.explode("keys").alias("key")))

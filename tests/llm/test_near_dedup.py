@@ -93,6 +93,29 @@ def test_a_crowd_around_a_text(spark):
     assert got == brute(rows)
 
 
+def family(pairs):
+    """Texts on one template, similar by 0.845; each has a partner with one more shingle in common, which makes 0.853."""
+    base = [f"t{i}" for i in range(200)]
+    texts = [" ".join(base + [f"o{i}x{k}" for k in range(13)] + [f"p{i // 2}x{k}" for k in range(5)]) for i in range(2 * pairs)]
+    return [(i * 7919 % 100_003, t) for i, t in enumerate(texts)]
+
+
+def test_a_crowd_that_no_bucket_tells_apart(spark):
+    """All share crowded buckets at every level, and a linked pair needn't hold the centre of one."""
+    rows = family(120)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_rarest_shingles_find_every_link(spark):
+    """The exact join alone, without any bucket, gives every component."""
+    for rows in (corpus(5), family(30)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        pairs = N._rarest(docs, docs.select("doc_id"), spark.createDataFrame([], "id long, label long"))
+        labels = dict(map(tuple, N.components(N.confirm(pairs, docs).where("ok")).collect()))
+        assert {d: labels.get(d, d) for d, _ in rows} == {d: x[1] for d, x in brute(rows).items()}
+
+
 def test_edge_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C d e f"), (3, "q " * 5000), (None, None)]
     out = [tuple(r) for r in N.near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")).collect()]
