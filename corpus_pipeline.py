@@ -15,6 +15,10 @@ from orelens.llm.common import settle, table
 from orelens.llm.queries import tokenizer_path
 
 
+#: Documents with this percentage of their five-word shingles in common are near copies.
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.stage(docs, table(spark, sf_dir, "labels"))
 
@@ -24,7 +28,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_first_of_each(docs)
+    return near_dedup.keep_first_of_each(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,13 +32,12 @@ from .common import discard, mix64, runs_of, settle, small, text_bytes
 
 SHINGLE = 5
 BINS = 192
-#: (bands, bins a band) of each level. A link of similarity 0.85 is missed by all bands of a level with a chance of
-#: (1 - 0.85**rows)**bands: below one in a million.
-LEVELS = ((32, 6), (96, 12))
+#: The chance that all bands of a level miss a link: (1 - similarity**rows)**bands.
+MISSED = 1e-6
 SMALL = 16
 #: Ratio of the sizes in a class of the exact join, and the rows of a shingle there that stay in one task.
 SIZE_CLASS, SALTED = 1.03, 512
-#: A link needs PERCENT * union <= 100 * intersection.
+#: A link needs percent * union <= 100 * intersection; this is the query's.
 PERCENT = 85
 #: Bytes of text hashed at once: the working arrays of a run stay near the CPU's caches.
 RUN_BYTES = 1 << 20
@@ -113,9 +112,20 @@ def _probes() -> np.ndarray:
     return _POWERS["probes"]
 
 
-def band_keys(sets: list[np.ndarray], level: int) -> np.ndarray:
+def levels(percent: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """(bands, bins a band) of each level: the longest bands that miss a link with a chance below MISSED, then twice as long ones."""
+    alike = percent / 100
+    fit = [r for r in range(1, BINS // 2 + 1) if (1 - alike**r) ** (BINS // r) < MISSED] if 0 < percent < 100 else []
+    if not fit:
+        raise ValueError(f"no bands of {BINS} bins find a similarity of {percent} percent")
+    rows = max(fit)
+    more = math.ceil(math.log(MISSED) / math.log1p(-(alike ** (2 * rows))))
+    return (BINS // rows, rows), (-(-more // 32) * 32, 2 * rows)
+
+
+def band_keys(sets: list[np.ndarray], level: int, percent: int = PERCENT) -> np.ndarray:
     """A (documents, bands) array of bucket keys; all sets must have members."""
-    bands, rows = LEVELS[level]
+    bands, rows = levels(percent)[level]
     n, sizes = len(sets), np.array([len(s) for s in sets])
     everything = np.concatenate(sets)
     cell = np.repeat(np.arange(n), sizes) * BINS + ((everything >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
@@ -136,7 +146,7 @@ def band_keys(sets: list[np.ndarray], level: int) -> np.ndarray:
         out[e] = signature[r : r + BINS][filled[r : r + BINS]][0]
     out = out.reshape(n, BINS)
     # The first level cuts the signature into bands; later ones draw bins, so that bands overlap.
-    drawn = np.arange(BINS).reshape(bands, rows) if bands * rows == BINS else np.random.default_rng(level).permuted(np.tile(np.arange(BINS), (bands, 1)), axis=1)[:, :rows]
+    drawn = np.arange(bands * rows).reshape(bands, rows) if bands * rows <= BINS else np.random.default_rng(level).permuted(np.tile(np.arange(BINS), (bands, 1)), axis=1)[:, :rows]
     with np.errstate(over="ignore"):
         keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _P + np.uint64(level), (n, 1))
         for k in range(rows):
@@ -144,61 +154,67 @@ def band_keys(sets: list[np.ndarray], level: int) -> np.ndarray:
     return keys
 
 
-def _sketch(batches):
-    names = ["doc_id", "n_shingles", "d1", "d2", "keys"]
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        for a, b in runs_of(offsets, RUN_BYTES):
-            sets = shingle_sets(data, offsets[a : b + 1])
-            sizes = np.array([len(s) for s in sets], np.int64)
-            some = np.flatnonzero(sizes)
-            d = np.zeros((2, b - a), np.uint64)
-            keys = np.zeros((0, LEVELS[0][0]), np.uint64)
-            if len(some):
-                filled = [sets[i] for i in some]
-                everything, at = np.concatenate(filled), np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
-                with np.errstate(over="ignore"):
-                    d[0, some] = np.add.reduceat(mix64(everything + _P), at)
-                    d[1, some] = np.add.reduceat(mix64(everything ^ _Q), at)
-                keys = band_keys(filled, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((sizes > 0) * keys.shape[1]))), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists], names)
-
-
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets have PERCENT of their union in common."""
-    if min(len(x), len(y)) * 100 < PERCENT * max(len(x), len(y)):
+def _sketch(percent: int):
+    def run(batches):
+        names = ["doc_id", "n_shingles", "d1", "d2", "keys"]
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in runs_of(offsets, RUN_BYTES):
+                sets = shingle_sets(data, offsets[a : b + 1])
+                sizes = np.array([len(s) for s in sets], np.int64)
+                some = np.flatnonzero(sizes)
+                d = np.zeros((2, b - a), np.uint64)
+                keys = np.zeros((0, levels(percent)[0][0]), np.uint64)
+                if len(some):
+                    filled = [sets[i] for i in some]
+                    everything, at = np.concatenate(filled), np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+                    with np.errstate(over="ignore"):
+                        d[0, some] = np.add.reduceat(mix64(everything + _P), at)
+                        d[1, some] = np.add.reduceat(mix64(everything ^ _Q), at)
+                    keys = band_keys(filled, 0, percent)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((sizes > 0) * keys.shape[1]))), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists], names)
+
+    return run
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets have so many percent of their union in common."""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
     both = np.concatenate((x, y))
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _confirm(batches):
-    seen: dict[int, tuple] = {}
-    for batch in batches:
-        first, second = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-        centre, good = batch.column(1).to_pylist(), []
-        for a, b in runs_of(first[1] + second[1], RUN_BYTES):
-            left = shingle_sets(first[0], first[1][a : b + 1])
-            for k in range(a, b):
-                lo, hi = second[1][k], second[1][k + 1]
-                text = second[0][lo:hi].tobytes()
-                if centre[k] not in seen or seen[centre[k]][0] != text:
-                    seen.clear()
-                    seen[centre[k]] = (text, shingle_sets(second[0], second[1][k : k + 2])[0])
-                good.append(linked(left[k - a], seen[centre[k]][1]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "ok"])
-
-
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(percent: int):
+    def run(batches):
+        seen: dict[int, tuple] = {}
+        for batch in batches:
+            first, second = text_bytes(batch.column(2)), text_bytes(batch.column(3))
+            centre, good = batch.column(1).to_pylist(), []
+            for a, b in runs_of(first[1] + second[1], RUN_BYTES):
+                left = shingle_sets(first[0], first[1][a : b + 1])
+                for k in range(a, b):
+                    lo, hi = second[1][k], second[1][k + 1]
+                    text = second[0][lo:hi].tobytes()
+                    if centre[k] not in seen or seen[centre[k]][0] != text:
+                        seen.clear()
+                        seen[centre[k]] = (text, shingle_sets(second[0], second[1][k : k + 2])[0])
+                    good.append(linked(left[k - a], seen[centre[k]][1], percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "ok"])
+
+    return run
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, ok) of the pairs (a, b), judged on the whole texts (doc_id, text)."""
     ids = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     needed = texts.join(ids, "doc_id", "left_semi")
     joined = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(_confirm, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
+    return joined.mapInArrow(_confirm(percent), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,7 +239,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(after)
 
 
-def _again(level: int):
+def _again(level: int, percent: int):
     """(id, n_shingles, keys) of a later level, for texts that have shingles."""
 
     def run(batches):
@@ -234,7 +250,7 @@ def _again(level: int):
                 some = [i for i, s in enumerate(sets) if len(s)]
                 if not some:
                     continue
-                keys = band_keys([sets[i] for i in some], level)
+                keys = band_keys([sets[i] for i in some], level, percent)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int64()), lists], ["id", "n_shingles", "keys"])
 
@@ -250,14 +266,14 @@ def _buckets(members: DataFrame) -> DataFrame:
     return out
 
 
-def _near_size():
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+def _near_size(percent: int):
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
+def _stars(buckets: DataFrame, percent: int) -> DataFrame:
     """(a, b, a < b) between each bucket's centre and its other members."""
     centre = buckets.groupBy("key").agg(F.max(F.struct("full", (-F.col("id")).alias("i"), F.col("n_shingles").alias("nb"))).alias("c")).select("key", (-F.col("c.i")).alias("c"), "c.nb")
-    pairs = buckets.withColumnRenamed("n_shingles", "na").join(centre, "key").where((F.col("id") != F.col("c")) & _near_size())
+    pairs = buckets.withColumnRenamed("n_shingles", "na").join(centre, "key").where((F.col("id") != F.col("c")) & _near_size(percent))
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
@@ -268,12 +284,12 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(named.join(keys, "key").select("key", "id", "n_shingles", "size", "label"))
 
 
-def _across(mixed: DataFrame) -> DataFrame:
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
     """(a, b, a < b) of the pairs between components in small buckets."""
     few = mixed.where(F.col("size") <= SMALL)
     left = few.select("key", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
     right = few.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("label").alias("lb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near_size()).select("a", "b").distinct()
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near_size(percent)).select("a", "b").distinct()
 
 
 def _sets(batches):
@@ -287,11 +303,11 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), lists], ["id", "n", "s"])
 
 
-def _rarest(texts: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+def _rarest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, a < b) of all pairs between components of the crowded texts that can be linked: a prefix-filter join.
 
     Each text's shingles are ordered from the rarest on. The first that a pair has in common stands where what is left
-    of either set can still hold the intersection that a link needs: (100 + PERCENT) * common >= PERCENT * (nx + ny). x,
+    of either set can still hold the intersection that a link needs: (100 + percent) * common >= percent * (nx + ny). x,
     the smaller set, knows ny >= nx; y is listed for each class of sizes that x may have. Within a class, pairs inside
     the component that holds most rows of a shingle are never formed, and the x of common shingles are salted.
     """
@@ -302,11 +318,11 @@ def _rarest(texts: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFram
     shared = flat.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
     order = F.row_number().over(Window.partitionBy("id", "v").orderBy(F.coalesce("f", F.lit(1)), "g"))
     placed = flat.join(shared, "g", "left").withColumn("p", order).withColumn("rest", F.col("n") - F.col("p") + 1)
-    placed = settle(placed.where(f"f > 1 and rest * 100 >= {PERCENT} * n").select("g", "id", "v", "n", "label", "k", "p", "rest"))
-    x = placed.where(f"rest * {100 + PERCENT} >= {2 * PERCENT} * n").select("g", "k", "id", "v", "n", "label", "p", F.lit(True).alias("x"))
+    placed = settle(placed.where(f"f > 1 and rest * 100 >= {percent} * n").select("g", "id", "v", "n", "label", "k", "p", "rest"))
+    x = placed.where(f"rest * {100 + percent} >= {2 * percent} * n").select("g", "k", "id", "v", "n", "label", "p", F.lit(True).alias("x"))
     least = F.broadcast(own.groupBy("k").agg(F.min("n").alias("lo")))  # one row a class of sizes
-    classes = F.explode(F.sequence(size(F.ceil(F.col("n") * PERCENT / 100)), F.col("k")))
-    y = placed.withColumn("k", classes).join(least, "k").where(f"rest * {100 + PERCENT} >= {PERCENT} * (n + lo)").select("g", "k", "id", "v", "n", "label", "p", F.lit(False).alias("x"))
+    classes = F.explode(F.sequence(size(F.ceil(F.col("n") * percent / 100)), F.col("k")))
+    y = placed.withColumn("k", classes).join(least, "k").where(f"rest * {100 + percent} >= {percent} * (n + lo)").select("g", "k", "id", "v", "n", "label", "p", F.lit(False).alias("x"))
     both = settle(x.union(y))
     counts = both.groupBy("g", "k", "label").agg(F.count_if("x").alias("xs"), F.count_if(~F.col("x")).alias("ys"))
     groups = counts.groupBy("g", "k").agg(F.max(F.struct(F.col("xs") + F.col("ys"), "label")).getField("label").alias("main"), F.count("*").alias("labels"), F.sum("xs").alias("xs"), F.sum("ys").alias("ys"))
@@ -319,20 +335,20 @@ def _rarest(texts: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFram
     left = left.select("g", "k", "to_most", "salt", F.col("id").alias("xi"), F.col("v").alias("xv"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("p").alias("px"))
     right = right.select("g", "k", "to_most", "salt", F.col("id").alias("yi"), F.col("v").alias("yv"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("p").alias("py"))
     met = left.join(right, ["g", "k", "to_most", "salt"]).where(
-        f"lx <> ly and (nx < ny or nx = ny and xi < yi) and nx * 100 >= ny * {PERCENT} and (1 + least(nx - px, ny - py)) * {100 + PERCENT} >= {PERCENT} * (nx + ny)"
+        f"lx <> ly and (nx < ny or nx = ny and xi < yi) and nx * 100 >= ny * {percent} and (1 + least(nx - px, ny - py)) * {100 + percent} >= {percent} * (nx + ny)"
     )
     met = met.groupBy("xi", "xv", "yi", "yv", "nx", "ny").agg(F.count("*").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
     # Whatever else they share stands after the last shingle that both lists have.
-    met = met.where(f"(c + least(nx - px, ny - py)) * {100 + PERCENT} >= {PERCENT} * (nx + ny)")
+    met = met.where(f"(c + least(nx - px, ny - py)) * {100 + percent} >= {percent} * (nx + ny)")
     out = settle(met.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct())
     discard(own, flat, placed, both, named)
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = settle(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
+    sketches = settle(texts.mapInArrow(_sketch(percent), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     sets = settle(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
     members = sets.select("id", "n_shingles", F.explode("keys").alias("key"))
@@ -341,25 +357,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def test(pairs: DataFrame) -> None:
         nonlocal tested, labels
         pairs = settle(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti") if tested is not None else pairs)
-        found = settle(confirm(pairs, texts))
+        found = settle(confirm(pairs, texts, percent))
         discard(pairs)
         news = labels is None or found.where("ok").limit(1).count()
         tested = settle(tested.union(found)) if tested is not None else found
         if news:
             labels = components(tested.where("ok"))
 
-    for level in range(len(LEVELS)):
+    last = len(levels(percent)) - 1
+    for level in range(last + 1):
         buckets = _buckets(members)
-        test(_stars(buckets))
+        test(_stars(buckets, percent))
         mixed = _mixed(buckets, labels)
-        test(_across(mixed))
+        test(_across(mixed, percent))
         crowded = settle(mixed.where(F.col("size") > SMALL).select(F.col("id").alias("doc_id")).distinct())
         if not crowded.limit(1).count():
             break
-        if level + 1 == len(LEVELS):
-            test(_rarest(texts, crowded, labels))
+        if level == last:
+            test(_rarest(texts, crowded, labels, percent))
             break
-        again = texts.join(small(crowded), "doc_id", "left_semi").mapInArrow(_again(level + 1), "id long, n_shingles long, keys array<long>")
+        again = texts.join(small(crowded), "doc_id", "left_semi").mapInArrow(_again(level + 1, percent), "id long, n_shingles long, keys array<long>")
         members = settle(again.select("id", "n_shingles", F.explode("keys").alias("key")))
     of_sets = settle(sets.join(labels, "id", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "id").alias("label")))
     out = sketches.drop("keys").join(of_sets, ["n_shingles", "d1", "d2"], "left")
@@ -367,9 +384,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the documents that near_duplicates() doesn't keep."""
-    gone = small(settle(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()))
+    gone = small(settle(near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

@@ -7,6 +7,7 @@ from orelens.llm.queries import QUERIES, tokenizer_path
 
 from .test_line_dedup import brute as brute_lines
 from .test_near_dedup import brute as brute_groups
+from .test_near_dedup import shingles
 
 
 def corpus(folder, spark):
@@ -56,6 +57,23 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
 
 
+def test_near_copies_from_a_similarity_of_80_percent(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = [f"d{i}w{k}" for k in range(100)]
+        rows.append((i, " ".join(words)))
+        for at in ((20, 70), (20, 50, 80))[i % 2]:
+            words[at + rng.randrange(5)] = "changed"
+        rows.append((100 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: shingles(t) for d, t in rows}
+    alike = {i: 100 * len(sets[i] & sets[100 + i]) / len(sets[i] | sets[100 + i]) for i in range(40)}
+    assert any(80 <= x < 85 for x in alike.values()) and any(x < 80 for x in alike.values())
+    got = {r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()}
+    assert got == set(range(40)) | {100 + i for i, x in alike.items() if x < 80}
+
+
 def test_empty_documents(spark, tmp_path):
     corpus(str(tmp_path / "full"), spark)
     empty = P.table(spark, str(tmp_path / "full"), "documents").limit(0)
