@@ -135,3 +135,22 @@ def test_synthetic_sites(spark):
     assert (dam == again).all()
     far = array(synthetic._grid(spark, 30, 30).withColumn("n", synthetic.noise(F.col("row"), F.col("col"), 30, 30, 8, 1)), "n", (30, 30))
     assert far.min() >= 0 and far.max() <= 1 and np.abs(np.diff(far, axis=0)).max() < 0.6
+
+
+def test_rounds_and_depth_reach_the_trees(spark, monkeypatch):
+    asked = []
+
+    class Reached(Exception):
+        pass
+
+    def record(**given):
+        asked.append((given.get("maxIter", given.get("numTrees")), given["maxDepth"]))
+        raise Reached
+
+    monkeypatch.setattr(ml, "GBTClassifier", record)
+    monkeypatch.setattr(ml, "RandomForestClassifier", record)
+    configs = [ml.ClassificationConfig("xgboost"), ml.ClassificationConfig("xgboost", n_estimators=200, max_depth=10), ml.ClassificationConfig()]
+    for config in configs:
+        with pytest.raises(Reached):
+            ml.fit(samples(spark), ["a", "b", "c"], config)
+    assert asked == [(100, 6), (200, 10), (100, 30)]
