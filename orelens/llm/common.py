@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows a side may have to be broadcast; each caller's rows are of fixed width.
 BROADCAST_ROWS = 1_000_000
@@ -59,6 +62,51 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x) with x worked out once: what a lambda names from outside is worked out again at each of its calls."""
+    return F.get(F.transform(F.array(x), then), 0)
+
+
+def running(values: str, width: int = 256) -> str:
+    """SQL of an array<bigint>: the sums of an array's values up to and including each.
+
+    An array that grows by one is copied each time, so only `width` sums at a time grow, and the totals of these parts
+    alike: n values take about n * width / 2 + (n / width)**2 / 2 steps. SQL text, as plans of nested lambdas are slow to
+    build call by call.
+    """
+    grown = "aggregate({}, struct(0L AS upto, cast(array() AS array<bigint>) AS out), (a, v) -> struct(a.upto + v AS upto, concat(a.out, array(a.upto + v)) AS out), a -> a.out)"
+    parts = f"transform(if(size(x) > 0, sequence(0, cast(ceil(size(x) / {width}) AS int) - 1), cast(array() AS array<int>)), c -> {grown.format(f'slice(x, c * {width} + 1, {width})')})"
+    sums = f"transform(array(cast({values} AS array<bigint>)), x -> {parts})"
+    whole = f"flatten(zip_with(s, {grown.format('transform(s, t -> element_at(t, -1))')}, (p, upto) -> transform(p, v -> v + upto - element_at(p, -1))))"
+    return f"transform({sums}, s -> {whole})[0]"
+
+
+def quoted(text: str) -> str:
+    """text as an SQL string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df plus `_number`, from 0 on in this order, which has to be without ties; no task sorts all rows."""
+    parts = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    held = {r[0]: r[1] for r in parts.groupBy("_part").count().collect()}  # one row a partition
+    before, total = [], 0
+    for p in range(max(held, default=-1) + 1):
+        before.append(total)
+        total += held.get(p, 0)
+    start = F.get(F.array(*map(F.lit, before or [0])), F.col("_part")).cast("long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_number", start + place).drop("_part")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores after it as long as a column has that name (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the published splitmix64 one) over a uint64 array."""
     x = x ^ (x >> np.uint64(30))
