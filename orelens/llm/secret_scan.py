@@ -1,29 +1,34 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Patterns give the base spans (assign, access, hex). The battery looks at every other run of 20 or more characters
-of the base64 alphabets that holds a digit and a letter, infers the run's encoding (hex, base32, base36, base62
-or base64) and tests it as a draw of uniform symbols: chi-squared of the symbol counts, runs above and below the
-alphabet's middle, and serial correlation. A run that fails none of these is consistent with a random key. How
-surely it isn't ordinary text is a second question, whose answer depends on its length: ordinary text repeats
-symbols, so the number of equal pairs of symbols has a lower tail under an alphabet with the collision rate of text.
-These tail probabilities go through Benjamini and Hochberg's procedure within each stratum of encoding and length
-class, from a histogram of their logarithms over all texts: short runs must be rarer among their like than long ones.
+of the base64 alphabets that mixes digits, capitals and small letters in some way (or is base32), infers the run's
+encoding (hex, base32, base36, base62 or base64) and tests it as a draw of uniform symbols: chi-squared of the symbol
+counts, runs above and below the alphabet's middle, and serial correlation. A run that one of the three rejects is no
+random key. The others' statistics are then combined into one e-value against ordinary text, the product of three
+likelihood ratios: equal pairs of symbols (what chi-squared counts) at the uniform rate or at that of text, and normal
+scores of runs and serial correlation as random symbols spread them or TEXT_SPREAD times as wide. How much evidence a
+run can give depends on its length and alphabet. The e-values go through the e-value form of Benjamini and Hochberg's
+procedure (which holds under any dependence) within each stratum of encoding and length class, from a histogram of
+their logarithms over all texts: short runs must be rarer among their like than long ones.
 
 All of it is DataFrame expressions; what leaves the executors for the thresholds is one row a stratum, of which
 there are at most ENCODINGS times LENGTHS.
 
 Defined cases: a null text is empty; a text without spans has the digest of the empty string; spans are in code
-points, end exclusive; rows that repeat are scanned alike (and count as often in the histogram); an empty table
+points, end exclusive; a text may be as long as a string can be, the work grows in proportion to it and its
+matches; rows that repeat are scanned alike (and count as often in the histogram); an empty table
 gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import quoted, running, settle
 
 KINDS = ("assign", "access", "hex", "random")
 #: Letters in either case are spelt out, as engines differ on which letters fold.
@@ -33,33 +38,44 @@ ASSIGN = (
 )
 ASSIGN_VALUE, ACCESS, HEX = 6, r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Two kinds of symbols, or base32; and the base spans that consist of a token's characters.
+MIXED = "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[A-Z].*[a-z]|[a-z].*[A-Z]|^[A-Z2-7]+$"
+HELD = f"{ACCESS}|{HEX}"
 ENCODINGS, LENGTHS = 5, 12
 #: Chance that a random run fails one of the three tests, and the false-discovery rate.
 FAIL, RATE = 0.001, 0.01
 #: Collision rate of text, and how many times the uniform rate it is at least taken to be.
 TEXT_COLLISIONS, TIMES_UNIFORM = 0.065, 2.0
-#: Histogram bins: tenths of a decade of the tail probability.
+#: How many times as wide text spreads the scores of runs and of serial correlation.
+TEXT_SPREAD = 3.0
+#: Histogram bins: tenths of a decade of the e-value.
 BINS = 300
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, m>> of a pattern's leftmost non-overlapping matches, in code points.
+def matches(text: str, pattern: str) -> Column:
+    """array<struct<start, end, m>> of a pattern's leftmost non-overlapping matches in a column, in code points.
 
     A pattern that can't match the empty string cuts the text into pieces around its matches, whose lengths add
     up to the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    at = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: F.struct(x["m"].alias("m"), F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n")))
-    zero = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
+    cut = f"zip_with(regexp_extract_all({text}, {quoted(pattern)}, 0), split({text}, {quoted(pattern)}, -1), (m, g) -> struct(m, length(g) + length(m) AS n))"
+    sized = f"filter({cut}, x -> x.m IS NOT NULL)"
+    spans = f"zip_with(y, {running('y.n')}, (x, upto) -> struct(cast(upto AS int) - length(x.m) AS start, cast(upto AS int) AS `end`, x.m AS m))"
+    return F.expr(f"if({text} RLIKE {quoted(pattern)}, transform(array({sized}), y -> {spans})[0], cast(array() AS array<struct<start:int,`end`:int,m:string>>))")
+
 
-    def step(acc, x):
-        start = acc["upto"] + x["g"]
-        span = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["m"].alias("m"))
-        return F.struct((start + x["n"]).alias("upto"), F.concat(acc["out"], F.array(span)).alias("out"))
+def apart(rows: DataFrame, tokens: str, others: str) -> DataFrame:
+    """rows with the column `tokens` less those that overlap one of `others`; both are arrays of spans in order.
 
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(at, zero, step, lambda acc: acc["out"])).otherwise(none)
+    A token overlaps one if more of them begin before its end than end by its start: running counts over all ends in order.
+    """
+    at = lambda spans, which, kind: f"transform({spans}, x -> struct(x.`{which}` AS at, {kind} AS kind))"
+    events = f"transform(array_sort(concat({at(others, 'end', 0)}, {at(tokens, 'start', 1)}, {at(tokens, 'end', 2)}, {at(others, 'start', 3)})), x -> x.kind)"
+    count = lambda kind: running(f"transform(e, x -> if(x = {kind}, 1, 0))")
+    pick = lambda kind, n: f"filter(zip_with(e, {n}, (kind, n) -> if(kind = {kind}, n, NULL)), x -> x IS NOT NULL)"
+    overlap = f"transform(array({events}), e -> zip_with({pick(1, count(0))}, {pick(2, count(3))}, (ended, begun) -> ended <> begun))[0]"
+    kept = f"transform(filter(zip_with({tokens}, {overlap}, (t, o) -> struct(t, o)), x -> NOT x.o), x -> x.t)"
+    return rows.withColumn(tokens, F.expr(f"if(size({tokens}) > 0 AND size({others}) > 0, {kept}, {tokens})"))
 
 
 def _encoding(token: Column) -> Column:
@@ -71,15 +87,14 @@ def normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
-def _log10_lower_tail(z: Column) -> Column:
-    """-log10 P(Z < -z) for z > 0 from the asymptotic series' first term; 0 for z <= 0."""
-    x = F.greatest(z, F.lit(1e-9))
-    return F.when(z <= 0, 0.0).when(z < 2.5, -F.log10(normal_tail(z))).otherwise((x * x / 2 + F.log(x * 2.5066282746310002)) / 2.302585092994046)
+def _spread_odds(z: Column) -> Column:
+    """Log-likelihood ratio of a score: standard normal against one TEXT_SPREAD times as wide."""
+    return F.lit(math.log(TEXT_SPREAD)) - z * z * ((1 - TEXT_SPREAD**-2) / 2)
 
 
 def battery(token: Column) -> Column:
-    """struct<stratum, bin, random>: the stratum of encoding and length class, the histogram bin of how unlike text
-    the token is, and whether no randomness test rejects it."""
+    """struct<stratum, bin, random>: the stratum of encoding and length class, the histogram bin of the three tests'
+    e-value against text, and whether none of them rejects randomness."""
     encoding = _encoding(token)
     size = F.when(encoding == 0, 16.0).when(encoding == 1, 32.0).when(encoding == 2, 36.0).when(encoding == 3, 62.0).otherwise(64.0)
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -117,36 +132,38 @@ def battery(token: Column) -> Column:
         z_lag = F.abs(x["lag"]) / (variance * F.sqrt(n - 1))
         random = (normal_tail(z_chi) >= FAIL) & (2 * normal_tail(F.least(z_runs, F.lit(9.0))) >= FAIL) & (2 * normal_tail(F.least(z_lag, F.lit(9.0))) >= FAIL)
         pairs = n * (n - 1) / 2
-        expected = pairs * F.greatest(F.lit(TEXT_COLLISIONS), TIMES_UNIFORM / k)
+        of_text = F.greatest(F.lit(TEXT_COLLISIONS), TIMES_UNIFORM / k)
         equal = (x["squares"] - n) / 2
-        unlike = _log10_lower_tail((expected - equal) / F.sqrt(expected))
+        odds = pairs * (of_text - 1 / k) - equal * F.log(k * of_text) + _spread_odds(z_runs) + _spread_odds(z_lag)
+        evidence = F.floor(odds * (10 / math.log(10)))
         length_class = F.least(F.floor(F.log2(n / 20) * 2), F.lit(LENGTHS - 1))
-        return F.struct((x["e"] * LENGTHS + length_class).cast("int").alias("stratum"), F.least(F.floor(unlike * 10), F.lit(BINS - 1)).cast("int").alias("bin"), random.alias("random"))
+        return F.struct((x["e"] * LENGTHS + length_class).cast("int").alias("stratum"), F.greatest(F.least(evidence, F.lit(BINS - 1)), F.lit(0)).cast("int").alias("bin"), random.alias("random"))
 
     return F.get(F.transform(F.transform(F.transform(made, sums), walks), judge), 0)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, random): base spans and the battery's, each array<struct<start, rank, end>> in order."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     ranked = lambda rank: lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"))
-    assign = F.filter(matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], "^" + ASSIGN, 2)) >= ASSIGN_VALUE)
-    base = F.concat(F.transform(assign, ranked(0)), F.transform(matches(text, ACCESS), ranked(1)), F.transform(matches(text, HEX), ranked(2)))
-    tokens = F.filter(matches(text, TOKEN), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
-    judged = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["m"]).alias("j")))
-    seen = settle(docs.select(F.col(id_col).alias("doc_id"), F.array_sort(base).alias("base"), judged.alias("tokens")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("assign", F.filter(matches("text", ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], "^" + ASSIGN, 2)) >= ASSIGN_VALUE))
+    # Hex and access spans are runs of a token's own characters, so a token that overlaps one holds it whole.
+    rows = rows.withColumn("tokens", F.filter(matches("text", TOKEN), lambda x: x["m"].rlike(MIXED) & ~x["m"].rlike(HELD)))
+    base = F.concat(F.transform("assign", ranked(0)), F.transform(matches("text", ACCESS), ranked(1)), F.transform(matches("text", HEX), ranked(2)))
+    judged = F.transform("tokens", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["m"]).alias("j")))
+    seen = settle(apart(rows, "tokens", "assign").select("doc_id", F.array_sort(base).alias("base"), judged.alias("tokens")))
     counts = seen.select(F.explode("tokens.j").alias("j")).groupBy("j.stratum", "j.bin").agg(F.count("*").alias("n"))
     limits = {r.stratum: r.least for r in discoveries(counts).collect()}  # one row a stratum
     table = F.array(*[F.lit(limits.get(i, BINS)) for i in range(ENCODINGS * LENGTHS)])
-    secret = F.filter("tokens", lambda x: x["j"]["random"] & (x["j"]["bin"] >= F.get(table, x["j"]["stratum"])) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    secret = F.filter("tokens", lambda x: x["j"]["random"] & (x["j"]["bin"] >= F.get(table, x["j"]["stratum"])))
     return seen.select("doc_id", "base", F.transform(secret, ranked(3)).alias("random"))
 
 
 def discoveries(counts: DataFrame) -> DataFrame:
-    """(stratum, least): the lowest bin at which Benjamini and Hochberg's bound still holds, from (stratum, bin, n).
+    """(stratum, least): the lowest bin at which the procedure's bound still holds, from (stratum, bin, n).
 
-    With N runs in the stratum and R of them in bin b or above, all of probability 10**(-b/10) at most, it holds if
-    10**(-b/10) * N <= RATE * R.
+    With N runs in the stratum and R of them in bin b or above, all with e-values of 10**(b/10) at least, it holds if
+    10**(b/10) >= N / (RATE * R).
     """
     down = Window.partitionBy("stratum").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.select("stratum", "bin", F.sum("n").over(down).alias("found"), F.sum("n").over(Window.partitionBy("stratum")).alias("all"))
@@ -180,6 +197,7 @@ def _sql_matches(name: str, pattern: str, rank: int) -> str:
 
 
 _TAIL_SQL = "(1 / (1 + exp(1.5976 * {0} + 0.07056 * {0} * {0} * {0})))"
+_ODDS_SQL = f"({math.log(TEXT_SPREAD)!r}::DOUBLE - {{0}} * {{0}} * {(1 - TEXT_SPREAD**-2) / 2!r}::DOUBLE)"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -190,7 +208,7 @@ base AS (
 tok AS (
   SELECT rid, pos, s, e, m, length(m) AS n,
          CASE WHEN regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') THEN 0 WHEN regexp_matches(m, '^[A-Z2-7]+$') THEN 1 WHEN regexp_matches(m, '^([a-z0-9]+|[A-Z0-9]+)$') THEN 2 WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN 3 ELSE 4 END AS enc
-  FROM token0 WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
+  FROM token0 WHERE regexp_matches(m, '{MIXED}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = token0.rid AND b.s < token0.e AND token0.s < b.e)),
 enc AS (
   SELECT *, [16.0, 32.0, 36.0, 62.0, 64.0][enc + 1]::DOUBLE AS k, CASE WHEN enc IN (0, 2) THEN lower(m) WHEN enc = 4 THEN translate(m, '-_', '+/') ELSE m END AS plain,
          ['{_DIGITS}abcdef', '{_UPPER}234567', '{_DIGITS}{_LOWER}', '{_UPPER}{_LOWER}{_DIGITS}', '{_UPPER}{_LOWER}{_DIGITS}+/'][enc + 1] AS abc FROM tok),
@@ -201,21 +219,22 @@ wk AS (
   FROM (SELECT rid, pos, v, lag(v) OVER (PARTITION BY rid, pos ORDER BY i) AS was FROM ch) GROUP BY ALL),
 z AS (
   SELECT *, (pow(greatest(k / n * squares - n, 0) / (k - 1), 1 / 3.0::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z_chi,
-         1 + 2 * above * (n - above) / n AS mean, abs(lag) / ((k * k - 1) / 12 * sqrt(n - 1)) AS z_lag, n * (n - 1) / 2.0 * greatest({TEXT_COLLISIONS}, {TIMES_UNIFORM} / k) AS expected, (squares - n) / 2 AS equal
+         1 + 2 * above * (n - above) / n AS mean, abs(lag) / ((k * k - 1) / 12 * sqrt(n - 1)) AS z_lag, n * (n - 1) / 2.0 AS pairs, greatest({TEXT_COLLISIONS}, {TIMES_UNIFORM} / k) AS of_text, (squares - n) / 2 AS equal
   FROM enc JOIN sq USING (rid, pos) JOIN wk USING (rid, pos)),
-y AS (
-  SELECT *, (mean - 1) * (mean - 2) / (n - 1) AS spread, (expected - equal) / sqrt(expected) AS u, least(floor(log2(n / 20.0) * 2), {LENGTHS - 1}) AS cls FROM z),
+y0 AS (
+  SELECT *, (mean - 1) * (mean - 2) / (n - 1) AS spread, least(floor(log2(n / 20.0) * 2), {LENGTHS - 1}) AS cls FROM z),
+y AS (SELECT *, CASE WHEN spread > 0 THEN abs(runs - mean) / sqrt(greatest(spread, 1e-9)) ELSE 99 END AS z_runs FROM y0),
 x AS (
   SELECT rid, s, e, enc * {LENGTHS} + cls AS stratum,
-         {_TAIL_SQL.format("z_chi")} >= {FAIL} AND 2 * {_TAIL_SQL.format("least(CASE WHEN spread > 0 THEN abs(runs - mean) / sqrt(greatest(spread, 1e-9)) ELSE 99 END, 9)")} >= {FAIL} AND 2 * {_TAIL_SQL.format("least(z_lag, 9)")} >= {FAIL} AS random,
-         least(floor(10 * CASE WHEN u <= 0 THEN 0 WHEN u < 2.5 THEN -log10({_TAIL_SQL.format("u")}) ELSE (u * u / 2 + ln(u * 2.5066282746310002)) / 2.302585092994046 END), {BINS - 1}) AS bin FROM y),
+         {_TAIL_SQL.format("z_chi")} >= {FAIL} AND 2 * {_TAIL_SQL.format("least(z_runs, 9)")} >= {FAIL} AND 2 * {_TAIL_SQL.format("least(z_lag, 9)")} >= {FAIL} AS random,
+         greatest(least(floor((pairs * (of_text - 1 / k) - equal * ln(k * of_text) + {_ODDS_SQL.format("z_runs")} + {_ODDS_SQL.format("z_lag")}) * {10 / math.log(10)!r}::DOUBLE), {BINS - 1}), 0) AS bin FROM y),
 bh AS (
   SELECT stratum, min(bin) AS least FROM (
     SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS found, sum(count(*)) OVER (PARTITION BY stratum) AS every FROM x GROUP BY stratum, bin)
   WHERE pow(10, -bin / 10) * every <= {RATE} * found GROUP BY stratum),
 spans AS (
   SELECT * FROM base UNION ALL
-  SELECT x.rid, 3, x.s, x.e FROM x JOIN bh USING (stratum) WHERE random AND bin >= least AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND x.s < b.e)),
+  SELECT x.rid, 3, x.s, x.e FROM x JOIN bh USING (stratum) WHERE random AND bin >= least),
 told AS (SELECT rid, rank, s, e, {list(KINDS)}[rank + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM spans)
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, rank), '') AS spans, count(*) FILTER (rank = 3) AS n_random

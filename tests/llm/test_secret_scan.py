@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from orelens.llm import secret_scan as S
 
@@ -52,6 +55,28 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert sum(out[1000 + i].n_random for i in range(len(plain) * 10)) == 0
 
 
+def test_tokens_apart_from_spans(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(40):
+        cuts, more = sorted(rng.sample(range(60), 16)), sorted(rng.sample(range(60), 6))
+        rows.append((list(zip(cuts[::2], cuts[1::2])), list(zip(more[::2], more[1::2]))))
+    spans = spark.createDataFrame([(t, o, t) for t, o in rows], "t array<struct<start:int,end:int>>, o array<struct<start:int,end:int>>, was array<struct<start:int,end:int>>")
+    for r in S.apart(spans, "t", "o").collect():
+        assert r.t == [t for t in r.was if not any(a < t[1] and t[0] < b for a, b in r.o)]
+
+
+def test_work_grows_with_the_matches(spark):
+    """100,000 hex runs, assignments and free runs each in one text; copies that grow by one each took minutes for 10,000."""
+    n, unit = 100_000, "0123456789abcdef01234567 token=abcdefg AbCdEfGhIjKlMnOpQrStUvWx1 "
+    text = unit * n
+    began = time.perf_counter()
+    out = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).first()
+    assert time.perf_counter() - began < 120
+    assert out.n == 2 * n
+    assert (out.last.start, out.last.end) == (len(text) - len(unit) + 25, len(text) - len(unit) + 38)
+
+
 def test_empty_table_and_other_columns(spark):
     assert S.secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = S.secrets(spark.createDataFrame([(1, "x", "y"), (1, "x", "y")], "doc_id long, text string, spans string"))
