@@ -10,7 +10,7 @@ equation for clean words and K comes from the segments of clean training documen
 significant segments' summed log-expectations gives the score.
 
 Defined cases: null or empty texts have no segments and get the curve's value at 0; a null doc_id can't be held out
-and is never trained on; without labelled rows of both kinds every score is the toxic share (0 without rows); rows
+and is never trained on; rows that repeat a doc_id count once in training, with the smallest of their texts; without labelled rows of both kinds every score is the toxic share (0 without rows); rows
 that repeat are scored alike; other columns are not read.
 """
 
@@ -48,25 +48,27 @@ def held_out(doc_id: Column) -> Column:
 
 def segments(positions: list[int], odds: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of a walk that falls by `drift` at each word and
-    rises by odds[i] at positions[i]; after Ruzzo and Tompa (1999), linear in the rises."""
-    done: list[list[float]] = []  # first, last, sum before, sum after
+    rises by odds[i] at positions[i]; after Ruzzo and Tompa (1999), linear in the rises.
+
+    Each segment points to the nearest one before it that begins lower. Looking for such a one for a new segment follows
+    these pointers, and whatever it passes over stands behind the new segment's own pointer ever after.
+    """
+    done: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, the nearest that begins lower
     total, last = 0.0, -1
     for at, rise in zip(positions, odds):
         total -= drift * (at - last - 1)
         before, total, last = total, total + rise - drift, at
         if total <= before:
             continue
-        new = [at, at, before, total]
-        while True:
-            j = len(done) - 1
-            while j >= 0 and done[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or done[j][3] >= new[3]:
-                done.append(new)
-                break
-            new = [done[j][0], new[1], done[j][2], new[3]]
+        first, j = at, len(done) - 1
+        while j >= 0 and done[j][2] >= before:
+            j = done[j][4]
+        while j >= 0 and done[j][3] < total:
+            first, _, before, _, lower = done[j]
             del done[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in done]
+            j = lower
+        done.append((first, at, before, total, j))
+    return [(a, b, r - l) for a, b, l, r, _ in done]
 
 
 class Model:
@@ -180,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = settle(docs.select("doc_id", "text").join(F.broadcast(settle(chosen)), "doc_id").select("text", "toxic").repartition(spark.sparkContext.defaultParallelism))
+    known = docs.select("doc_id", "text").join(F.broadcast(settle(chosen)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = settle(known.select("text", "toxic").repartition(spark.sparkContext.defaultParallelism))
     n1, n0 = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
         return Model(curve=((50.0 if n1 else -50.0), 0.0))
@@ -188,18 +191,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     model = Model(*_odds(counts, n1, n0))
     shared = spark.sparkContext.broadcast(model)
     scan = _scanner(shared, 1, None)
-    rows = sample.select("toxic", "text").mapInArrow(scan, "toxic int, n long, scores array<double>").toPandas()
-    clean, steps = rows[rows.toxic == 0], {}
-    top = clean.scores.map(lambda x: max(x, default=0.0))
-    clean = clean[top <= top.quantile(1 - MISLABELLED)]
-    total = int(clean.n.sum())
-    for s in np.concatenate([*clean.scores, np.zeros(0)]):
-        steps[round(float(s), 3)] = steps.get(round(float(s), 3), 0) + 1
+    rows = settle(sample.select("toxic", "text").mapInArrow(scan, "toxic int, n long, scores array<double>").withColumn("top", F.coalesce(F.array_max("scores"), F.lit(0.0))))
+    tops = np.array([r[0] for r in rows.where("toxic = 0").select("top").collect()])  # a number for each row of the bounded sample
+    clean = rows.where((F.col("toxic") == 0) & (F.col("top") <= float(np.quantile(tops, 1 - MISLABELLED))))
+    total = clean.agg(F.sum("n")).first()[0]
+    steps = {r.s: r.n for r in clean.select(F.explode("scores").alias("s")).groupBy(F.round("s", 3).alias("s")).agg(F.count("*").alias("n")).collect()}
     model.lam = _lambda(steps, total, model.drift)
     found = sum(c * math.exp(model.lam * s) for s, c in steps.items())
     model.k = max(found, 1.0) / max(total, 1) if steps else 1.0 / max(total, 1)
-    evidence = np.array([model.evidence(n, [(0, 0, s) for s in f]) for n, f in zip(rows.n, rows.scores)])
-    model.curve = _logistic(np.log1p(evidence), rows.toxic.to_numpy(float))
+    least = F.log(F.lit(model.k) * F.greatest("n", F.lit(1)))
+    evidence = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + F.greatest(F.lit(0.0), model.lam * s - least))
+    judged = rows.select("toxic", evidence.alias("e")).toPandas()
+    model.curve = _logistic(np.log1p(judged.e.to_numpy(float)), judged.toxic.to_numpy(float))
     return model
 
 
