@@ -107,6 +107,11 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names of its own can't meet a working column's; toDF(*names) gives them back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the published splitmix64 one) over a uint64 array."""
     x = x ^ (x >> np.uint64(30))

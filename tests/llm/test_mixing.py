@@ -52,15 +52,31 @@ def test_targets_sizes_and_budgets(spark):
     assert sorted(map(str, got)) == sorted(map(str, M.mix(frame.repartition(7)).collect()))
 
 
-def test_one_hash_takes_all_or_nothing(spark):
-    rows = [(1, "a b c", "s")] * 50 + [(i, "a b", "t") for i in range(2, 60)]
-    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert len({r.taken for r in got if r.source == "s"}) == 1
+def test_rows_of_one_hash_are_split_at_the_target(spark, monkeypatch):
+    """Null ids, repeated ids and rows that repeat whole: each source comes within a document of its target."""
+    rows = [(None, "a b c d e", "null ids")] * 1000 + [(1, f"a b c {i}", "one id") for i in range(300)] + [(i, "a b", "t") for i in range(2, 60)]
+    rows += [(7, "x y z", None)] * 50
+    for tied in (M.TIED, 9):
+        monkeypatch.setattr(M, "TIED", tied)
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = M.mix(frame).collect()
+        assert len(got) == len(rows)
+        taken, target, biggest = Counter(), {}, Counter()
+        for r in got:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            biggest[r.source] = max(biggest[r.source], r.size)
+        assert set(target) == {"null ids", "one id", "t", None}
+        assert all(abs(taken[s] - target[s]) <= biggest[s] / 2 + 1e-9 for s in target)
+        again = M.mix(frame.repartition(5)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+        staged = Counter(r.source for r in M.stage(frame).collect())
+        assert staged == Counter({s: n for s in target if (n := sum(r.times for r in got if r.source == s))})
 
 
 def test_stage_repeats_documents(spark):
-    rows = [(i, t, s, 1) for i, t, s in docs(400, 3)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    rows = [(i, t, s, 1, 2, 3, 4) for i, t, s in docs(400, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, _times int, c1 int, target int")
     mixed = M.mix(frame).where("times > 0").groupBy("doc_id").agg(F.sum("times").alias("n"))
     want = {r.doc_id: r.n for r in mixed.collect()}
     out = M.stage(frame)
