@@ -17,8 +17,14 @@ def tokenizer_path() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), "source", "text")
-    return out.select("doc_id", "text", "n_lines", "n_dropped")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, "source", "text").drop("source")
+
+
+def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on raw pages, grouped by the host in their urls."""
+    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), "html")
+    return line_dedup.drop_boilerplate(pages, "host", "html").drop("host")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +77,14 @@ QUERIES = {
         op8_url_filter,
         op9_tiff,
         op10_exact_topk,
+        line_dedup_pages,
     )
 }
 
 #: op4, op6 and op9 have no SQL (trained scores, Viterbi, file formats); tests hold them against brute-force versions.
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "line_dedup_pages": line_dedup.ORACLE_PAGES,
     "op2_secret_scan": secret_scan.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
     "op5_mixing": mixing.ORACLE,
