@@ -7,7 +7,9 @@ bounds is never looked at again; exact vectors are then read in the order of the
 after that only those whose bound reaches the k-th exact score, so the result is certain.
 
 Queries are taken in blocks of QUERY_BLOCK, each sent to the executors for one scan of all cells; the block bounds
-what is sent. A task keeps, for each query of the block, the rows whose bound reaches its own k-th.
+what is sent. A task keeps, for each query of the block, the rows whose bound reaches its own k-th. What the tasks
+keep isn't gathered by query: the k best bounds are (in two steps, a task's own first), and they then cut what each
+task kept. Equal vectors, which no bound can tell apart, are candidates by their smallest ids, as many as can matter.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, nor does a row without
 vec_id; missing last components count as 0; rows that repeat a vec_id are all candidates, of a query with that id
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import discard, settle, small
 
 SCALE = 1024
 CELLS = 256
@@ -140,13 +142,28 @@ def _exact(pairs: DataFrame, numbers: DataFrame, block) -> DataFrame:
     return joined.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def candidates(numbers: DataFrame, k: int) -> DataFrame:
+    """numbers without the rows that k others of the same vector keep out of every result.
+
+    A row repeated whole is there k times at most, and of an equal vector's rows the 2 k with the smallest ids: a query
+    leaves out those of its own id, k at most, and the k before any further one come first.
+    """
+    hashed = numbers.withColumn("h", F.xxhash64("v"))
+    crowded = settle(hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 2 * k).select("h"))
+    if not crowded.limit(1).count():
+        return numbers
+    few = hashed.join(small(crowded), "h", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("n") <= k)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= 2 * k)
+    return settle(hashed.join(small(crowded), "h", "left_anti").select("vec_id", "v").unionByName(few.select("vec_id", "v")))
+
+
 def top_k(vectors: DataFrame, k: int, query_filter: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that passes query_filter (SQL on vec_id) its k best others."""
     spark = vectors.sparkSession
     numbers = settle(integers(vectors, id_col, vector_col))
     low, width = grid(numbers)
-    files = settle(approximate(numbers, low, width))
-    queries = files.where(query_filter).groupBy("vec_id").agg(F.min("v").alias("v"))
+    files = settle(approximate(candidates(numbers, k), low, width))
+    queries = numbers.where(query_filter).groupBy("vec_id").agg(F.min("v").alias("v"))
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     queries = settle(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
@@ -160,21 +177,22 @@ def top_k(vectors: DataFrame, k: int, query_filter: str, id_col: str = "vec_id",
         total = int(np.abs(matrix).max(initial=0)) * reach * max(1, len(low))
         slack = 0.0 if total < MOST else float(total) * 2.0**-40  # beyond 2**53 sums are rounded
         block = spark.sparkContext.broadcast((ids, matrix, slack))
-        scanned = files.select("vec_id", "cells").mapInArrow(_scanner(block, low, width, k), "query_id long, vec_id long, s double, gap double")
+        scan = files.select("vec_id", "cells").mapInArrow(_scanner(block, low, width, k), "query_id long, vec_id long, s double, gap double")
+        scanned = settle(scan.where("query_id <> vec_id"))
         order = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "vec_id")
-        bounded = scanned.where("query_id <> vec_id").withColumn("n", F.row_number().over(order))
-        kth = F.coalesce(F.min(F.when(F.col("n") == k, F.col("s"))).over(Window.partitionBy("query_id")), F.lit(float("-inf")))
-        left = settle(bounded.withColumn("kth", kth).where(F.col("s") >= F.col("kth") - F.col("gap")).select("query_id", "vec_id", "s", "gap", "n"))
-        first = settle(_exact(left.where(F.col("n") <= k).select("query_id", "vec_id").distinct(), files, block))
-        sure = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("score").alias("kth"))
-        upper = F.col("s") + F.col("gap")
-        rest = left.join(first.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_anti").join(sure, "query_id", "left").where(F.col("kth").isNull() | (upper >= F.col("kth")))
+        top = settle(scanned.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k))
+        # These two have a row and k rows a query of the block.
+        kth = F.broadcast(top.where(F.col("n") == k).select("query_id", F.col("s").alias("kth")))
+        looked_at = F.broadcast(top.select("query_id", "vec_id").distinct())
+        first = settle(_exact(top.select("query_id", "vec_id").distinct(), files, block))
+        sure = F.broadcast(first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("score").alias("sure")))
+        left = scanned.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("s") >= F.col("kth") - F.col("gap")))
+        rest = left.join(looked_at, ["query_id", "vec_id"], "left_anti").join(sure, "query_id", "left").where(F.col("sure").isNull() | (F.col("s") + F.col("gap") >= F.col("sure")))
         scored = first.unionByName(_exact(rest.select("query_id", "vec_id").distinct(), files, block))
-        parts.append(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+        parts.append(settle(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")))
+        discard(scanned, top, first)
+        block.unpersist()
+    return spark.read.schema(parts[0].schema).parquet(*[p._settled_at for p in parts])
 
 
 ORACLE = """

@@ -57,3 +57,12 @@ def test_few_candidates_one_vector_and_none(spark):
 def test_large_components(spark):
     rows = [(i, [float(10.0**e), 1.0]) for i, e in ((0, 5), (1, 6), (2, 9), (3, 14), (10, 3))]
     assert found(spark, rows) == brute(rows, 10, 10)
+
+
+def test_equal_and_near_equal_vectors(spark):
+    """Thousands of equal vectors, some under one id, and thousands that share all cells."""
+    rng = random.Random(9)
+    rows = [(i, [0.25, -0.5, 0.125]) for i in range(3000)] + [(20, [0.25, -0.5, 0.125])] * 40 + [(21, [0.25, -0.5, 0.125])] * 40
+    rows += [(5000 + i, [0.25 + rng.randrange(3) / 1024, -0.5, 0.125 + rng.randrange(3) / 1024]) for i in range(3000)] + [(9000, [40.0, 40.0, 40.0]), (9010, [-40.0, -40.0, -40.0])]
+    assert found(spark, rows, 10, 500) == brute(rows, 10, 500)
+    assert found(spark, rows[:3080], 10, 10) == brute(rows[:3080], 10, 10)
