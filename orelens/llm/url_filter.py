@@ -6,18 +6,24 @@ together with the label itself; combinations that imply the bad label with enoug
 rules, of which those that a shorter rule already covers as surely are pruned. A page is blocked if all tokens of a
 rule are among its own. Rules are matched through an inverted index from each rule's rarest token.
 
-Training takes at most SAMPLE_ROWS labelled pages (those with the smallest hashes of their id). A page has at most
-2**n subsets of its n tokens, and combinations have at most MOST_TOKENS, so support over a bounded sample bounds the
-rules; they go to the executors as one dictionary.
+Training takes at most SAMPLE_ROWS labelled pages (those with the smallest hashes of their id). Growth is bounded
+before it starts, without losing a combination of up to MOST_TOKENS tokens: a token on too few bad pages can be in no
+rule and is left out; tokens that stand on just the same pages are one item, which any of them stands for; and where a
+page still has more than MOST_ITEMS items, the items are dealt to blocks, and each page is mined once for every one,
+two and three of its blocks with those blocks' items alone. A combination is read where its blocks are just those. So
+FP-growth never meets more than MOST_ITEMS items together. Support bounds the tokens and so the rules, which go to the
+executors as one dictionary.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; null labels
-teach nothing; without bad pages there are no mined rules; a page with several labels is bad if one is; repeated
+teach nothing; without bad pages there are no mined rules; urls may be of any length and repeat; a page with several labels is bad if one is; repeated
 rows get the same verdict; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -39,6 +45,8 @@ SAMPLE_ROWS = 100_000
 SUPPORT, LEAST_PAGES = 0.005, 5
 CONFIDENCE, LIFT = 0.6, 1.5
 MOST_TOKENS = 3
+#: Items that FP-growth meets together; it may look at all their subsets.
+MOST_ITEMS = 12
 BAD = "=bad"
 _TOKEN = re.compile(r"[a-z0-9]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -66,7 +74,8 @@ def tokens(url: str | None) -> list[str]:
 class Index:
     """Explicit rules by host and mined rules by their rarest token."""
 
-    def __init__(self, explicit, mined: list[tuple[list[str], float]], rarity: dict[str, int]):
+    def __init__(self, explicit, mined: list[tuple[list[str], float]], rarity: dict[str, int], same: dict[str, str] | None = None):
+        self.same = same or {}
         self.explicit: dict[str, list[tuple[str, str]]] = {}
         for verdict, host, path in explicit:
             self.explicit.setdefault(host, []).append((path, verdict))
@@ -85,43 +94,114 @@ class Index:
         return best
 
     def bad(self, found: list[str]) -> bool:
-        own = set(found)
-        return any(rule <= own for t in found for rule in self.mined.get(t, ()))
+        own = {self.same.get(t, t) for t in found}
+        return any(rule <= own for t in own for rule in self.mined.get(t, ()))
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample_rows: int = SAMPLE_ROWS) -> tuple[list, dict]:
-    """(rules with their confidence, pages by token) from pages (page_id, url) and labels (page_id, bad)."""
+def _items(baskets: DataFrame, least: float) -> tuple[dict[str, int], dict[str, str]]:
+    """(pages of each item, the item of each token) for the tokens on at least so many bad pages.
+
+    Tokens on the same pages, as two hashes over these tell, are one item: the first of them by name.
+    """
+    pages = baskets.select("bad", F.xxhash64("rid").alias("x"), F.xxhash64("rid", F.lit(1)).alias("y"), F.explode("items").alias("t"))
+    found = pages.groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("bad") == 1).alias("nb"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where(F.col("nb") >= least)
+    count, same, first = {}, {}, {}
+    for r in sorted(found.collect(), key=lambda r: r.t):  # at most (mean tokens of a page) / support rows
+        same[r.t] = first.setdefault((r.n, r.x, r.y), r.t)
+        count[same[r.t]] = r.n
+    return count, same
+
+
+def _short(baskets: DataFrame, same: dict[str, str]) -> DataFrame:
+    """(items, bad) with the items of each page in place of its tokens."""
+    shared = baskets.sparkSession.sparkContext.broadcast(same)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            items = [sorted({own[t] for t in found if t in own}) for found in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string())), batch.column(1)], ["items", "bad"])
+
+    return settle(baskets.select("items", "bad").mapInArrow(run, "items array<string>, bad int"))
+
+
+def _blocks(short: DataFrame, items: list[str]) -> dict[str, int]:
+    """The block of each item, of as few blocks as leave no page with more than MOST_ITEMS items in MOST_TOKENS of them."""
+    place = {t: i for i, t in enumerate(items)}
+    counts = [1 << k for k in range(max(1, len(items)).bit_length() + 1)]
+
+    def run(batches):
+        most = [0] * len(counts)
+        for batch in batches:
+            for found in {tuple(x) for x in batch.column(0).to_pylist()}:
+                for k, n in enumerate(counts):
+                    held: dict[int, int] = {}
+                    for t in found:
+                        held[place[t] % n] = held.get(place[t] % n, 0) + 1
+                    most[k] = max(most[k], sum(sorted(held.values())[-MOST_TOKENS:]))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(counts)), pa.int32()), pa.array(most, pa.int32())], ["k", "most"])
+
+    held = {r.k: r.most for r in short.select("items").mapInArrow(run, "k int, most int").groupBy("k").agg(F.max("most").alias("most")).collect()}
+    n = next((c for k, c in enumerate(counts) if held.get(k, 0) <= MOST_ITEMS), counts[-1])
+    return {t: i % n for t, i in place.items()}
+
+
+def frequent(short: DataFrame, items: list[str], least: float) -> dict[frozenset[str], int]:
+    """Pages with all of each combination of up to MOST_TOKENS items and BAD, if there are at least so many of them."""
+    block = _blocks(short, items)
+    shared = short.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            out = []
+            for found, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for some in (c for n in range(1, MOST_TOKENS + 1) for c in combinations(sorted({own[t] for t in found}), n)):
+                    name = "-".join(map(str, some)) + "|"
+                    out.append([name + t for t in found if own[t] in some] + [name + BAD] * bool(bad))
+            for a in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(out[a : a + 10_000], pa.list_(pa.string()))], ["items"])
+
+    dealt = settle(short.mapInArrow(run, "items array<string>"))
+    total = dealt.count()
+    if not total:
+        return {}
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (math.ceil(least) - 0.5) / total)).fit(dealt)
+    out = {}
+    for r in model.freqItemsets.where(F.size("items") <= MOST_TOKENS + 1).collect():
+        name = r["items"][0].partition("|")[0]
+        found = frozenset(t[len(name) + 1 :] for t in r["items"])
+        if len(found - {BAD}) <= MOST_TOKENS and "-".join(map(str, sorted({block[t] for t in found if t != BAD}))) == name:
+            out[found] = r.freq
+    return out
+
+
+def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample_rows: int = SAMPLE_ROWS) -> tuple[list, dict, dict]:
+    """(rules of items with their confidence, pages by item, item by token) from pages (page_id, url) and labels
+    (page_id, bad)."""
     known = labels.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     chosen = known.join(pages.select("page_id").distinct(), "page_id", "left_semi").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
     rows = pages.select("page_id", "url").join(F.broadcast(settle(chosen)), "page_id")
 
     def items(batches):
         for batch in batches:
-            found = [tokens(u) + [BAD] * bool(b) for u, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["items"])
-
-    baskets = settle(rows.select("url", F.col("bad").cast("int")).mapInArrow(items, "items array<string>"))
-    total, bad = baskets.agg(F.count("*"), F.count(F.when(F.array_contains("items", BAD), 1))).first()
-    support = max(support, LEAST_PAGES / max(total, 1))
-    if not bad or support > 1:
-        return [], {}
-    # Tokens rarer than the support can be in no rule; without them every basket is short.
-    frequent = baskets.select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= support * total).collect()
-    rarity = {r.t: r["count"] for r in frequent}
-    kept = F.array(*map(F.lit, sorted(rarity)))
-    short = baskets.select(F.array_intersect("items", kept).alias("items")).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(short)
-    wide = model.freqItemsets.where((F.size("items") <= MOST_TOKENS + 1))
-    whole = {frozenset(r["items"]): r.freq for r in wide.collect()}
-    rules: list[tuple[list[str], float]] = []
-    for found, n in sorted(whole.items(), key=lambda x: (len(x[0]), sorted(x[0]))):
-        if BAD not in found or len(found) < 2:
-            continue
-        left = found - {BAD}
-        sure = n / whole[left]
-        if sure >= confidence and sure >= LIFT * bad / total and not any(set(r) <= left and c >= sure for r, c in rules):
-            rules.append((sorted(left), sure))
-    return rules, rarity
+            yield pa.RecordBatch.from_arrays([pa.array([tokens(u) for u in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], ["items", "bad"])
+
+    baskets = settle(rows.select("url", F.col("bad").cast("int")).mapInArrow(items, "items array<string>, bad int").withColumn("rid", F.monotonically_increasing_id()))
+    total, bad = baskets.agg(F.count("*"), F.count_if(F.col("bad") == 1)).first()
+    least = max(support * total, LEAST_PAGES)
+    if bad < least:
+        return [], {}, {}
+    rarity, same = _items(baskets, least)
+    found = frequent(_short(baskets, same), sorted(rarity), least)
+    rules: dict[frozenset[str], float] = {}
+    for both in sorted((x for x in found if BAD in x and len(x) > 1), key=lambda x: (len(x), sorted(x))):
+        left = both - {BAD}
+        sure = found[both] / found[left]
+        covered = any(rules.get(frozenset(c), -1.0) >= sure for n in range(1, len(left)) for c in combinations(left, n))
+        if sure >= confidence and sure >= LIFT * bad / total and not covered:
+            rules[left] = sure
+    return [(sorted(r), sure) for r, sure in rules.items()], rarity, same
 
 
 def judge(pages: DataFrame, index: Index) -> DataFrame:
@@ -142,8 +222,7 @@ def judge(pages: DataFrame, index: Index) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, explicit=RULES) -> DataFrame:
-    rules, rarity = mine(pages, labels)
-    return judge(pages, Index(explicit, rules, rarity))
+    return judge(pages, Index(explicit, *mine(pages, labels)))
 
 
 def labels_of(labels: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
+import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from orelens.llm import url_filter as U
 
 
@@ -45,13 +48,13 @@ def pages(n=600):
 def test_mined_rules_are_the_pairs_that_imply_the_label(spark):
     rows, bad = pages()
     frame, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")
-    rules, rarity = U.mine(frame, labels)
+    rules, rarity, same = U.mine(frame, labels)
     baskets = [(set(U.tokens(u)), b) for (_, u), (_, b) in zip(rows, bad)]
     assert (["p:casino", "p:free"], 1.0) in rules
     for rule, sure in rules:
         held = [b for t, b in baskets if set(rule) <= t]
         assert abs(sum(held) / len(held) - sure) < 1e-12 and sum(held) >= U.SUPPORT * len(rows) and sure >= U.CONFIDENCE
-    index = U.Index(U.RULES, rules, rarity)
+    index = U.Index(U.RULES, rules, rarity, same)
     for t, b in baskets:
         assert index.bad(sorted(t)) == any(set(r) <= t for r, _ in rules)
     got = {r.page_id: r.verdict for r in U.filter_urls(frame, labels).collect()}
@@ -59,6 +62,41 @@ def test_mined_rules_are_the_pairs_that_imply_the_label(spark):
     assert sum(got[i] == "block" for i, b in bad if not b) <= 0.1 * len(bad)
 
 
+def test_repeated_long_urls(spark):
+    """100,000 equal urls of 30 tokens beside others: 2**30 subsets, if each were made."""
+    words = "/".join(f"w{chr(97 + i % 26)}{i}" for i in range(27))
+    frame = spark.range(100_200).selectExpr("id AS page_id", f"IF(id < 100000, 'http://bad.site.dev/{words}', concat('http://good.site.dev/x/', id)) AS url")
+    labels = frame.selectExpr("page_id", "CAST(page_id < 100000 AS INT) AS bad").withColumn("bad", F.when(F.col("page_id") % 2 == 0, F.col("bad")).otherwise(0))
+    got = {(r.host, r.verdict): r["count"] for r in U.filter_urls(frame, labels).groupBy("host", "verdict").count().collect()}
+    assert got == {("bad.site.dev", "allow"): 100_000, ("good.site.dev", "allow"): 200}  # half of them are good: below CONFIDENCE
+    got = {(r.host, r.verdict): r["count"] for r in U.filter_urls(frame, labels.where("page_id < 100000 and page_id % 2 = 0 or page_id >= 100000")).groupBy("host", "verdict").count().collect()}
+    assert got == {("bad.site.dev", "allow"): 100_000, ("good.site.dev", "allow"): 200}  # nearly all are bad: no lift
+
+
+def test_blocks_find_the_same_combinations(spark, monkeypatch):
+    """Pages of up to 16 of 20 tokens, where items have to be dealt to blocks."""
+    rng = random.Random(6)
+    names = [f"t{i:02d}" for i in range(20)]
+    baskets = [(sorted(rng.sample(names, rng.randrange(9, 17))), rng.randrange(2)) for _ in range(150)]
+    short = spark.createDataFrame(baskets, "items array<string>, bad int")
+    monkeypatch.setattr(U, "MOST_ITEMS", 8)
+    assert len(set(U._blocks(short, names).values())) > 4
+    got = U.frequent(short, names, 30)
+    want = {}
+    for n in range(1, 4):
+        for c in itertools.combinations(names, n):
+            held = [b for t, b in baskets if set(c) <= set(t)]
+            want[frozenset(c)], want[frozenset([*c, U.BAD])] = len(held), sum(held)
+    assert got == {k: n for k, n in want.items() if n >= 30}
+
+
+def test_tokens_of_the_same_pages_stand_for_each_other(spark):
+    rows = [(i, "http://a.dev/one/two/three") for i in range(20)] + [(100 + i, f"http://b.dev/four/{'xyz'[i % 3]}") for i in range(60)] + [(500, "http://c.dev/three"), (501, "http://c.dev/four")]
+    labels = [(i, 1) for i in range(20)] + [(100 + i, 0) for i in range(60)]
+    got = {r.page_id: r.verdict for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert got[500] == "block" and got[501] == "allow" and got[0] == "block"
+
+
 def test_empty_tables_and_nulls(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "page_id long, bad int")
