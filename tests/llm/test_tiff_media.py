@@ -140,8 +140,61 @@ def test_every_packing_comes_back(order):
 def test_long_lzw():
     rng = random.Random(1)
     for data in (bytes(rng.randrange(256) for _ in range(40_000)), b"abcab" * 9000, b"", b"x"):
-        assert T.unpack_lzw(pack_lzw(data)) == data
-    assert T.unpack_bits(pack_bits(b"aaab" * 500 + bytes(range(256)))) == b"aaab" * 500 + bytes(range(256))
+        assert T.unpack_lzw(pack_lzw(data), len(data) + 1) == data
+        assert T.unpack_lzw(T.pack_lzw(data), len(data) + 1) == data
+        assert T.unpack_bits(T.pack_bits(data), len(data) + 1) == data
+    runs = b"aaab" * 500 + bytes(range(256)) + b"z" * 1000
+    assert T.unpack_bits(pack_bits(runs), 10_000) == T.unpack_bits(T.pack_bits(runs), 10_000) == runs
+    assert len(T.pack_bits(b"z" * 1280)) == 20
+    for n in range(300, 5000, 7):  # the code's width changes at many places
+        data = bytes(rng.randrange(256) for _ in range(n))
+        assert T.unpack_lzw(T.pack_lzw(data), n) == data
+
+
+@pytest.mark.parametrize("layout", sorted(set(T.LAYOUTS), key=str))
+def test_every_layout_comes_back(layout):
+    rng = random.Random(2)
+    for rows in (1, 15, 16, 63, 64, 65, 129, 700):
+        payload = bytes(rng.choice(b"abc  \xff") for _ in range(rows * T.ROW))
+        data = T.write_image(payload, layout)
+        pages = [T.read_page(data, o, tags) for o, tags in T.directories(data)]
+        assert b"".join(p[4] for p in pages) == payload
+        assert len(pages) == (-(-rows // layout[3]) if layout[3] else 1)
+
+
+def test_few_bits_and_the_other_fill_order():
+    rng = np.random.default_rng(5)
+    for bits in (1, 2, 4):
+        values = rng.integers(0, 1 << bits, (5, 13, 3), dtype=np.uint8)
+        flat = (values.reshape(5, -1)[:, :, None] >> np.arange(bits - 1, -1, -1) & 1).reshape(5, -1).astype(np.uint8)
+        packed = np.packbits(flat, axis=1)
+        for fill in (1, 2):
+            raw = packed if fill == 1 else np.packbits(np.unpackbits(packed, axis=1), axis=1, bitorder="little")
+            tags = {256: (13,), 257: (5,), 258: (bits,) * 3, 277: (3,), 266: (fill,), 273: (0,), 279: (raw.size,)}
+            assert T.read_page(raw.tobytes(), "<", tags) == (13, 5, 3, bits, values.tobytes())
+
+
+def test_fuzzed_files_end_in_rows(spark):
+    rng = random.Random(11)
+    files = [image([(a, c, p, t, False) for a in list(arrays())[:3]]) for c, p, t in ((1, 1, False), (5, 2, True), (8, 2, False), (32773, 1, True))]
+    rows = []
+    for i in range(600):
+        data = bytearray(rng.choice(files))
+        first = struct.unpack("<I", data[4:8])[0]
+        for _ in range(rng.randrange(1, 4)):
+            at = first + rng.randrange(150) if rng.random() < 0.8 else rng.randrange(len(data))
+            data[at % len(data)] = rng.choice([0, 1, 2, 11, 12, 127, 128, 255, rng.randrange(256)])
+        rows.append((i, bytes(data)))
+    # The cases that once ended the task: 8-bit floats, a float as strip height, a width of 2**31.
+    one = image([(np.zeros((4, 4, 1), "u1"), 1, 1, False, False)])
+    rows += [(1000, one.replace(struct.pack("<HHIHH", 339, 3, 1, 1, 0), struct.pack("<HHIHH", 339, 3, 1, 3, 0)))]
+    rows += [(1001, one.replace(struct.pack("<HHII", 278, 4, 1, 5), struct.pack("<HHIf", 278, 11, 1, 5.0)))]
+    rows += [(1002, one.replace(struct.pack("<HHII", 256, 4, 1, 4), struct.pack("<HHII", 256, 4, 1, 1 << 31)))]
+    rows += [(1003, one.replace(struct.pack("<HHII", 256, 4, 1, 4), struct.pack("<HHII", 256, 4, 1, 1 << 30)))]
+    out = T.pages(spark.createDataFrame(rows, "id int, media binary"), ["id"]).collect()
+    assert {r.id for r in out} == {i for i, _ in rows}
+    assert all((r.error is None) != (r.pixels is None) for r in out)
+    assert all(r.error for r in out if r.id >= 1000)
 
 
 def test_texts_equal_brute_force(spark):
