@@ -6,15 +6,21 @@ the driver alone and goes to the executors as arrays of a fixed size, the vocabu
 piece can cross: before a run of spaces and at line feeds when no piece holds one. Segments repeat, so each
 worker keeps a bounded table of those it has met; new ones are segmented together, array-wise.
 
-A marker character that stands in a text itself is encoded as bytes, so that decoding returns every text exactly.
+A marker character that stands in a text itself is encoded as bytes, so that decoding returns every text exactly; where
+a model's normaliser changes texts (its character map, squeezed spaces), it returns the normalised text. Pieces that the
+model's user defined are cut out first.
+
+A byte-pair model has ranks in place of scores: its n-th piece has the score -n. They become log scores by Zipf's
+law, the probability of the n-th piece being in proportion to 1 / (n + 1).
 
 Defined cases: a null text has null ids and no tokens; an empty text has none; ids of an unknown piece don't arise, as
 bytes cover everything; repeated rows are encoded alike; an empty table gives an empty result; other columns
-pass through `encode`, whose own columns are `ids` and `n_tokens`.
+pass through `encode`, whose own columns are `ids` and `n_tokens`, with underscores where a column has that name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of, text_bytes
+from .common import free_name, runs_of, text_bytes
 
 MARK = "▁"
 #: A character that only byte pieces cover scores this much less than the worst piece, as published.
@@ -33,6 +39,7 @@ CACHE, CACHED_CHARS = 100_000, 64
 #: Characters of text looked at before new segments are encoded, and of those that are encoded together.
 RUN_CHARS, SEGMENT_CHARS = 1 << 19, 1 << 16
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+BYTE_PAIR = 2
 
 
 def _fields(data: bytes):
@@ -66,22 +73,71 @@ def _fields(data: bytes):
 
 
 def read_model(path: str) -> tuple[list[tuple[str, float, int]], dict]:
-    """(piece, score, type) of each id, and the normaliser's settings that matter here."""
+    """(piece, log score, type) of each id, and the settings that matter here."""
     with open(path, "rb") as f:
         data = f.read()
-    pieces, settings = [], {"prefix": True, "squeeze": True, "charsmap": b""}
+    pieces, settings = [], {"prefix": True, "squeeze": True, "charsmap": b"", "kind": 1}
     for number, value in _fields(data):
         if number == 1:
             own = dict(_fields(value))
             pieces.append((own.get(1, b"").decode(), struct.unpack("<f", own[2])[0] if 2 in own else 0.0, own.get(3, NORMAL)))
+        elif number == 2:
+            settings["kind"] = dict(_fields(value)).get(3, 1)
         elif number == 3:
             own = dict(_fields(value))
-            settings = {"prefix": bool(own.get(3, 1)), "squeeze": bool(own.get(4, 1)), "charsmap": own.get(2, b"")}
-    if settings["charsmap"] or settings["squeeze"]:
-        raise ValueError("only models that leave the text as it is are supported: others can't be decoded exactly")
+            settings |= {"prefix": bool(own.get(3, 1)), "squeeze": bool(own.get(4, 1)), "charsmap": own.get(2, b"")}
+    if settings["kind"] == BYTE_PAIR:
+        ranks = {i: -score for i, (_, score, kind) in enumerate(pieces) if kind == NORMAL}
+        total = math.log(sum(1 / (r + 1) for r in ranks.values()))
+        # Multiples of 2**-20 add up without rounding, so equal segmentations tie wherever a text is cut.
+        pieces = [(piece, round((-math.log(ranks[i] + 1) - total) * 2**20) / 2**20 if i in ranks else score, kind) for i, (piece, score, kind) in enumerate(pieces)]
     return pieces, settings
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """What a normaliser's compiled map turns strings into: a public double-array format, then texts that end in NUL."""
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    letters, out, todo = np.arange(1, 256), {}, [(0, b"")]
+    while todo:
+        node, key = todo.pop()
+        base = node ^ offset(int(units[node]))
+        if key and units[node] >> 8 & 1:
+            at = int(units[base]) & 0x7FFFFFFF
+            out[key.decode()] = texts[at : texts.index(b"\0", at)].decode()
+        places = base ^ letters
+        places = places[places < len(units)]
+        for p in places[(units[places] & (1 << 31 | 0xFF)) == places ^ base].tolist():
+            todo.append((p, key + bytes([p ^ base])))
+    return out
+
+
+class Normaliser:
+    """A model's changes to a text before it is segmented; the longest string of the map that fits goes first."""
+
+    def __init__(self, mapped: dict[str, str], squeeze: bool):
+        self.single, self.squeeze = {ord(k): v for k, v in mapped.items() if len(k) == 1}, squeeze
+        self.several = {k: v for k, v in mapped.items() if len(k) > 1}
+        self.longest = max(map(len, self.several), default=0)
+        later = {c for k in self.several for c in k[1:]}
+        self.later = re.compile("[" + "".join(map(re.escape, sorted(later))) + "]") if later else None
+
+    def __call__(self, text: str) -> str:
+        if self.later is None or not self.later.search(text):
+            text = text.translate(self.single)
+        else:
+            out, at = [], 0
+            while at < len(text):
+                n = next((n for n in range(min(self.longest, len(text) - at), 1, -1) if text[at : at + n] in self.several), 1)
+                out.append(self.several[text[at : at + n]] if n > 1 else self.single.get(ord(text[at]), text[at]))
+                at += n
+            text = "".join(out)
+        return re.sub(" +", " ", text).strip(" ") if self.squeeze else text
+
+
 def build_trie(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A double array (base, check, value) over the keys; value is a key's place or -1, and 0 is the root."""
     order = sorted(range(len(keys)), key=lambda i: keys[i])
@@ -129,6 +185,9 @@ class Vocabulary:
     def __init__(self, path: str):
         pieces, settings = read_model(path)
         self.prefix = settings["prefix"]
+        changes = settings["charsmap"] or settings["squeeze"]
+        self.normalise = Normaliser(character_map(settings["charsmap"]), settings["squeeze"]) if changes else None
+        self.defined: dict[str, int] = {}
         self.byte_ids = np.full(256, -1, np.int32)
         blobs, keys, ids, scores = [], [], [], []
         for i, (piece, score, kind) in enumerate(pieces):
@@ -138,7 +197,7 @@ class Vocabulary:
                 continue
             blobs.append(piece.replace(MARK, " ").encode() if kind in (NORMAL, USER_DEFINED) else b"")
             if kind == USER_DEFINED:
-                raise ValueError("pieces defined by the user are not supported")
+                self.defined[piece.replace(MARK, " ")] = i
             if kind == NORMAL:
                 keys.append(piece.replace(MARK, " ").encode())
                 ids.append(i)
@@ -147,7 +206,10 @@ class Vocabulary:
             raise ValueError("the model has no byte fallback")
         if any(re.search("[^ ] ", k.decode()) for k in keys):
             raise ValueError("pieces that go on after a space are not supported")
-        self.split = re.compile(" *[^ ]+| +" if any(b"\n" in k for k in keys) else " *[^ \n]+|\n| +")
+        whole = any(b"\n" in k for k in keys)
+        own = "|".join(map(re.escape, sorted(self.defined, key=len, reverse=True)))
+        letter = ("[^ ]" if whole else "[^ \n]") if not own else f"(?:(?!{own}){'[^ ]' if whole else '[^ \n]'})"
+        self.split = re.compile(own + "|" * bool(own) + f" *{letter}+|" + "\n|" * (not whole) + " +")
         self.base, self.check, place = build_trie(keys)
         self.ids, self.scores = np.array([*ids, 0], np.int32), np.array([*scores, 0.0])
         self.value = place
@@ -261,9 +323,13 @@ class Encoder:
     """Encodes lists of texts with a worker's own memory of segments."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {}
-        self.flat, self.at, self.count = [], [], []
-        self._pack = None
+        self.v = vocabulary
+        self._forget()
+
+    def _forget(self) -> None:
+        """Knows only the pieces that the user defined."""
+        self.known = {piece: k for k, piece in enumerate(self.v.defined)}
+        self.flat, self.count = [np.array(list(self.v.defined.values()), np.int32)], [np.ones(len(self.v.defined), np.int64)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
@@ -297,7 +363,7 @@ class Encoder:
     def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split, lead = self.v.split.findall, " " if self.v.prefix else ""
         if len(self.known) > CACHE:
-            self.known, self.flat, self.at, self.count = {}, [], [], []
+            self._forget()
         known, number = self.known, []
         chunks = [split(lead + t) if t else [] for t in texts]
         new: dict[str, int] = {}
@@ -326,11 +392,17 @@ class Encoder:
                 known.update({x: first + i for i, (x, _) in enumerate(keep)})
                 self.flat, self.count = [*self.flat, ids], [*self.count, n]
         else:
-            self.known, self.flat, self.count = {}, [], []
+            self._forget()
         return out, np.diff(per_text)
 
 
+def _own_names(keep: list[str], verify: bool) -> list[str]:
+    return [free_name(n, keep) for n in ("ids", "n_tokens", "round_trip")[: 2 + verify]]
+
+
 def _encoder(vocabulary, text_at: int, names: list[str], verify: bool):
+    more = _own_names(names, verify)
+
     def encode(batches):
         encoder = _CACHES.get("encoder")
         if encoder is None:
@@ -340,29 +412,31 @@ def _encoder(vocabulary, text_at: int, names: list[str], verify: bool):
             for lo, hi in runs_of(text_bytes(column)[1], RUN_CHARS):  # ids take more room than texts, so batches are cut
                 part = column.slice(lo, hi - lo)
                 texts = [t or "" for t in part.to_pylist()]
+                if encoder.v.normalise:
+                    texts = [encoder.v.normalise(t) for t in texts]
                 ids, counts = encoder.encode(texts)
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 null = part.is_null() if part.null_count else None
                 arrays = [batch.column(k).slice(lo, hi - lo) for k in range(len(names))]
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()), mask=null), pa.array(counts)]
-                more = ["ids", "n_tokens"]
                 if verify:
                     data, ends = encoder.v.decode(ids, counts)
                     data = data.tobytes()
                     same = [data[a:b] == t.encode() for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), texts)]
                     arrays.append(pa.array(same, pa.bool_()))
-                    more.append("round_trip")
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *more])
 
     return encode
 
 
 def encode(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "text", verify: bool = False) -> DataFrame:
-    """The columns `keep`, ids (array of int), n_tokens, and with `verify` whether decoding gave the text back."""
+    """The columns `keep`, ids (array of int), n_tokens, and with `verify` whether decoding gave the text back.
+
+    A column of `keep` with such a name keeps it, and the result's gets underscores."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
     read = docs.select(*keep, *[text_col] * (text_col not in keep))
     kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
-    return read.mapInArrow(_encoder(shared, read.columns.index(text_col), keep, verify), f"{kinds}, ids array<int>, n_tokens long" + ", round_trip boolean" * verify)
+    return read.mapInArrow(_encoder(shared, read.columns.index(text_col), keep, verify), ", ".join([kinds, *(f"`{n}` {k}" for n, k in zip(_own_names(keep, verify), ("array<int>", "long", "boolean")))]))
 
 
 def decode(encoded: DataFrame, model_path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -97,3 +98,54 @@ def test_frames(spark):
     back = {r.doc_id: r.text for r in S.decode(out, tokenizer_path(), ["doc_id"]).collect()}
     assert back == {i: t for i, t, _ in rows}
     assert S.encode(frame.limit(0), tokenizer_path(), ["doc_id"]).count() == 0
+    clash = S.encode(frame.withColumnRenamed("round_trip", "ids"), tokenizer_path(), ["doc_id", "ids"])
+    assert clash.columns == ["doc_id", "ids", "ids_", "n_tokens"] and {r.ids for r in clash.collect()} == {"x", "y", None}
+
+
+def test_ranks_become_log_scores():
+    pieces, _ = S.read_model(tokenizer_path())
+    scores = [s for _, s, k in pieces if k == S.NORMAL]
+    assert abs(sum(np.exp(scores)) - 1) < 1e-3
+
+
+def model_file(path, pieces, charsmap=b"", squeeze=True, prefix=True):
+    """A unigram model's file by hand: (piece, score, type) and the normaliser's settings."""
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    part = lambda number, body: varint(number << 3 | 2) + varint(len(body)) + body
+    data = b"".join(part(1, part(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + varint(k)) for p, s, k in pieces)
+    data += part(2, b"\x18\x01" + varint(35 << 3) + b"\x01") + part(3, part(2, charsmap) * bool(charsmap) + b"\x18" + varint(prefix) + b"\x20" + varint(squeeze))
+    path.write_bytes(data)
+    return str(path)
+
+
+def small_pieces():
+    pieces = [("<unk>", 0.0, S.UNKNOWN), ("<s>", 0.0, S.CONTROL), ("</s>", 0.0, S.CONTROL), ("<sep>", 0.0, S.USER_DEFINED)]
+    pieces += [(f"<0x{b:02X}>", 0.0, S.BYTE) for b in range(256)]
+    texts = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "▁b", "é", "f", "i", "fi", "1", "▁1", "e"]
+    return pieces + [(t, -1.0 - (7 * k % 11) - k / 64, S.NORMAL) for k, t in enumerate(texts)]
+
+
+def test_unigram_models_equal_the_library(tmp_path):
+    """Normaliser maps, squeezed spaces and pieces defined by the user, against the published library."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    charsmap = dict(S._fields(dict(S._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]))[2]
+    path = model_file(tmp_path / "m.model", small_pieces(), charsmap)
+    theirs, own = sentencepiece.SentencePieceProcessor(model_file=path), S.Vocabulary(path)
+    rng = random.Random(4)
+    texts = ["abc ab", "  a  b ", "ﬁ é e\u0301 ①", "ab<sep>abc", "a<sep><sep><sep>b", "\tab\nc", "", "zzz 日本", "ａｂｃ", "<sep>"]
+    texts += ["".join(rng.choice(["a", "b", "c", " ", "<sep>", "é", "e\u0301", "ﬁ", "1", "\n", "日"]) for _ in range(rng.randrange(12))) for _ in range(200)]
+    encoder = S.Encoder(own)
+    normal = [own.normalise(t) for t in texts]
+    ids, counts = encoder.encode(normal)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    data, ends = own.decode(ids, counts)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == theirs.encode(t), (t, theirs.encode(t, out_type=str))
+        assert data[ends[k] : ends[k + 1]].tobytes().decode() == normal[k]
