@@ -37,6 +37,8 @@ MISSED = 1e-6
 SMALL = 16
 #: Ratio of the sizes in a class of the exact join, and the rows of a shingle there that stay in one task.
 SIZE_CLASS, SALTED = 1.03, 512
+#: Pairs of one text that are confirmed in one task.
+STAR = 512
 #: A link needs percent * union <= 100 * intersection; this is the query's.
 PERCENT = 85
 #: Bytes of text hashed at once: the working arrays of a run stay near the CPU's caches.
@@ -188,32 +190,41 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _distinct_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """shingle_sets(), worked out once for texts that repeat among these."""
+    places: dict[bytes, int] = {}
+    own = [places.setdefault(data[a:b].tobytes(), len(places)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    ends = np.concatenate(([0], np.cumsum([len(t) for t in places])))
+    sets = shingle_sets(np.frombuffer(b"".join(places), np.uint8), ends)
+    return [sets[i] for i in own]
+
+
 def _confirm(percent: int):
     def run(batches):
-        seen: dict[int, tuple] = {}
         for batch in batches:
-            first, second = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-            centre, good = batch.column(1).to_pylist(), []
+            first, second, good = text_bytes(batch.column(2)), text_bytes(batch.column(3)), []
             for a, b in runs_of(first[1] + second[1], RUN_BYTES):
-                left = shingle_sets(first[0], first[1][a : b + 1])
-                for k in range(a, b):
-                    lo, hi = second[1][k], second[1][k + 1]
-                    text = second[0][lo:hi].tobytes()
-                    if centre[k] not in seen or seen[centre[k]][0] != text:
-                        seen.clear()
-                        seen[centre[k]] = (text, shingle_sets(second[0], second[1][k : k + 2])[0])
-                    good.append(linked(left[k - a], seen[centre[k]][1], percent))
+                left, right = (_distinct_sets(data, offsets[a : b + 1]) for data, offsets in (first, second))
+                good += [linked(x, y, percent) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "ok"])
 
     return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, ok) of the pairs (a, b), judged on the whole texts (doc_id, text)."""
-    ids = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    needed = texts.join(ids, "doc_id", "left_semi")
-    joined = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    joined = joined.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """(a, b, ok) of the pairs (a, b), judged on the whole texts (doc_id, text).
+
+    A text that more than STAR pairs need, a star's centre, goes to several tasks, each with its share of the pairs.
+    """
+    degrees = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
+    parts = degrees.select("doc_id", F.ceil(F.col("n") / STAR).cast("int").alias("parts"))
+    needed = texts.join(small(parts), "doc_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    centres = small(parts.where("parts > 1"))
+    joined = pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        dealt = joined.join(centres.withColumnRenamed("doc_id", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        joined = dealt.join(needed.select(F.col("doc_id").alias(end), "part", F.col("text").alias("t" + end)), [end, "part"]).drop("part")
+    joined = joined.select("a", "b", "ta", "tb")
     return joined.mapInArrow(_confirm(percent), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
