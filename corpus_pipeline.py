@@ -36,7 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode(docs, tokenizer_path(), [c for c in docs.columns if c not in ("text", "n_chars", "ids", "n_tokens")])
+    """All columns but the text, and its ids and their number."""
+    return sentencepieces.encode(docs, tokenizer_path(), [c for c in docs.columns if c != "text"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
