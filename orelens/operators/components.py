@@ -1,7 +1,8 @@
 """Connected components of a class map and the minimum-mapping-unit filter.
 
 Tiles are labelled on their own (an Arrow-fed NumPy kernel of bounded size), then only the pairs of labels that meet
-across tile borders are merged, by labels that spread and jump; each round is a checkpoint.
+across tile borders are merged, by labels that spread and jump; each round is a checkpoint. With a `layer` column (which
+has to be filled) components lie within a layer: labels carry it, and a label is a cell's number in its own layer.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grid import layer_of
+
 BLOCK = 256
 
 
@@ -61,7 +64,8 @@ def _labeller(width: int, steps: list[tuple[int, int]]):
         key = r.astype(np.int64) * width + c
         least = np.full(len(r), np.iinfo(np.int64).max)
         np.minimum.at(least, up, key)
-        return pd.DataFrame({"row": r, "col": c, "cls": tile["cls"], "label": least[up]})
+        layer = {"layer": tile["layer"]} if "layer" in tile else {}
+        return pd.DataFrame(layer | {"row": r, "col": c, "cls": tile["cls"], "label": least[up]})
 
     return label
 
@@ -80,19 +84,26 @@ def merge_labels(links: DataFrame) -> DataFrame:
             return roots
 
 
-def label_components(classes: DataFrame, cls: str, width: int, connectivity: int = 4, block: int = BLOCK) -> DataFrame:
-    """(row, col, cls, label) of valid cells; a component's label is its first cell's number in row-major order."""
-    steps = _forward(connectivity)
-    valid = classes.where(F.col(cls).isNotNull()).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col(cls).cast("long").alias("cls"))
+def _labelled(classes: DataFrame, cls: str, width: int, connectivity: int, block: int) -> DataFrame:
+    """(layer, row, col, cls, label) of valid cells; a label is (layer, number) where there are layers."""
+    steps, layer = _forward(connectivity), layer_of(classes)
+    valid = classes.where(F.col(cls).isNotNull()).select(*layer, F.col("row").cast("long"), F.col("col").cast("long"), F.col(cls).cast("long").alias("cls"))
     tile = [F.floor(F.col(c) / block).alias(t) for c, t in (("row", "tile_r"), ("col", "tile_c"))]
-    local = valid.groupBy(*tile).applyInPandas(_labeller(width, steps), "row long, col long, cls long, label long")
-    local = _checkpointed(local)
+    kinds = "".join(f"`{c}` {valid.schema[c].dataType.simpleString()}, " for c in layer)
+    local = valid.groupBy(*layer, *tile).applyInPandas(_labeller(width, steps), kinds + "row long, col long, cls long, label long")
+    local = _checkpointed(local.withColumn("label", F.struct("layer", "label")) if layer else local)
     edge = local.where((F.col("row") % block).isin(0, block - 1) | (F.col("col") % block).isin(0, block - 1))
     moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in steps])
-    there = edge.withColumn("s", F.explode(moves)).select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "cls", F.col("label").alias("a"))
-    links = there.join(edge.withColumnRenamed("label", "b"), ["row", "col", "cls"]).where("a <> b").select("a", "b").distinct()
+    there = edge.withColumn("s", F.explode(moves)).select(*layer, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "cls", F.col("label").alias("a"))
+    links = there.join(edge.withColumnRenamed("label", "b"), [*layer, "row", "col", "cls"]).where("a <> b").select("a", "b").distinct()
     roots = merge_labels(links)
-    return local.join(roots, "label", "left").select("row", "col", "cls", F.coalesce("root", "label").alias("label"))
+    return local.join(roots, "label", "left").select(*layer, "row", "col", "cls", F.coalesce("root", "label").alias("label"))
+
+
+def label_components(classes: DataFrame, cls: str, width: int, connectivity: int = 4, block: int = BLOCK) -> DataFrame:
+    """(layer, row, col, cls, label) of valid cells; a component's label is its first cell's number in row-major order."""
+    out = _labelled(classes, cls, width, connectivity, block)
+    return out.withColumn("label", F.col("label.label")) if layer_of(classes) else out
 
 
 def sieve_threshold(mmu_ha: float, res_m: float) -> int:
@@ -103,14 +114,16 @@ def sieve(classes: DataFrame, cls: str, width: int, threshold: int, connectivity
     """Components smaller than `threshold` take the class of their largest neighbour (the smallest label among equals); if
     that is small too, of the neighbour it would take, and so on. Two small ones that point at each other stay as they
     are. Invalid cells are no component and stay invalid."""
-    labelled = _checkpointed(label_components(classes, cls, width, connectivity, block))
+    layer = layer_of(classes)
+    labelled = _checkpointed(_labelled(classes, cls, width, connectivity, block))
+    number = F.col("label.label") if layer else F.col("label")
     sizes = labelled.groupBy("label").agg(F.count("*").alias("n"), F.first("cls").alias("cls"))
     moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in _forward(connectivity)])
-    there = labelled.withColumn("s", F.explode(moves)).select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("label").alias("a"))
-    touch = there.join(labelled.select("row", "col", F.col("label").alias("b")), ["row", "col"]).where("a <> b").select("a", "b").distinct()
+    there = labelled.withColumn("s", F.explode(moves)).select(*layer, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("label").alias("a"))
+    touch = there.join(labelled.select(*layer, "row", "col", F.col("label").alias("b")), [*layer, "row", "col"]).where("a <> b").select("a", "b").distinct()
     touch = touch.union(touch.select(F.col("b"), F.col("a"))).distinct()
-    big = sizes.select(F.col("label").alias("b"), F.struct(F.col("n"), (-F.col("label")).alias("l")).alias("rank"))
-    largest = touch.join(big, "b").groupBy(F.col("a").alias("label")).agg((-F.max("rank")["l"]).alias("next"))
+    big = sizes.select(F.col("label").alias("b"), F.struct(F.col("n"), (-number).alias("l"), F.col("label").alias("of")).alias("rank"))
+    largest = touch.join(big, "b").groupBy(F.col("a").alias("label")).agg(F.max("rank")["of"].alias("next"))
     hops = sizes.join(largest, "label", "left").select("label", "cls", F.when(F.col("n") < threshold, F.coalesce("next", "label")).otherwise(F.col("label")).alias("next"), (F.col("n") >= threshold).alias("kept"))
     hops = _checkpointed(hops)
     to = hops.select("label", "next")
@@ -122,6 +135,6 @@ def sieve(classes: DataFrame, cls: str, width: int, threshold: int, connectivity
             break
     end = hops.select(F.col("label").alias("next"), F.col("cls").alias("new"), F.col("kept").alias("sound"))
     taken = to.join(end, "next").where("sound").select("label", "new")
-    out = labelled.join(taken, "label", "left").select(F.col("row").cast("int"), F.col("col").cast("int"), F.coalesce("new", "cls").alias("_new"))
+    out = labelled.join(taken, "label", "left").select(*layer, F.col("row").cast("int"), F.col("col").cast("int"), F.coalesce("new", "cls").alias("_new"))
     kind = classes.schema[cls].dataType
-    return classes.join(out, ["row", "col"], "left").withColumn(cls, F.col("_new").cast(kind)).drop("_new")
+    return classes.join(out, [*layer, "row", "col"], "left").select(*[c for c in classes.columns], "_new").withColumn(cls, F.col("_new").cast(kind)).drop("_new")

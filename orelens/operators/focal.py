@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import along_col, along_row, inside, pad
+from .grid import along_col, along_row, inside, layer_of, pad
 from .preprocess import _odd, box_sums
 
 
@@ -18,7 +18,8 @@ def _gradient(value: str, window, res: float) -> Column:
 
 
 def gradients(pixels: DataFrame, dem: str, res: float) -> DataFrame:
-    return pixels.withColumns({"dx": _gradient(dem, along_row(), res)}).withColumns({"dy": _gradient(dem, along_col(), res)})
+    layer = layer_of(pixels)
+    return pixels.withColumns({"dx": _gradient(dem, along_row(*layer), res)}).withColumns({"dy": _gradient(dem, along_col(*layer), res)})
 
 
 def terrain(pixels: DataFrame, dem: str, res: float) -> DataFrame:

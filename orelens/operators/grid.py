@@ -1,4 +1,8 @@
-"""The grid side of pixel tables: tiles, halos, padded borders, overviews, conversions."""
+"""The grid side of pixel tables: tiles, halos, padded borders, overviews, conversions.
+
+A table with a `layer` column holds several rasters of one size; whatever looks at a cell's neighbours, or sums up a
+raster, does so layer by layer.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +23,18 @@ def along_col(*more: str) -> WindowSpec:
     return Window.partitionBy(*more, "col").orderBy("row")
 
 
+def layer_of(pixels: DataFrame) -> tuple[str, ...]:
+    """The key that tells the rasters of a table apart, if it has one."""
+    return ("layer",) * ("layer" in pixels.columns)
+
+
+def by_layer(pixels: DataFrame, rows: DataFrame) -> DataFrame:
+    """pixels with the columns of their layer's row, or of the one row there is."""
+    if not layer_of(rows):
+        return pixels.join(F.broadcast(rows), how="inner")  # an aggregate's one row
+    return pixels.join(rows.withColumnRenamed("layer", "_layer"), F.col("layer").eqNullSafe(F.col("_layer"))).drop("_layer")
+
+
 def count_windows(height: int, width: int, block: int) -> int:
     return math.ceil(height / block) * math.ceil(width / block)
 
@@ -55,6 +71,12 @@ def from_sentinel(value: Column, nodata: float | None) -> Column:
 
 def complete(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Every cell of the grid, with NULLs where the table has no row: what focal operators assume."""
+    if layer_of(pixels):
+        lines = pixels.select(F.col("layer").alias("_layer")).distinct().withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+        every = lines.withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+        same = F.col("_layer").eqNullSafe(F.col("layer")) & (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col"))
+        place = {"layer": "_layer", "row": "_row", "col": "_col"}
+        return every.join(pixels, same, "left").select(*[F.col(place[c]).alias(c) if c in place else c for c in pixels.columns])
     cells = pixels.sparkSession.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
     return cells.join(pixels.withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")}), ["row", "col"], "left")
 
@@ -99,9 +121,9 @@ def overview(pixels: DataFrame, height: int, width: int, bands: list[str], most:
     if scale >= 1:
         cells = pixels.sparkSession.range(h * w).select(F.floor(F.col("id") / w).cast("int").alias("r"), (F.col("id") % w).cast("int").alias("c"))
         cells = cells.withColumns({"row": F.floor(F.col("r") * height / h).cast("int"), "col": F.floor(F.col("c") * width / w).cast("int")})
-        own = pixels.select(F.col("row").cast("int"), F.col("col").cast("int"), *bands)
-        return cells.join(own, ["row", "col"]).select(F.col("r").alias("row"), F.col("c").alias("col"), *bands)
-    return pixels.groupBy(F.floor(F.col("row") * h / height).cast("int").alias("row"), F.floor(F.col("col") * w / width).cast("int").alias("col")).agg(*[F.avg(b).alias(b) for b in bands])
+        own = pixels.select(*layer_of(pixels), F.col("row").cast("int"), F.col("col").cast("int"), *bands)
+        return cells.join(own, ["row", "col"]).select(*layer_of(pixels), F.col("r").alias("row"), F.col("c").alias("col"), *bands)
+    return pixels.groupBy(*layer_of(pixels), F.floor(F.col("row") * h / height).cast("int").alias("row"), F.floor(F.col("col") * w / width).cast("int").alias("col")).agg(*[F.avg(b).alias(b) for b in bands])
 
 
 def pyramid(pixels: DataFrame, band: str, factors: tuple[int, ...] = (2, 4, 8, 16), classes: bool = False) -> DataFrame:
@@ -112,4 +134,4 @@ def pyramid(pixels: DataFrame, band: str, factors: tuple[int, ...] = (2, 4, 8, 1
     levels = pixels.withColumn("factor", F.explode(F.array(*map(F.lit, factors))))
     cell = [F.floor(F.col(c) / F.col("factor")).cast("int").alias(c) for c in ("row", "col")]
     value = F.min_by(band, F.struct("row", "col")) if classes else F.avg(band)
-    return levels.groupBy("factor", *cell).agg(value.alias(band))
+    return levels.groupBy(*layer_of(pixels), "factor", *cell).agg(value.alias(band))

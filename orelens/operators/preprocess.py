@@ -8,42 +8,42 @@ from pyspark.sql.window import Window
 
 from orelens.functions.indices import subtract_dark
 
-from .grid import BLOCK, along_col, along_row, inside, pad
+from .grid import BLOCK, along_col, along_row, by_layer, inside, layer_of, pad
 
 
 def dark_object_values(pixels: DataFrame, bands: list[str]) -> DataFrame:
-    """One row: each band's smallest positive value, 0 where there is none."""
-    return pixels.agg(*[F.coalesce(F.min(F.when(F.col(b) > 0, F.col(b))), F.lit(0.0)).alias(b) for b in bands])
+    """One row (a layer): each band's smallest positive value, 0 where there is none."""
+    return pixels.groupBy(*layer_of(pixels)).agg(*[F.coalesce(F.min(F.when(F.col(b) > 0, F.col(b))), F.lit(0.0)).alias(b) for b in bands])
 
 
 def dos1(pixels: DataFrame, bands: list[str], dtype: str | None = None) -> DataFrame:
-    """Dark-object subtraction: one aggregate row joined back as a broadcast."""
-    dark = dark_object_values(pixels, bands).select(*[F.col(b).alias(f"_dark_{b}") for b in bands])
-    joined = pixels.join(F.broadcast(dark), how="inner")  # the aggregate has one row
+    """Dark-object subtraction: one aggregate row (a layer) joined back."""
+    dark = dark_object_values(pixels, bands).select(*layer_of(pixels), *[F.col(b).alias(f"_dark_{b}") for b in bands])
+    joined = by_layer(pixels, dark)
     out = joined.withColumns({b: subtract_dark(F.col(b), F.col(f"_dark_{b}"), dtype) for b in bands})
     return out.drop(*[f"_dark_{b}" for b in bands])
 
 
 def band_means(pixels: DataFrame, bands: list[str], width: int, block: int = BLOCK, tiles: int = 4) -> DataFrame:
-    """One row: each band's mean over the first tiles in row-major order; 1 where it isn't positive."""
+    """One row (a layer): each band's mean over the first tiles in row-major order; 1 where it isn't positive."""
     across = -(-width // block)
     tile = F.floor(F.col("row") / block) * across + F.floor(F.col("col") / block)
     mean = lambda b: F.avg(b)
-    return pixels.where(tile < tiles).agg(*[F.when(mean(b) > 0, mean(b)).otherwise(1.0).alias(b) for b in bands])
+    return pixels.where(tile < tiles).groupBy(*layer_of(pixels)).agg(*[F.when(mean(b) > 0, mean(b)).otherwise(1.0).alias(b) for b in bands])
 
 
 def integral_image(pixels: DataFrame, value: str) -> DataFrame:
     """Sums over all cells above and to the left, own cell included."""
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = pixels.withColumn("integral", F.sum(value).over(so_far(along_row())))
-    return rows.withColumn("integral", F.sum("integral").over(so_far(along_col())))
+    rows = pixels.withColumn("integral", F.sum(value).over(so_far(along_row(*layer_of(pixels)))))
+    return rows.withColumn("integral", F.sum("integral").over(so_far(along_col(*layer_of(pixels)))))
 
 
 def box_sums(pixels: DataFrame, values: dict[str, Column], k: int) -> DataFrame:
     """k x k sums around each cell, over the cells that are there: a window along rows, then one along columns."""
-    p = k // 2
-    rows = pixels.withColumns({n: F.sum(v).over(along_row().rangeBetween(-p, p)) for n, v in values.items()})
-    return rows.withColumns({n: F.sum(n).over(along_col().rangeBetween(-p, p)) for n in values})
+    p, layer = k // 2, layer_of(pixels)
+    rows = pixels.withColumns({n: F.sum(v).over(along_row(*layer).rangeBetween(-p, p)) for n, v in values.items()})
+    return rows.withColumns({n: F.sum(n).over(along_col(*layer).rangeBetween(-p, p)) for n in values})
 
 
 def _odd(k: int) -> int:
@@ -65,8 +65,8 @@ def local_mean_var(pixels: DataFrame, value: str, k: int, height: int, width: in
 def lee_filter(pixels: DataFrame, value: str, height: int, width: int, k: int = 7, enl: float = 1.0, block: int = BLOCK) -> DataFrame:
     """pixels with `value` despeckled: local mean plus a weight times the difference from it. Invalid cells count as
     the band's mean around them and stay invalid."""
-    mean = band_means(pixels, [value], width, block).select(F.col(value).alias("_band"))
-    filled = pixels.join(F.broadcast(mean), how="inner").withColumn("_x", F.coalesce(value, "_band"))
+    mean = band_means(pixels, [value], width, block).select(*layer_of(pixels), F.col(value).alias("_band"))
+    filled = by_layer(pixels, mean).withColumn("_x", F.coalesce(value, "_band"))
     local = local_mean_var(filled, "_x", k, height, width)
     noise = F.pow(F.col("mean") / max(enl, 1e-6), F.lit(2.0))
     weight = F.when(F.col("var") + noise > 0, F.col("var") / (F.col("var") + noise)).otherwise(0.0)

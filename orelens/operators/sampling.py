@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from orelens.functions.geodesy import contains
 from orelens.model import Raster
 
+from .grid import layer_of
+
 
 def draw_order(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
@@ -27,8 +29,9 @@ def stratified_subsample(samples: DataFrame, label: str, most: int, seed: int =
 
 def extract_from_labels(features: DataFrame, labels: DataFrame, names: list[str], label: str = "label", unlabeled: int = 0, most: int | None = None, seed: int = 42) -> DataFrame:
     """(row, col, features, label) of pixels that are labelled and whose features are all valid."""
-    joined = features.join(labels.where(F.col(label).isNotNull() & (F.col(label) != unlabeled)).select("row", "col", F.col(label).cast("int")), ["row", "col"])
-    valid = joined.na.drop(how="any", subset=names).select("row", "col", *names, label)
+    layer = layer_of(features) if layer_of(labels) else ()
+    joined = features.join(labels.where(F.col(label).isNotNull() & (F.col(label) != unlabeled)).select(*layer, "row", "col", F.col(label).cast("int")), [*layer, "row", "col"])
+    valid = joined.na.drop(how="any", subset=names).select(*layer, "row", "col", *names, label)
     if not valid.limit(1).count():
         raise ValueError("no labelled pixel has valid features")
     return stratified_subsample(valid, label, most, seed) if most else valid

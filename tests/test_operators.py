@@ -276,3 +276,31 @@ def test_exact_quantiles(spark):
         assert np.allclose(got, np.quantile(values, points), rtol=1e-12)
     assert stats.exact_quantiles(df.where("v is null"), "v", [0.5]) == [None]
     assert stats.confidence_stats(df.where("v is null"), "v").first().p50 is None
+
+
+def test_layers_are_kept_apart(spark):
+    """Two rasters of one size in one table give what each gives on its own."""
+    rows = [(r, c, float((r * 7 + c * 3) % 11 + 1), (r * 5 + c) % 3 if (r + c) % 6 else None) for r in range(9) for c in range(8)]
+    schema = "row int, col int, x double, cls int"
+    one = {"a": spark.createDataFrame(rows, schema), "b": spark.createDataFrame([(r, c, x * 100, None if v is None else (v + r // 4) % 3) for r, c, x, v in rows], schema)}
+    both = one["a"].withColumn("layer", F.lit("a")).unionByName(one["b"].withColumn("layer", F.lit("b")))
+    operators = {
+        "box": lambda p: preprocess.box_sums(p, {"s": F.col("x")}, 3),
+        "dark": lambda p: preprocess.dos1(p, ["x"]),
+        "lee": lambda p: preprocess.lee_filter(p, "x", 9, 8, 3),
+        "terrain": lambda p: focal.roughness(focal.terrain(p, "x", 10.0), "slope", 9, 8),
+        "close": lambda p: focal.morphological_close(p, "cls", 9, 8, 3),
+        "median": lambda p: focal.median_smooth(p, "cls", 9, 8, 3),
+        "sieve": lambda p: components.sieve(p, "cls", 8, 4, 8, 4),
+        "label": lambda p: components.label_components(p, "cls", 8, 4, 4),
+        "thumb": lambda p: grid.overview(p, 9, 8, ["x"], 4),
+        "larger": lambda p: grid.overview(p, 9, 8, ["x"], 18),
+        "pyramid": lambda p: grid.pyramid(p, "x", (2, 4)),
+        "complete": lambda p: grid.complete(p.where("row + col <> 5"), 9, 8),
+    }
+    told = lambda df, names: sorted((tuple(None if v is None else round(v, 6) for v in r) for r in df.select(*names).collect()), key=str)
+    for name, f in operators.items():
+        out = f(both)
+        names = [c for c in out.columns if c != "layer"]
+        for layer, own in one.items():
+            assert told(out.where(F.col("layer") == layer), names) == told(f(own), names), (name, layer)
