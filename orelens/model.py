@@ -56,8 +56,6 @@ DEFAULTS: dict[str, Any] = {
     "sar_enl_default": 1.0,
     "sar_enl_sentinel1_iw": 4.9,
     "mining_features_enabled": True,
-    "upload_size_limit_mb": 500,
-    "tmp_dir": "tmp",
 }
 
 

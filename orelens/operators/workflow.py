@@ -72,10 +72,10 @@ def postprocess_chain(pixels: DataFrame, raster: Raster, cfg: Mapping[str, Any],
     h, w, out = raster.height, raster.width, {}
     now = pixels if dense else complete(pixels, h, w)
     drone = drone or planner.is_drone(res_m, cfg)
-    own = planner.drone_adaptive_params(res_m, cfg) if drone else None
+    own = planner.drone_plan(res_m, cfg) if drone else None
     values = focal.class_values(now, cls)
-    iterations = own["morpho_iters"] if own else max(1, int(cfg.get("morphological_iterations", 1)))
-    kernel = own["morpho_kernel"] if own else int(cfg.get("morphological_kernel_size", 3))
+    iterations = own.closing_rounds if own else max(1, int(cfg.get("morphological_iterations", 1)))
+    kernel = own.closing_kernel if own else int(cfg.get("morphological_kernel_size", 3))
 
     def run(step, make):
         nonlocal now
@@ -90,15 +90,15 @@ def postprocess_chain(pixels: DataFrame, raster: Raster, cfg: Mapping[str, Any],
         return lambda x: focal.median_smooth(x, cls, h, w, k, values=values) if method == "median" else focal.majority_smooth(x, cls, h, w, k, values)
 
     plan: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
-    if not (own and own["skip_confidence"]):
-        k = own["conf_filter_size"] if own else 5
+    if not own or own.with_confidence:
+        k = own.confidence_kernel if own else 5
         plan.append(("confidence_filter", lambda x: focal.confidence_filter(x, cls, conf, h, w, float(cfg.get("confidence_threshold", 0.6)), k, values=values)))
     if own:
-        plan += [(f"smooth_pass_{i}", smooth(p["kernel"], p["method"])) for i, p in enumerate(own["smooth_passes"])]
+        plan += [(f"smooth_pass_{i}", smooth(p.kernel, p.method)) for i, p in enumerate(own.smoothing)]
     else:
         plan.append(("median_smooth", smooth(int(cfg.get("median_filter_size", 3)), "median")))
     plan += [("morphological_close" if i == iterations - 1 else f"morphological_close_{i}", lambda x: focal.morphological_close(x, cls, h, w, kernel, values)) for i in range(iterations)]
-    least = own["sieve_min_px"] if own else components.sieve_threshold(float(cfg.get("min_mapping_unit_ha", 0.5)), res_m)
+    least = own.sieve_pixels if own else components.sieve_threshold(float(cfg.get("min_mapping_unit_ha", 0.5)), res_m)
     plan.append(("sieve_filter", lambda x: components.sieve(x, cls, w, least, int(cfg.get("sieve_connectivity", 4)))))
     for step, make in plan:
         if not run(step, make):

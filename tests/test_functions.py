@@ -88,10 +88,10 @@ def test_planner_order_and_options():
 def test_adaptive_kernels_and_chain():
     assert [planner.adaptive_kernel_size(r, 2.0) for r in (10.0, 0.5, 0.1, 0.05)] == [3, 5, 21, 41]
     assert planner.adaptive_kernel_size(0.01, 2.0, 3, 10) == 10
-    p = planner.drone_adaptive_params(0.2, {})
-    assert [x["method"] for x in p["smooth_passes"]] == ["median", "majority", "majority"] and p["skip_confidence"]
-    assert [x["kernel"] for x in p["smooth_passes"]] == [3, 9, 15]
-    assert p["morpho_iters"] == 3 and p["sieve_min_px"] == 50
+    p = planner.drone_plan(0.2, {})
+    assert [(x.method, x.kernel) for x in p.smoothing] == [("median", 3), ("majority", 9), ("majority", 15)] and not p.with_confidence
+    assert p.closing_rounds == 3 and p.sieve_pixels == 50
+    assert [x.kernel for x in planner.drone_plan(0.5, {}).smoothing] == [3, 5] and planner.drone_plan(0.5, {}).with_confidence
     assert [k for k, _ in planner.chain_steps(10.0, {})] == ["confidence_filter", "median_smooth", "morphological_close", "sieve_filter"]
     times = planner.estimate_chain_time(120_560_400, {}, 10.0)
     assert times["median_smooth"] == pytest.approx(144.67, abs=0.01) and "warning" in times
