@@ -50,12 +50,17 @@ def worst(gates: DataFrame) -> DataFrame:
     return gates.agg(F.get(F.array(F.lit("pass"), F.lit("warning"), F.lit("fail")), F.coalesce(F.max(rank), F.lit(0))).alias("status"))
 
 
+#: (column, name, setting, least value by default) of the two-threshold gate
+TWO = (("oa", "overall accuracy", "min_oa_threshold", 0.80), ("minority_f1", "minority F1", "min_minority_f1", 0.70))
+
+
 def legacy_gates(metrics: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
-    """metrics (oa, minority_f1) with gate_passed and gate_message, by two thresholds."""
-    parts = [F.when(F.col(c) < least, F.format_string(f"{name} %.3f < threshold {least:.3f}", c)) for c, name, least in (("oa", "OA", float(cfg.get("min_oa_threshold", 0.80))), ("minority_f1", "minority F1", float(cfg.get("min_minority_f1", 0.70))))]
-    low = F.concat_ws("; ", *parts)
-    fine = F.format_string(f"Gate passed: OA %.3f >= {float(cfg.get('min_oa_threshold', 0.80)):.3f}, minority F1 %.3f >= {float(cfg.get('min_minority_f1', 0.70)):.3f}", "oa", "minority_f1")
-    return metrics.withColumns({"gate_passed": low == "", "gate_message": F.when(low == "", fine).otherwise(F.concat(F.lit("Gate failed: "), low))})
+    """metrics (oa, minority_f1) with gate_passed and gate_message, by two thresholds: the message tells each value that
+    is too low, or both values."""
+    told = [(F.col(c) >= (least := float(cfg.get(key, default))), F.format_string(f"{name} %.3f (least {least:.3f})", c)) for c, name, key, default in TWO]
+    low = F.filter(F.array(*[F.when(~met, text) for met, text in told]), lambda x: x.isNotNull())
+    verdict = F.when(F.size(low) > 0, F.concat(F.lit("rejected for "), F.array_join(low, ", "))).otherwise(F.concat(F.lit("accepted with "), F.concat_ws(", ", *[text for _, text in told])))
+    return metrics.withColumns({"gate_passed": F.size(low) == 0, "gate_message": verdict})
 
 
 def rmse_gate(results: DataFrame, threshold: float = 0.5) -> DataFrame:

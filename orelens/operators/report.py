@@ -29,7 +29,7 @@ def executive_summary(metrics: DataFrame, areas: DataFrame) -> DataFrame:
 
 def area_section(areas: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(class_id, class_name, pixel_count, area_ha, area_pct) rounded to two and one decimals."""
-    out = areas.join(F.broadcast(names), "class_id", "left") if names is not None else areas.withColumn("class_name", F.lit(None).cast("string"))
+    out = areas.join(names, "class_id", "left") if names is not None else areas.withColumn("class_name", F.lit(None).cast("string"))
     name = F.coalesce("class_name", F.concat(F.lit("Class "), F.col("class_id").cast("string")))
     return out.select("class_id", name.alias("class_name"), "pixel_count", F.round("area_ha", 2).alias("area_ha"), F.round("area_pct", 1).alias("area_pct"))
 

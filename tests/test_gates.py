@@ -71,7 +71,8 @@ def test_quality_gates(spark):
     assert edge.status == "pass" and "5.00%" in edge.message
     got = {r.oa: r for r in gates.legacy_gates(spark.createDataFrame([(0.8, 0.7), (0.79, 0.7), (0.5, 0.1)], "oa double, minority_f1 double"), DEFAULTS).collect()}
     assert got[0.8].gate_passed and not got[0.79].gate_passed
-    assert got[0.5].gate_message == "Gate failed: OA 0.500 < threshold 0.800; minority F1 0.100 < threshold 0.700"
+    assert got[0.5].gate_message == "rejected for overall accuracy 0.500 (least 0.800), minority F1 0.100 (least 0.700)"
+    assert got[0.8].gate_message == "accepted with overall accuracy 0.800 (least 0.800), minority F1 0.700 (least 0.700)"
 
 
 def test_coregistration(spark):

@@ -90,7 +90,7 @@ def test_training_metrics_and_gate(spark):
     good = ml.train(samples(spark), ["a", "b", "c"], ml.ClassificationConfig(n_estimators=5, k_folds=3, max_depth=3), DEFAULTS)
     assert good.gate_passed and good.oa > 0.95 and good.folds.count() == 3 and good.classes == (1, 2)
     noise = ml.train(samples(spark, apart=0.0), ["a", "b", "c"], ml.ClassificationConfig(n_estimators=5, k_folds=2, max_depth=3), DEFAULTS)
-    assert not noise.gate_passed and noise.gate_message.startswith("Gate failed: OA")
+    assert not noise.gate_passed and noise.gate_message.startswith("rejected for overall accuracy")
     few = ml.train(samples(spark, share=0.05), ["a", "b", "c"], ml.ClassificationConfig(n_estimators=3, k_folds=2, max_depth=3), DEFAULTS)
     assert few.smote_applied
     with pytest.raises(ValueError):
