@@ -768,9 +768,9 @@ def components_8(spark, sf_dir):
     return components.label_components(g.classes(spark, sf_dir), "cls", g.CLASS_WIDTH, 8, 32)
 
 
-@query(_component_sql(False) + """, size AS (SELECT label, count(*) AS n, any_value(cls) AS cls FROM comp JOIN cell USING (id) GROUP BY label),
+@query(_component_sql(False) + """, size AS MATERIALIZED (SELECT label, count(*) AS n, any_value(cls) AS cls FROM comp JOIN cell USING (id) GROUP BY label),
   touch AS (SELECT DISTINCT x.label AS a, y.label AS b FROM cell a JOIN step ON abs(i) + abs(j) = 1 JOIN cell b ON b.row = a.row + i AND b.col = a.col + j JOIN comp x ON x.id = a.id JOIN comp y ON y.id = b.id WHERE x.label <> y.label),
-  next AS (SELECT a AS label, b AS nb FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM touch JOIN size ON size.label = b) WHERE r = 1),
+  next AS MATERIALIZED (SELECT a AS label, b AS nb FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM touch JOIN size ON size.label = b) WHERE r = 1),
   hop(label, place, step) AS (SELECT label, label, 0 FROM size UNION ALL SELECT h.label, nx.nb, step + 1 FROM hop h JOIN size s ON s.label = h.place JOIN next nx ON nx.label = h.place WHERE s.n < 6 AND step < 64),
   ends AS (SELECT h.label, any_value(s.cls) AS cls FROM hop h JOIN size s ON s.label = h.place WHERE s.n >= 6 GROUP BY h.label)
   SELECT c.row, c.col, CASE WHEN c.cls IS NOT NULL THEN coalesce(ends.cls, c.cls) END AS cls FROM c LEFT JOIN comp ON comp.id = c.row * 100 + c.col LEFT JOIN ends ON ends.label = comp.label""")
@@ -970,3 +970,58 @@ def coregister_shift(spark, sf_dir):
     d = g.dem(spark, sf_dir).na.fill(0.0)
     moved = d.select((F.col("row") + 1).alias("row"), (F.col("col") + 2).alias("col"), "dem")
     return coregister.shift_report(coregister.coregister(d, moved, "dem", "dem", "x.tif", 5.0))
+
+
+# --- several rasters in one table ------------------------------------------------------------------------------
+# Two layers of the same cells: an operator that mixed them would count each cell twice.
+
+
+def _two_layers(df: DataFrame) -> DataFrame:
+    return df.withColumn("layer", F.explode(F.array(F.lit("a"), F.lit("b"))))
+
+
+def _layered(base: str, f) -> None:
+    def run(spark, sf_dir):
+        return f(spark, sf_dir)
+
+    query(f"SELECT layer, t.* FROM ({ORACLE_SQL[base]}) t, (VALUES ('a'), ('b')) l(layer)", name=f"layers_{base}")(run)
+
+
+def _of_dem(base: str, f) -> None:
+    _layered(base, lambda spark, sf_dir: rounded(f(_two_layers(g.dem(spark, sf_dir)), g.height(spark, sf_dir, "orders", g.DEM_WIDTH))))
+
+
+def _of_classes(base: str, f) -> None:
+    _layered(base, lambda spark, sf_dir: f(_two_layers(g.classes(spark, sf_dir)), g.height(spark, sf_dir, "events", g.CLASS_WIDTH)))
+
+
+_layered("dos1_corrected", lambda spark, sf_dir: rounded(preprocess.dos1(_two_layers(g.bands(spark, sf_dir).select("row", "col", "blue", "red")), ["blue", "red"], "uint8").select("layer", "row", "col", "blue", "red")))
+_of_dem("box_sum", lambda p, h: preprocess.box_sums(p, {"total": F.col("dem")}, 3).select("layer", "row", "col", "total"))
+_of_dem("integral_image", lambda p, h: preprocess.integral_image(p.na.fill(0.0, ["dem"]), "dem").select("layer", "row", "col", "integral"))
+_of_dem("band_means", lambda p, h: preprocess.band_means(p, ["dem"], g.DEM_WIDTH, 16))
+_of_dem("slope", lambda p, h: focal.terrain(p, "dem", g.RES).select("layer", "row", "col", "slope"))
+_of_dem("aspect", lambda p, h: focal.terrain(p, "dem", g.RES).select("layer", "row", "col", "aspect"))
+_of_classes("median_smooth", lambda p, h: focal.median_smooth(p, "cls", h, g.CLASS_WIDTH, 3).select("layer", "row", "col", "cls"))
+_of_classes("confidence_filter", lambda p, h: focal.confidence_filter(p, "cls", "conf", h, g.CLASS_WIDTH, 0.6, 5).select("layer", "row", "col", "cls"))
+_of_classes("majority_filter", lambda p, h: focal.majority_filter(p, "cls", h, g.CLASS_WIDTH, 3).select("layer", "row", "col", "cls"))
+_of_classes("morphological_close", lambda p, h: focal.morphological_close(p, "cls", h, g.CLASS_WIDTH, 3).select("layer", "row", "col", "cls"))
+_of_classes("components_4", lambda p, h: components.label_components(p, "cls", g.CLASS_WIDTH, 4, 32))
+_of_classes("sieve", lambda p, h: components.sieve(p.drop("conf"), "cls", g.CLASS_WIDTH, 6, 4, 32).select("layer", "row", "col", "cls"))
+
+
+# --- report sections over tables -------------------------------------------------------------------------------
+
+
+@query(f"SELECT *, round(100.0 - pct_above, 6) AS low_conf_pct, 100.0 - pct_above > 15 AS note FROM ({ORACLE_SQL['confidence_stats']})")
+def confidence_section(spark, sf_dir):
+    return rounded(report.confidence_section(stats.confidence_stats(g.classes(spark, sf_dir), "conf")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) || '.txt' AS filename, round(octet_length(encode(text)) / 1024.0, 1) AS kb, sha256(text) AS sha256 FROM documents")
+def manifest_section(spark, sf_dir):
+    return report.manifest_section(checksums(spark, sf_dir).withColumn("filename", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+
+
+@query(f"SELECT class_id, CASE WHEN is_new THEN '∞ (new class)' ELSE printf('%+.1f%%', pct_change) END AS change, flagged FROM ({ORACLE_SQL['drift']})")
+def drift_table(spark, sf_dir):
+    return drift(spark, sf_dir).select("class_id", stats.drift_text(F.col("pct_change"), F.col("is_new")).alias("change"), "flagged")
