@@ -1,23 +1,28 @@
-"""GeoTIFF as a Spark data source (`geotiff` reads and writes pixel tables) with a NumPy codec.
+"""GeoTIFF as a Spark data source (`geotiff` reads pixel tables) and a sink by tiles, with a NumPy codec.
 
 Reading plans one partition per strip of blocks; each task opens the file, decodes its own blocks and yields pixel
 rows. Row-range filters are pushed into the partitions, and only the bands asked for become columns.
+
+Writing packs each tile in a task, reduced copies included. The driver knows the tiles' sizes alone, so that the
+directories can come first, and then streams packed tiles in file order, one partition at a time.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 #: TIFF field types (bytes, struct code).
-FIELD_TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d")}
+FIELD_TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 #: Tag numbers of the TIFF, GeoTIFF and GDAL formats.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
@@ -25,6 +30,22 @@ PIXEL_SCALE, TIEPOINT, GEO_KEYS, GDAL_METADATA, GDAL_NODATA = 33550, 33922, 3473
 GEOGRAPHIC_CRS, PROJECTED_CRS = 2048, 3072
 
 
+@dataclass(frozen=True)
+class Layout:
+    """A file's magic number, struct codes of an entry count and of a place, bytes that an entry holds itself, and where
+    the first directory's place stands."""
+
+    magic: int
+    entries: str
+    place: str
+    inline: int
+    start: int
+
+
+CLASSIC, BIG = Layout(42, "H", "I", 4, 4), Layout(43, "Q", "Q", 8, 8)
+LAYOUTS = {form.magic: form for form in (CLASSIC, BIG)}
+
+
 @dataclass
 class Header:
     order: str
@@ -73,20 +94,22 @@ class Header:
 def read_header(f) -> Header:
     """The first directory's tags; no pixel is read."""
     f.seek(0)
-    first = f.read(8)
+    first = f.read(16)
     order = {b"II": "<", b"MM": ">"}.get(first[:2])
-    if order is None or struct.unpack(order + "H", first[2:4])[0] != 42:
+    form = LAYOUTS.get(struct.unpack(order + "H", first[2:4])[0]) if order and len(first) >= 8 else None
+    if form is None:
         raise ValueError("not a TIFF file")
-    f.seek(struct.unpack(order + "I", first[4:])[0])
-    n = struct.unpack(order + "H", f.read(2))[0]
-    raw, tags = f.read(12 * n), {}
+    f.seek(struct.unpack_from(order + form.place, first, form.start)[0])
+    n = struct.unpack(order + form.entries, f.read(struct.calcsize(order + form.entries)))[0]
+    entry = struct.Struct(f"{order}HH{form.place}{form.inline}s")
+    raw, tags = f.read(entry.size * n), {}
     for k in range(n):
-        tag, kind, count, value = struct.unpack_from(order + "HHI4s", raw, 12 * k)
+        tag, kind, count, value = entry.unpack_from(raw, entry.size * k)
         if kind not in FIELD_TYPES:
             continue
         size, code = FIELD_TYPES[kind]
-        if size * count > 4:
-            f.seek(struct.unpack(order + "I", value)[0])
+        if size * count > form.inline:
+            f.seek(struct.unpack(order + form.place, value)[0])
             value = f.read(size * count)
         tags[tag] = (value[:count],) if kind == 2 else struct.unpack(f"{order}{count * len(code)}{code[0]}", value[: size * count])
     return Header(order, tags)
@@ -128,35 +151,41 @@ def _decode(data: bytes, head: Header, rows: int, columns: int, samples: int) ->
     return np.add.accumulate(block, axis=1, dtype=dtype.newbyteorder("=")) if predictor == 2 else block
 
 
-def encode(data: np.ndarray, *, x_origin=0.0, y_origin=0.0, res=1.0, epsg=None, nodata=None, block=512, metadata=None, overviews=None) -> bytes:
-    """A tiled, deflated GeoTIFF of (bands, rows, columns), 2-D arrays as one band; floats are differenced bytewise,
-    whole numbers by value. `overviews` are reduced copies, written as further directories."""
-    levels = [data if data.ndim == 3 else data[None], *[o if o.ndim == 3 else o[None] for o in overviews or ()]]
-    out, links = bytearray(b"II*\0\0\0\0\0"), [4]
-    for level, a in enumerate(levels):
-        a = np.ascontiguousarray(a.astype(a.dtype.newbyteorder("<")))
-        bands, h, w = a.shape
-        size = min(block, max(16, -(-max(h, w) // 16) * 16))
-        places, sizes = [], []
-        for y in range(0, h, size):
-            for x in range(0, w, size):
-                tile = np.zeros((size, size, bands), a.dtype)
-                part = a[:, y : y + size, x : x + size].transpose(1, 2, 0)
-                tile[: part.shape[0], : part.shape[1]] = part
-                if a.dtype.kind == "f":
-                    raw = tile.astype(a.dtype.newbyteorder(">")).view(np.uint8).reshape(size, size * bands, a.dtype.itemsize).transpose(0, 2, 1).reshape(size, -1, bands)
-                    diff = raw.copy()
-                    diff[:, 1:] -= raw[:, :-1]
-                else:
-                    diff = tile.copy()
-                    diff[:, 1:] -= tile[:, :-1]
-                places.append(len(out))
-                packed = zlib.compress(diff.tobytes(), 6)
-                sizes.append(len(packed))
-                out += packed + b"\0" * (len(packed) % 2)
-        kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-        fields = [(254, 4, [int(level > 0)]), (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [a.dtype.itemsize * 8] * bands), (COMPRESSION, 3, [8]), (PHOTOMETRIC, 3, [1]), (SAMPLES, 3, [bands]), (PLANAR, 3, [1]), (PREDICTOR, 3, [3 if kind == 3 else 2]), (TILE_WIDTH, 4, [size]), (TILE_HEIGHT, 4, [size]), (TILES, 4, places), (TILE_BYTES, 4, sizes), (SAMPLE_FORMAT, 3, [kind] * bands)]
-        if not level:
+def pack_tile(part: np.ndarray, size: int) -> bytes:
+    """A deflated tile of (bands, rows, columns), filled up with zeros; floats are differenced bytewise, whole numbers by value."""
+    bands, h, w = part.shape
+    tile = np.zeros((size, size, bands), part.dtype.newbyteorder("<"))
+    tile[:h, :w] = part.transpose(1, 2, 0)
+    if tile.dtype.kind == "f":
+        width = tile.dtype.itemsize
+        tile = tile.astype(tile.dtype.newbyteorder(">")).view(np.uint8).reshape(size, size * bands, width).transpose(0, 2, 1).reshape(size, -1, bands)
+    diff = tile.copy()
+    diff[:, 1:] -= tile[:, :-1]
+    return zlib.compress(diff.tobytes(), 6)
+
+
+@dataclass
+class Level:
+    """One directory: a raster's size and where its tiles are."""
+
+    height: int
+    width: int
+    places: list[int]
+    sizes: list[int]
+
+
+def directories(levels: list[Level], bands: int, dtype: np.dtype, size: int, form: Layout, *, x_origin=0.0, y_origin=0.0, res=1.0, epsg=None, nodata=None, metadata=None) -> bytes:
+    """The file's start: header and all directories, first the full raster's. Its length doesn't depend on the places."""
+    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
+    out = bytearray(struct.pack("<2sH", b"II", form.magic) + (struct.pack("<HH", 8, 0) if form is BIG else b""))
+    link = len(out)
+    out += struct.pack("<" + form.place, 0)
+    place = 16 if form is BIG else 4
+    for n, level in enumerate(levels):
+        fields = [(254, 4, [int(n > 0)]), (WIDTH, 4, [level.width]), (HEIGHT, 4, [level.height]), (BITS, 3, [dtype.itemsize * 8] * bands), (COMPRESSION, 3, [8]), (PHOTOMETRIC, 3, [1]), (SAMPLES, 3, [bands]), (PLANAR, 3, [1]), (PREDICTOR, 3, [3 if kind == 3 else 2]), (TILE_WIDTH, 4, [size]), (TILE_HEIGHT, 4, [size]), (TILES, place, level.places), (TILE_BYTES, 4, level.sizes), (SAMPLE_FORMAT, 3, [kind] * bands)]
+        if nodata is not None:
+            fields.append((GDAL_NODATA, 2, f"{nodata:g}\0".encode()))
+        if not n:
             fields += [(PIXEL_SCALE, 12, [res, res, 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, x_origin, y_origin, 0.0])]
             if epsg:
                 geographic = epsg == 4326
@@ -164,24 +193,50 @@ def encode(data: np.ndarray, *, x_origin=0.0, y_origin=0.0, res=1.0, epsg=None,
             if metadata:
                 items = "".join(f'<Item name="{k}">{v}</Item>' for k, v in metadata.items())
                 fields.append((GDAL_METADATA, 2, f"<GDALMetadata>{items}</GDALMetadata>\0".encode()))
-            if nodata is not None:
-                fields.append((GDAL_NODATA, 2, f"{nodata:g}\0".encode()))
         entries = b""
-        for tag, kind_, values in sorted(fields, key=lambda x: x[0]):
-            packed = values if kind_ == 2 else struct.pack(f"<{len(values)}{FIELD_TYPES[kind_][1][0]}", *values)
-            if len(packed) > 4:
+        for tag, code, values in sorted(fields, key=lambda x: x[0]):
+            packed = values if code == 2 else struct.pack(f"<{len(values)}{FIELD_TYPES[code][1][0]}", *values)
+            if len(packed) > form.inline:
                 out += b"\0" * (len(out) % 2)
-                place, out = len(out), out + packed
-                packed = struct.pack("<I", place)
-            entries += struct.pack("<HHI", tag, kind_, len(values)) + packed.ljust(4, b"\0")
+                at, out = len(out), out + packed
+                packed = struct.pack("<" + form.place, at)
+            entries += struct.pack(f"<HH{form.place}", tag, code, len(values)) + packed.ljust(form.inline, b"\0")
         out += b"\0" * (len(out) % 2)
-        struct.pack_into("<I", out, links[-1], len(out))
-        out += struct.pack("<H", len(fields)) + entries
-        links.append(len(out))
-        out += b"\0\0\0\0"
+        struct.pack_into("<" + form.place, out, link, len(out))
+        out += struct.pack("<" + form.entries, len(fields)) + entries
+        link = len(out)
+        out += struct.pack("<" + form.place, 0)
     return bytes(out)
 
 
+def laid_out(shapes: list[tuple[int, int]], sizes: list[list[int]], bands: int, dtype, size: int, form: Layout | None = None, **geo) -> tuple[bytes, Layout]:
+    """The start of a file whose tiles follow it in the order of `sizes`; beyond four gigabytes places take 8 bytes."""
+    empty = [Level(h, w, [0] * len(own), own) for (h, w), own in zip(shapes, sizes, strict=True)]
+    if form is None:
+        total = sum(map(sum, sizes)) + len(directories(empty, bands, dtype, size, CLASSIC, **geo))
+        form = CLASSIC if total < 2**32 else BIG
+    at, levels = len(directories(empty, bands, dtype, size, form, **geo)), []
+    for level in empty:
+        ends = np.cumsum([at, *level.sizes]).tolist()
+        levels.append(Level(level.height, level.width, ends[:-1], level.sizes))
+        at = ends[-1]
+    return directories(levels, bands, dtype, size, form, **geo), form
+
+
+def tile_size(height: int, width: int, block: int = 512) -> int:
+    return min(block, max(16, -(-max(height, width) // 16) * 16))
+
+
+def encode(data: np.ndarray, *, block=512, form: Layout | None = None, **geo) -> bytes:
+    """A tiled, deflated GeoTIFF of a small raster that is already in memory: (bands, rows, columns), 2-D arrays as one band."""
+    a = data if data.ndim == 3 else data[None]
+    bands, h, w = a.shape
+    size = tile_size(h, w, block)
+    tiles = [pack_tile(a[:, y : y + size, x : x + size], size) for y in range(0, h, size) for x in range(0, w, size)]
+    start, _ = laid_out([(h, w)], [[len(t) for t in tiles]], bands, a.dtype, size, form, **geo)
+    return start + b"".join(tiles)
+
+
 META = "path string, filename string, driver string, dtype string, crs_epsg int, width int, height int, bands int, res double, nodata double, transform struct<a:double,b:double,c:double,d:double,e:double,f:double>, bounds struct<left:double,bottom:double,right:double,top:double>, tags map<string,string>"
 
 
@@ -243,62 +298,118 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([arrays[n] for n in self.columns], self.columns)
 
 
-@dataclass
-class _Part(WriterCommitMessage):
-    path: str
-
-
-class _Writer(DataSourceWriter):
-    """Each task leaves its pixels beside the target; the commit puts them together into one file."""
-
-    def __init__(self, options, schema: StructType):
-        self.o, self.names = dict(options), [f.name for f in schema.fields]
-
-    def write(self, rows):
-        from uuid import uuid4
-
-        part = f"{self.o['path']}.{uuid4().hex}.npy"
-        bands = [n for n in self.names if n not in ("row", "col")]
-        table = np.array([[r["row"], r["col"], *[np.nan if r[b] is None else float(r[b]) for b in bands]] for r in rows], np.float64)
-        np.save(part, table.reshape(-1, 2 + len(bands)))
-        return _Part(part)
-
-    def commit(self, messages):
-        o, bands = self.o, len(self.names) - 2
-        dtype = np.dtype(o.get("dtype", "float32"))
-        nodata = float(o["nodata"]) if "nodata" in o else (-9999.0 if dtype.kind == "f" else -1.0)
-        out = np.full((bands, int(o["height"]), int(o["width"])), nodata, np.float64)
-        for m in messages:
-            part = np.load(m.path)
-            if len(part):
-                r, c = part[:, 0].astype(int), part[:, 1].astype(int)
-                out[:, r, c] = np.where(np.isfinite(part[:, 2:]), part[:, 2:], nodata).T
-            Path(m.path).unlink()
-        reduced = []
-        for k in (int(x) for x in o.get("overviews", "").split(",") if x):
-            if min(out.shape[1:]) // k >= 1:
-                reduced.append(_reduced(out, k, nodata, o.get("resampling", "average")).astype(dtype))
-        Path(o["path"]).write_bytes(encode(out.astype(dtype), x_origin=float(o.get("x_origin", 0)), y_origin=float(o.get("y_origin", 0)), res=float(o.get("res", 1)), epsg=int(o["epsg"]) if o.get("epsg") else None, nodata=nodata, overviews=reduced))
-
-    def abort(self, messages):
-        for m in messages:
-            if m:
-                Path(m.path).unlink(missing_ok=True)
-
-
-def _reduced(a: np.ndarray, k: int, nodata: float, how: str) -> np.ndarray:
+def reduced(a: np.ndarray, k: int, how: str) -> np.ndarray:
+    """(bands, rows, columns) at a k-th of the size: the first pixel of each cell, or the average of its valid ones."""
     if how == "nearest":
         return a[:, ::k, ::k]
     b, h, w = a.shape
     full = np.full((b, -(-h // k) * k, -(-w // k) * k), np.nan)
-    full[:, :h, :w] = np.where(a == nodata, np.nan, a)
+    full[:, :h, :w] = a
     cells = full.reshape(b, full.shape[1] // k, k, full.shape[2] // k, k)
     n = np.isfinite(cells).sum(axis=(2, 4))
-    return np.where(n > 0, np.nansum(cells, axis=(2, 4)) / np.maximum(n, 1), nodata)
+    return np.where(n > 0, np.nansum(cells, axis=(2, 4)) / np.maximum(n, 1), np.nan)
+
+
+TILE = "level int, ty int, tx int, y int, x int, h int, w int, data binary"
+
+
+def _packer(bands: list[str], height: int, width: int, size: int, dtype: np.dtype, nodata: float, factors: list[int], how: str):
+    """Two functions for applyInPandas: a tile's pixels to the packed tile and its parts of the reduced copies, and the
+    parts of a reduced tile to that packed tile. Both hold one tile."""
+
+    def pack(a: np.ndarray) -> bytes:
+        return pack_tile(np.where(np.isfinite(a), a, nodata).astype(dtype), size)
+
+    def full(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = (int(v) for v in key)
+        a = np.full((len(bands), size, size), np.nan)
+        a[:, t["row"].to_numpy() - ty * size, t["col"].to_numpy() - tx * size] = t[bands].to_numpy(np.float64).T
+        out = [(0, ty, tx, 0, 0, size, size, pack(a))]
+        own = a[:, : height - ty * size, : width - tx * size]
+        for n, k in enumerate(factors, 1):
+            part = np.ascontiguousarray(reduced(own, k, how), np.float64)
+            out.append((n, ty // k, tx // k, ty % k * (size // k), tx % k * (size // k), *part.shape[1:], part.tobytes()))
+        return pd.DataFrame(out, columns=["level", "ty", "tx", "y", "x", "h", "w", "data"])
+
+    def smaller(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        a = np.full((len(bands), size, size), np.nan)
+        for r in t.itertuples():
+            a[:, r.y : r.y + r.h, r.x : r.x + r.w] = np.frombuffer(r.data, np.float64).reshape(len(bands), r.h, r.w)
+        return pd.DataFrame([(*(int(v) for v in key), 0, 0, size, size, pack(a))], columns=["level", "ty", "tx", "y", "x", "h", "w", "data"])
+
+    return full, smaller, pack
+
+
+def _write_file(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """The chunks one after the other; paths with a scheme go to Hadoop's file systems. The name appears when all is written."""
+    if "://" not in path:
+        part = Path(path + ".part")
+        with part.open("wb") as f:
+            f.writelines(chunks)
+        part.replace(path)
+        return
+    jvm = spark._jvm
+    target, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".part"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(part, True)
+    try:
+        for chunk in chunks:
+            stream.write(bytearray(chunk))
+    finally:
+        stream.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"could not rename the finished file to {path}")
+
+
+def write_raster(pixels: DataFrame, path: str, raster, dtype: str = "float32", nodata: float | None = None, factors: tuple[int, ...] = (), how: str = "average", block: int = 512, form: Layout | None = None) -> None:
+    """(row, col, one column a band) as one tiled GeoTIFF with reduced copies, by tiles.
+
+    One shuffle brings a tile's pixels together; its parts of the reduced copies (a third as much at most) take a second,
+    smaller one. The driver collects one size a tile. Pixels that the table lacks, nulls, NaN and infinities are nodata;
+    tiles without any pixel are stored as such. Of repeated pixels one is taken. Pixels outside the raster are left out.
+    """
+    from orelens.operators.components import _checkpointed
+
+    if "layer" in pixels.columns:
+        raise ValueError("a file holds one raster: choose a layer and drop the column")
+    spark, h, w, kind = pixels.sparkSession, raster.height, raster.width, np.dtype(dtype)
+    bands = [c for c in pixels.columns if c not in ("row", "col")]
+    size = tile_size(h, w, block)
+    factors = [k for k in factors if min(h, w) // k >= 1]
+    if any(size % k for k in factors):
+        raise ValueError(f"factors of reduced copies must divide the tile size {size}")
+    if nodata is None:
+        nodata = raster.nodata if raster.nodata is not None else (-9999.0 if kind.kind == "f" else -1.0)
+    full, smaller, pack = _packer(bands, h, w, size, kind, nodata, factors, how)
+    own = pixels.where(F.col("row").between(0, h - 1) & F.col("col").between(0, w - 1)).select(F.col("row").cast("int"), F.col("col").cast("int"), *[F.col(b).cast("double") for b in bands])
+    cell = [F.floor(F.col(c) / size).cast("int").alias(t) for c, t in (("row", "ty"), ("col", "tx"))]
+    tiles = _checkpointed(own.groupBy(*cell).applyInPandas(full, TILE))
+    if factors:
+        tiles = _checkpointed(tiles.where("level = 0").unionByName(tiles.where("level > 0").groupBy("level", "ty", "tx").applyInPandas(smaller, TILE)))
+    shapes = [(-(-h // k), -(-w // k)) for k in (1, *factors)]
+    empty = pack(np.full((len(bands), size, size), np.nan))
+    across = [-(-sw // size) for _, sw in shapes]
+    sizes = [[len(empty)] * (-(-sh // size) * n) for (sh, _), n in zip(shapes, across, strict=True)]
+    known = {(r.level, r.ty * across[r.level] + r.tx): r.n for r in tiles.select("level", "ty", "tx", F.length("data").alias("n")).toLocalIterator()}
+    for (level, at), n in known.items():
+        sizes[level][at] = n
+    geo = {"x_origin": float(raster.x_origin), "y_origin": float(raster.y_origin), "res": float(raster.res), "epsg": raster.epsg, "nodata": nodata}
+    start, _ = laid_out(shapes, sizes, len(bands), kind, size, form, **geo)
+
+    def chunks():
+        yield start
+        parts = 1 + sum(known.values()) // 2**26
+        packed = iter(tiles.repartitionByRange(parts, "level", "ty", "tx").sortWithinPartitions("level", "ty", "tx").select("data").toLocalIterator())
+        for level, own_sizes in enumerate(sizes):
+            for at in range(len(own_sizes)):
+                yield bytes(next(packed).data) if (level, at) in known else empty
+
+    _write_file(spark, path, chunks())
 
 
 class GeoTiffSource(DataSource):
-    """spark.read.format("geotiff").load(path); df.write.format("geotiff").options(path=, width=, height=, ...).save()"""
+    """spark.read.format("geotiff").load(path); `write_raster` and `write_cog` write."""
 
     @classmethod
     def name(cls):
@@ -312,9 +423,6 @@ class GeoTiffSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"], [f.name for f in schema.fields])
 
-    def writer(self, schema, overwrite):
-        return _Writer(self.options, schema)
-
 
 class GeoTiffMetaSource(DataSource):
     """spark.read.format("geotiff_meta").load(path): one header row."""
@@ -344,12 +452,6 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def write_cog(pixels: DataFrame, path: str, raster, classes: bool = False, factors: str = "2,4,8,16") -> None:
-    """A tiled file with overviews: nearest for classes (int16, nodata -1), averages for continuous bands (float32, -9999)."""
-    register(pixels.sparkSession)
-    nodata = raster.nodata if raster.nodata is not None else (-1 if classes else -9999.0)
-    (
-        pixels.write.format("geotiff").mode("append")
-        .options(path=path, width=raster.width, height=raster.height, res=raster.res, x_origin=raster.x_origin, y_origin=raster.y_origin, epsg=raster.epsg or "", nodata=nodata, dtype="int16" if classes else "float32", overviews=factors, resampling="nearest" if classes else "average")
-        .save()
-    )
+def write_cog(pixels: DataFrame, path: str, raster, classes: bool = False, factors: tuple[int, ...] = (2, 4, 8, 16)) -> None:
+    """A tiled file with overviews, directories first: nearest for classes (int16, nodata -1), averages for continuous bands (float32, -9999)."""
+    write_raster(pixels, path, raster, "int16" if classes else "float32", factors=factors, how="nearest" if classes else "average")

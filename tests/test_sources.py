@@ -69,20 +69,73 @@ def test_geotiff_round_trip(spark, tmp_path, dtype):
     assert tuple(meta.bounds) == (500000.0, 4999500.0, 500500.0, 5000200.0) and meta.tags == {"SENSOR": "x"}
 
 
+def level(path, n):
+    """The n-th directory's raster."""
+    import io
+
+    raw = bytearray(path.read_bytes())
+    for _ in range(n):
+        at = int.from_bytes(raw[4:8], "little")
+        link = at + 2 + 12 * int.from_bytes(raw[at : at + 2], "little")
+        raw[4:8] = raw[link : link + 4]
+    f = io.BytesIO(raw)
+    head = geotiff.read_header(f)
+    return geotiff.read_rows(f, head, 0, head.get(geotiff.HEIGHT))[0]
+
+
 def test_cog_with_overviews(spark, tmp_path):
     a = RNG.random((40, 40))
     a[0, 0] = np.nan
     raster = Raster(40, 40, 2.0, 100.0, 200.0, 32633)
+    geotiff.register(spark)
     geotiff.write_cog(table(spark, v=a), str(tmp_path / "c.tif"), raster)
     back = spark.read.format("geotiff").load(str(tmp_path / "c.tif"))
     assert np.allclose(array(back, "b1", (40, 40)), a, equal_nan=True)
+    assert np.allclose(level(tmp_path / "c.tif", 1), np.nanmean(a.reshape(20, 2, 20, 2), axis=(1, 3)))
+    assert level(tmp_path / "c.tif", 4).shape == (3, 3)
     geotiff.write_cog(table(spark, v=np.round(a * 5)), str(tmp_path / "k.tif"), raster, classes=True)
     with open(tmp_path / "k.tif", "rb") as f:
         head = geotiff.read_header(f)
     assert head.nodata == -1 and head.dtype == np.dtype("<i2")
+    assert (level(tmp_path / "k.tif", 2) == np.where(np.isnan(a), -1, np.round(a * 5))[::4, ::4]).all()
     assert sorted(p.name for p in tmp_path.iterdir()) == ["c.tif", "k.tif"]
 
 
+@pytest.mark.parametrize("form", [geotiff.CLASSIC, geotiff.BIG])
+def test_sink_by_tiles(spark, tmp_path, form):
+    """Several tiles, ragged edges, two bands, a tile without pixels, pixels outside, and places of 8 bytes."""
+    geotiff.register(spark)
+    a, b = RNG.random((100, 70)), RNG.random((100, 70))
+    a[:32, :32] = b[:32, :32] = np.nan
+    df = table(spark, a=a, b=b).where("row >= 32 or col >= 32")
+    more = spark.createDataFrame([(100, 3, 1.0, 1.0), (-1, 0, 1.0, 1.0), (5, 70, 1.0, 1.0)], "row int, col int, a double, b double")
+    path = str(tmp_path / "t.tif")
+    geotiff.write_raster(df.unionByName(more.select(df.columns)), path, Raster(70, 100, 1.0), "float64", factors=(2, 4), block=32, form=form)
+    back = spark.read.format("geotiff").load(path)
+    assert np.allclose(array(back, "b1", (100, 70)), a, equal_nan=True) and np.allclose(array(back, "b2", (100, 70)), b, equal_nan=True)
+    if form is geotiff.CLASSIC:
+        half = np.nanmean(a.reshape(50, 2, 35, 2), axis=(1, 3))
+        assert np.allclose(level(tmp_path / "t.tif", 1), np.where(np.isnan(half), -9999.0, half))
+    with pytest.raises(ValueError):
+        geotiff.write_raster(df, path, Raster(70, 100, 1.0), factors=(3,), block=32)
+    with pytest.raises(ValueError):
+        geotiff.write_raster(df.withColumn("layer", F.lit("x")), path, Raster(70, 100, 1.0))
+
+
+def test_sink_through_hadoop(spark, tmp_path):
+    geotiff.register(spark)
+    a = RNG.random((20, 20))
+    for _ in range(2):  # the second time over the first
+        geotiff.write_raster(table(spark, v=a), (tmp_path / "h.tif").as_uri(), Raster(20, 20, 1.0), "float64")
+    assert np.allclose(array(spark.read.format("geotiff").load(str(tmp_path / "h.tif")), "b1", (20, 20)), a)
+
+
+def test_empty_raster_is_nodata(spark, tmp_path):
+    geotiff.register(spark)
+    geotiff.write_raster(spark.createDataFrame([], "row int, col int, v double"), str(tmp_path / "e.tif"), Raster(40, 20, 1.0), block=16)
+    assert spark.read.format("geotiff").load(str(tmp_path / "e.tif")).where("b1 is null").count() == 800
+
+
 def test_ingest_files(spark, tmp_path):
     (tmp_path / "S2A_20240102.tif").write_bytes(geotiff.encode(np.zeros((4, 8, 9), "uint8")))
     row = ingest.ingest(spark, tmp_path / "S2A_20240102.tif").first()
