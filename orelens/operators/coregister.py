@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelens.sources.geotiff import write_raster
+
 from .gates import rmse_gate
+from .grid import inside
 from .stats import shift_stats
 
 SCHEMA = "shift_x double, shift_y double, shift_magnitude double, rmse double, corrected_path string, message string, is_stub boolean"
@@ -45,5 +48,23 @@ def coregister(reference: DataFrame, target: DataFrame, ref_band: str, tgt_band:
     return rmse_gate(out, threshold)
 
 
+def corrected(target: DataFrame, result: DataFrame, height: int, width: int) -> DataFrame:
+    """The target moved back by the whole pixels of a result row's shift. A projection: values stay as they are, and what
+    leaves the raster is dropped; the fraction that is left is at most half a pixel a direction."""
+    found = result.first()
+    back = lambda c, by: (F.col(c).cast("int") - int(round(by or 0.0))).alias(c)
+    rest = [c for c in target.columns if c not in ("row", "col")]
+    return inside(target.select(back("row", found.shift_y), back("col", found.shift_x), *rest), height, width)
+
+
+def coregister_to(reference: DataFrame, target: DataFrame, ref_band: str, tgt_band: str, path: str, raster, threshold: float = 0.5) -> DataFrame:
+    """The gated result row; if it passes, the corrected raster is written to `path`."""
+    result = coregister(reference, target, ref_band, tgt_band, path, threshold)
+    found = target.sparkSession.createDataFrame([result.first()], result.schema)
+    if found.first().gate_passed:
+        write_raster(corrected(target, found, raster.height, raster.width), path, raster, raster.dtype)
+    return found
+
+
 def shift_report(result: DataFrame) -> DataFrame:
     return result.select(*[F.round(c, 4).alias(c) for c in ("shift_x", "shift_y", "shift_magnitude", "rmse")], "gate_passed", "is_stub", "message")

@@ -63,6 +63,15 @@ def median_smooth(classes: DataFrame, cls: str, height: int, width: int, k: int
     return out.withColumn(cls, F.when(F.col(cls).isNotNull(), F.col("_median"))).drop("_median")
 
 
+def with_confidence(classes: DataFrame, confidence: DataFrame, conf: str, class_raster, conf_raster) -> DataFrame:
+    """A class table with the confidence of another raster of the same size; cells without one have NULL."""
+    sizes = [(r.height, r.width) for r in (class_raster, conf_raster)]
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"classes are {sizes[0]} pixels, confidence is {sizes[1]}")
+    keys = [*layer_of(classes), "row", "col"]
+    return classes.drop(conf).join(confidence.select(*keys, conf), keys, "left")
+
+
 def confidence_filter(classes: DataFrame, cls: str, conf: str, height: int, width: int, threshold: float = 0.6, k: int = 5, nodata: int = -1, values: list[int] | None = None) -> DataFrame:
     """Classes of low confidence take the median of the original classes around them."""
     doubtful = F.col(cls).isNotNull() & (F.col(conf) >= 0) & (F.col(conf) < threshold)

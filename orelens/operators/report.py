@@ -22,9 +22,11 @@ def pairs(row: DataFrame, labels: dict[str, str]) -> DataFrame:
 
 
 def executive_summary(metrics: DataFrame, areas: DataFrame) -> DataFrame:
-    """metrics: one row (oa, kappa, minority_f1, gate_passed); areas: class areas."""
+    """metrics: one row (oa, kappa, minority_f1, gate_passed, and where they are known model_type, smote_applied and the
+    independent points' point_oa and point_kappa); areas: class areas."""
+    known = {c: text for c, text in {"model_type": "Model type", "smote_applied": "SMOTE applied", "point_oa": "Overall accuracy (points)", "point_kappa": "Cohen's kappa (points)"}.items() if c in metrics.columns}
     totals = areas.agg(F.count("*").alias("n_classes"), F.sum("pixel_count").alias("pixels"), F.sum("area_ha").alias("area_ha"), F.max_by("class_id", F.struct("area_pct", -F.col("class_id"))).alias("dominant"), F.max("area_pct").alias("dominant_pct"))
-    return pairs(metrics.join(totals), {"oa": "Overall accuracy", "kappa": "Cohen's kappa", "minority_f1": "Minority F1", "gate_passed": "Quality gate passed", "n_classes": "Classes", "pixels": "Classified pixels", "area_ha": "Total area (ha)", "dominant": "Dominant class", "dominant_pct": "Dominant class (%)"})
+    return pairs(metrics.join(totals), {"oa": "Overall accuracy", "kappa": "Cohen's kappa", "minority_f1": "Minority F1", "gate_passed": "Quality gate passed", "n_classes": "Classes", "pixels": "Classified pixels", "area_ha": "Total area (ha)", "dominant": "Dominant class", "dominant_pct": "Dominant class (%)"} | known)
 
 
 def area_section(areas: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -34,6 +36,56 @@ def area_section(areas: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return out.select("class_id", name.alias("class_name"), "pixel_count", F.round("area_ha", 2).alias("area_ha"), F.round("area_pct", 1).alias("area_pct"))
 
 
+#: Map colours by class number.
+COLOURS = {1: "#8B4513", 2: "#DAA520", 3: "#DC143C", 4: "#228B22", 5: "#4169E1", 6: "#A0522D"}
+OTHER_COLOUR = "#AAAAAA"
+
+
+def legend_section(areas: DataFrame, names: DataFrame) -> DataFrame:
+    """(class_id, class_name, colour, area_ha, area_pct): every defined class, with zeros where the map has none of it."""
+    shade = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in COLOURS.items() for v in pair]), F.col("class_id").cast("int")), F.lit(OTHER_COLOUR))
+    part = lambda c, digits: F.round(F.coalesce(c, F.lit(0.0)), digits).alias(c)
+    return names.join(areas, "class_id", "left").select("class_id", "class_name", shade.alias("colour"), part("area_ha", 2), part("area_pct", 1))
+
+
+def cover(run_id: str, date: str, site: str = "", operator: str = "", survey_type: str = "Satellite", mode: str = "pit_wall") -> list[tuple[str, str]]:
+    """(label, value) of a survey report's first page."""
+    return [("Site", site or "N/A"), ("Prepared by", operator or "N/A"), ("Date", date[:10]), ("Run", run_id), ("Survey type", survey_type), ("Kind", mode.replace("_", " ").title())]
+
+
+def methodology(config, result, cfg: dict, features=(), fold_oa=()) -> list[tuple[str, str]]:
+    """(label, value): how a survey's map was made; config and result as operators.ml has them, or None."""
+    return [
+        ("Model type", "N/A" if config is None else config.model_type),
+        ("Folds", f"{cfg.get('default_k_folds', 5)}, stratified"),
+        ("SMOTE applied", "N/A" if result is None else "Yes" if result.smote_applied else "No"),
+        ("Accuracy of each fold", ", ".join(f"{x:.3f}" for x in fold_oa) or "N/A"),
+        ("Minimum mapping unit (ha)", str(cfg.get("min_mapping_unit_ha", 0.5))),
+        ("Largest coregistration RMSE (px)", str(cfg.get("coreg_rmse_threshold", 0.5))),
+        ("Least overall accuracy", f"{cfg.get('min_oa_threshold', 0.8):.0%}"),
+        ("Least minority F1", f"{cfg.get('min_minority_f1', 0.7):.0%}"),
+        ("Features", ", ".join(features) or "N/A"),
+    ]
+
+
+#: Sections of the two kinds of report, in their order.
+SESSION = ("executive_summary", "classification", "confidence", "postprocessing", "quality_gates", "class_areas", "configuration", "audit")
+SURVEY = ("cover", "executive_summary", "map_legend", "confidence", "change", "methodology", "importances", "audit")
+
+
+def assemble(parts: dict[str, DataFrame], order: tuple[str, ...] = SESSION) -> DataFrame:
+    """(number, section, content): a report as one table, each row of a section as JSON; a section without rows or without a
+    table (such as change, where no earlier survey exists) has one row of NULL content."""
+    if not parts or set(parts) - set(order):
+        raise ValueError(f"sections are some of {', '.join(order)}")
+    heads = next(iter(parts.values())).sparkSession.createDataFrame(list(enumerate(order, 1)), "number int, section string")
+    rows = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("section"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("content"))
+        rows = one if rows is None else rows.unionByName(one)
+    return heads.join(rows, "section", "left").select("number", "section", "content")
+
+
 def confidence_section(stats: DataFrame, note_above: float = 15.0) -> DataFrame:
     """The statistics with low_conf_pct (what isn't above the threshold) and whether that is worth a note."""
     low = 100.0 - F.col("pct_above")

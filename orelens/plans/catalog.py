@@ -900,11 +900,22 @@ def area_report(spark, sf_dir):
     return report.area_section(stats.class_areas(g.classes(spark, sf_dir), "cls", g.RES), names)
 
 
-@query(f"WITH {_AREAS_SQL} SELECT 'Classes' AS label, CAST(count(*) AS VARCHAR) AS value FROM a UNION ALL SELECT 'Classified pixels', CAST(CAST(sum(pixel_count) AS BIGINT) AS VARCHAR) FROM a UNION ALL SELECT 'Dominant class', CAST((SELECT class_id FROM a ORDER BY area_ha DESC, class_id LIMIT 1) AS VARCHAR) UNION ALL SELECT 'Quality gate passed', 'Yes' UNION ALL SELECT 'Cohen''s kappa', 'N/A'")
+_METRICS = {"Overall accuracy": "0.9000", "Cohen's kappa": "N/A", "Minority F1": "0.8000", "Model type": "random_forest", "SMOTE applied": "No", "Overall accuracy (points)": "0.8800", "Cohen's kappa (points)": "0.8500"}
+_METRICS_SQL = "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k.replace("'", "''"), v) for k, v in _METRICS.items()) + ") v(label, value)"
+
+
+@query(f"WITH {_AREAS_SQL} {_METRICS_SQL} UNION ALL SELECT 'Total area (ha)', printf('%.4f', sum(area_ha)) FROM a UNION ALL SELECT 'Dominant class (%)', printf('%.4f', 100.0 * max(area_ha) / sum(area_ha)) FROM a UNION ALL SELECT 'Classes', CAST(count(*) AS VARCHAR) FROM a UNION ALL SELECT 'Classified pixels', CAST(CAST(sum(pixel_count) AS BIGINT) AS VARCHAR) FROM a UNION ALL SELECT 'Dominant class', CAST((SELECT class_id FROM a ORDER BY area_ha DESC, class_id LIMIT 1) AS VARCHAR) UNION ALL SELECT 'Quality gate passed', 'Yes'")
 def executive_summary(spark, sf_dir):
-    metrics = spark.createDataFrame([(0.9, None, 0.8, True)], "oa double, kappa double, minority_f1 double, gate_passed boolean")
-    out = report.executive_summary(metrics, stats.class_areas(g.classes(spark, sf_dir), "cls", g.RES))
-    return out.where(F.col("label").isin("Classes", "Classified pixels", "Dominant class", "Quality gate passed", "Cohen's kappa"))
+    metrics = spark.createDataFrame([(0.9, None, 0.8, True, "random_forest", False, 0.88, 0.85)], "oa double, kappa double, minority_f1 double, gate_passed boolean, model_type string, smote_applied boolean, point_oa double, point_kappa double")
+    return report.executive_summary(metrics, stats.class_areas(g.classes(spark, sf_dir), "cls", g.RES))
+
+
+@query(f"""WITH {_AREAS_SQL}, {_NAMES_SQL}, k(class_id, colour) AS (VALUES {", ".join(str(kv) for kv in report.COLOURS.items())})
+  SELECT class_id, class_name, coalesce(colour, '{report.OTHER_COLOUR}') AS colour, round(coalesce(area_ha, 0.0), 2) AS area_ha, round(coalesce(100.0 * area_ha / (SELECT sum(area_ha) FROM a), 0.0), 1) AS area_pct
+  FROM n LEFT JOIN a USING (class_id) LEFT JOIN k USING (class_id)""")
+def map_legend(spark, sf_dir):
+    names = g.read(spark, sf_dir, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").cast("int").alias("class_id"), F.col("n_name").alias("class_name"))
+    return report.legend_section(stats.class_areas(g.classes(spark, sf_dir), "cls", g.RES), names)
 
 
 _EVENTS_SQL = "e AS (SELECT ts AS timestamp, CAST(user_id % 10 AS VARCHAR) AS run_id, event_type, props AS details FROM events)"
@@ -972,6 +983,24 @@ def coregister_shift(spark, sf_dir):
     return coregister.shift_report(coregister.coregister(d, moved, "dem", "dem", "x.tif", 5.0))
 
 
+@query(f"WITH {g.DEM_SQL} SELECT row, col, dem FROM d WHERE row >= 1 AND col < {g.DEM_WIDTH} - 2")
+def coregister_corrected(spark, sf_dir):
+    """A raster that was found two columns to the left of the reference and a row below it, moved back."""
+    h = g.height(spark, sf_dir, "orders", g.DEM_WIDTH) + 1
+    moved = g.dem(spark, sf_dir).where(f"row >= 1 and col < {g.DEM_WIDTH - 2}").select((F.col("row") + 1).alias("row"), (F.col("col") - 2).alias("col"), "dem")
+    found = spark.createDataFrame([(-2.2, 0.9)], "shift_x double, shift_y double")
+    return coregister.corrected(moved, found, h, g.DEM_WIDTH)
+
+
+@query(ORACLE_SQL["confidence_filter"])
+def joined_confidence_filter(spark, sf_dir):
+    """Classes and confidence from two tables."""
+    c, h, w = _class_grid(spark, sf_dir)
+    size = Raster(w, h, g.RES)
+    both = focal.with_confidence(c.drop("conf"), c.select("row", "col", "conf"), "conf", size, size)
+    return focal.confidence_filter(both, "cls", "conf", h, w, 0.6, 5).select("row", "col", "cls")
+
+
 # --- several rasters in one table ------------------------------------------------------------------------------
 # Two layers of the same cells: an operator that mixed them would count each cell twice.
 

@@ -1,8 +1,12 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orelens.model import DEFAULTS
-from orelens.operators import coregister, gates, report, stats, validate
+from orelens.model import DEFAULTS, Raster
+from orelens.operators import coregister, focal, gates, report, stats, validate
+from orelens.sources import geotiff
+
+from .grids import array, table
 
 SCHEMA = "name string, layer_type string, crs string, res double, date date, `left` double, bottom double, `right` double, top double, bands int"
 
@@ -110,3 +114,49 @@ def test_model_and_item_sections(spark):
     assert [g["status"] for g in item["gate_results"]] == ["warning", "pass"]
     folds = spark.createDataFrame([(0, 0.5), (1, 0.75)], "fold int, oa double")
     assert tuple(report.fold_section(folds).first()) == ("0.6250", "0.5000", "0.7500")
+
+
+def test_survey_sections_and_assembly(spark):
+    from orelens.operators import ml
+
+    areas = stats.with_area_pct(spark.createDataFrame([(1, 10, 3.0), (9, 30, 9.0)], "class_id int, pixel_count long, area_ha double"))
+    names = spark.createDataFrame([(1, "Rock"), (2, "Soil"), (9, "Pond")], "class_id int, class_name string")
+    legend = report.legend_section(areas, names)
+    assert [tuple(r) for r in legend.orderBy("class_id").collect()] == [(1, "Rock", "#8B4513", 3.0, 25.0), (2, "Soil", "#DAA520", 0.0, 0.0), (9, "Pond", "#AAAAAA", 9.0, 75.0)]
+    assert dict(report.cover("r1", "2024-05-06T07:08:09Z", mode="tailings_dam")) == {"Site": "N/A", "Prepared by": "N/A", "Date": "2024-05-06", "Run": "r1", "Survey type": "Satellite", "Kind": "Tailings Dam"}
+    result = ml.ClassificationResult(0.91, None, 0.1, True, "fine", False, (1, 2), ("a",))
+    how = dict(report.methodology(ml.ClassificationConfig(), result, {}, ["ndvi", "slope"], [0.5, 0.75]))
+    assert how["Accuracy of each fold"] == "0.500, 0.750" and how["Features"] == "ndvi, slope" and how["Least overall accuracy"] == "80%" and how["SMOTE applied"] == "No"
+    assert dict(report.methodology(None, None, {}))["Model type"] == "N/A"
+    page = spark.createDataFrame(report.cover("r1", "2024-05-06"), "label string, value string")
+    whole = report.assemble({"map_legend": legend, "cover": page, "audit": page.limit(0)}, report.SURVEY)
+    got = {}
+    for r in whole.collect():
+        got.setdefault((r.number, r.section), []).append(r.content)
+    assert [k for k in sorted(got)] == list(enumerate(report.SURVEY, 1))
+    assert len(got[1, "cover"]) == 6 and len(got[3, "map_legend"]) == 3 and got[5, "change"] == got[8, "audit"] == [None]
+    for wrong in ({}, {"cover": page}):
+        with pytest.raises(ValueError):
+            report.assemble(wrong)
+
+
+def test_corrected_raster(spark, tmp_path):
+    a = np.random.default_rng(5).random((64, 64))
+    reference = table(spark, v=a)
+    target = table(spark, v=np.roll(a, (3, -2), (0, 1)))
+    geotiff.register(spark)
+    size, path = Raster(64, 64, dtype="float64"), str(tmp_path / "c.tif")
+    row = coregister.coregister_to(reference, target, "v", "v", path, size, threshold=5.0).first()
+    assert (row.shift_x, row.shift_y, row.gate_passed, row.corrected_path) == (-2.0, 3.0, True, path)
+    back = array(spark.read.format("geotiff").load(path), "b1", (64, 64))
+    assert np.allclose(back[:61, 2:], a[:61, 2:]) and np.isnan(back[61:]).all() and np.isnan(back[:, :2]).all()
+    row = coregister.coregister_to(reference, target, "v", "v", str(tmp_path / "no.tif"), size, threshold=0.0).first()
+    assert row.gate_passed is False and row.corrected_path is None and not (tmp_path / "no.tif").exists()
+
+
+def test_confidence_from_another_raster(spark):
+    classes, conf = table(spark, cls=np.ones((2, 2))), table(spark, conf=np.full((2, 2), 0.25)).where("row = 0")
+    got = focal.with_confidence(classes, conf, "conf", Raster(2, 2), Raster(2, 2))
+    assert sorted((r.row, r.col, r.conf) for r in got.collect()) == [(0, 0, 0.25), (0, 1, 0.25), (1, 0, None), (1, 1, None)]
+    with pytest.raises(ValueError):
+        focal.with_confidence(classes, conf, "conf", Raster(2, 2), Raster(2, 3))
