@@ -943,13 +943,25 @@ def checksums(spark, sf_dir):
     return d.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-@query()
+@query("""WITH r AS (SELECT s_name AS stem, s_suppkey % 50 + 1 AS w, s_suppkey % 40 + 1 AS h, s_suppkey % 90 AS x, s_suppkey % 45 AS y, CASE WHEN s_suppkey % 2 = 0 THEN 'int16' ELSE 'float32' END AS dtype FROM supplier)
+  SELECT 'RUN1_' || stem AS id, 'Feature' AS type, CAST(x AS DOUBLE) AS west, CAST(y AS DOUBLE) AS south, x + w / 100.0::DOUBLE AS east, y + h / 100.0::DOUBLE AS north, 5 AS corners, CAST(h AS INTEGER) AS height, CAST(w AS INTEGER) AS width,
+  4326 AS epsg, 'RUN1' AS run_id, dtype, CAST(-1 AS DOUBLE) AS nodata, 'pass' AS gate, '2020-02-03' AS acquired, '2024-01-01T00:00:00+00:00' AS stamp, stem AS title, stem || '.tif' AS href FROM r""")
 def stac_item(spark, sf_dir):
+    """Items of rasters in degrees, read back from their JSON."""
     from datetime import UTC, datetime
 
-    row = ("area.tif", 100, 200, "int16", -1.0, (500000.0, 4998200.0, 501000.0, 5000200.0))
-    raster = spark.createDataFrame([row], "filename string, width int, height int, dtype string, nodata double, bounds struct<left:double,bottom:double,right:double,top:double>")
-    return export.stac_items(raster, "RUN1", 32633, {"gate": "pass"}, datetime(2024, 1, 1, tzinfo=UTC))
+    n = lambda m: F.col("s_suppkey") % m
+    w, h, x, y = (n(50) + 1).cast("int"), (n(40) + 1).cast("int"), n(90).cast("double"), n(45).cast("double")
+    box = F.struct(x.alias("left"), y.alias("bottom"), (x + w / F.lit(100.0)).alias("right"), (y + h / F.lit(100.0)).alias("top"))
+    rasters = g.read(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(".tif")).alias("filename"), w.alias("width"), h.alias("height"), F.when(n(2) == 0, "int16").otherwise("float32").alias("dtype"), F.lit(-1.0).alias("nodata"), box.alias("bounds"))
+    items = export.stac_items(rasters, "RUN1", 4326, {"gate": "pass", "datetime": "2020-02-03", "run_id": "other"}, datetime(2024, 1, 1, tzinfo=UTC))
+    schema = "type string, bbox array<double>, geometry struct<coordinates:array<array<array<double>>>>, properties struct<datetime:string,run_id:string,`proj:epsg`:int,`proj:shape`:array<int>,nodata:double,dtype:string,gate:string,acquired:string>, assets struct<data:struct<href:string,title:string>>"
+    i, p = F.col("i"), F.col("i.properties")
+    return items.select("id", F.from_json("item", schema).alias("i")).select(
+        "id", "i.type", *[i["bbox"][k].alias(c) for k, c in enumerate(("west", "south", "east", "north"))], F.size(i["geometry"]["coordinates"][0]).alias("corners"),
+        p["proj:shape"][0].alias("height"), p["proj:shape"][1].alias("width"), p["proj:epsg"].alias("epsg"), p["run_id"].alias("run_id"), p["dtype"].alias("dtype"),
+        p["nodata"].alias("nodata"), p["gate"].alias("gate"), p["acquired"].alias("acquired"), p["datetime"].alias("stamp"), "i.assets.data.title", "i.assets.data.href",
+    )
 
 
 @query("SELECT event_id AS id, CAST(event_id % 6 + 6 AS DOUBLE) AS lon, round(45.0::DOUBLE + event_id % 900 / 100.0, 7) AS lat FROM events")
