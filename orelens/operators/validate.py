@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from orelens.functions.indices import overlap_pct
 
 SCHEMA = "check string, status string, message string, is_critical boolean"
+_SIDES = ("left", "bottom", "right", "top")
+#: Pairs of layers that one task compares, and the layers (narrow rows) that are broadcast to be compared with.
+TASK_PAIRS, BROADCAST_LAYERS = 1 << 24, 1_000_000
 
 
 def _rows(df: DataFrame, check: Column, verdicts: list[tuple[Column | None, str, Column, bool]]) -> DataFrame:
@@ -77,12 +80,20 @@ def phenology_risk(layers: DataFrame, month_gap: int = 2) -> DataFrame:
 
 
 def _box(side: str) -> dict[str, Column]:
-    return {c: F.col(f"{side}.{c}") for c in ("left", "bottom", "right", "top")}
+    return {c: F.col(f"{side}.{c}") for c in _SIDES}
 
 
 def overlap_pairs(layers: DataFrame) -> DataFrame:
-    """(a, b, overlap_pct) of every pair of layers: a theta join of a table with a row a layer."""
-    return layers.alias("a").join(layers.alias("b"), F.col("a.name") < F.col("b.name")).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), overlap_pct(_box("a"), _box("b")).alias("overlap_pct"))
+    """(a, b, overlap_pct) of every pair of layers: a theta join of a table with a row a layer.
+
+    All pairs are results, so work is quadratic, while a file of that size is read by one task: rows are dealt out so
+    that a task compares about TASK_PAIRS pairs.
+    """
+    n, boxes = layers.count(), layers.select("name", *_SIDES)
+    tasks = min(n, -(-n * n // TASK_PAIRS))
+    dealt = boxes.repartition(tasks) if tasks > 1 else boxes
+    others = F.broadcast(boxes) if n <= BROADCAST_LAYERS else boxes
+    return dealt.alias("a").join(others.alias("b"), F.col("a.name") < F.col("b.name")).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), overlap_pct(_box("a"), _box("b")).alias("overlap_pct"))
 
 
 def minimum_overlap(layers: DataFrame, min_pct: float = 80.0) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from orelens.model import DEFAULTS, Raster
 from orelens.operators import coregister, focal, gates, report, stats, validate
+from orelens.plans import catalog
 from orelens.sources import geotiff
 
 from .grids import array, table
@@ -46,6 +47,25 @@ def test_layer_checks(spark):
     assert {r.check: r.status for r in got.collect()} == {f"band_count_l{i}": s for i, (_, _, s) in enumerate(kinds)}
 
 
+def test_pairs_of_many_layers_go_to_several_tasks(spark, monkeypatch):
+    """A table in one partition: no task compares much more than TASK_PAIRS pairs, and every pair is there once."""
+    monkeypatch.setattr(validate, "TASK_PAIRS", 100)
+    rows = layers(spark, *[{"name": f"n{i // 2}", "left": float(i), "right": i + 10.0} for i in range(40)]).coalesce(1)
+    pairs = validate.overlap_pairs(rows)
+    assert pairs.rdd.getNumPartitions() == 16
+    boxes = [(f"n{i // 2}", float(i)) for i in range(40)]
+    want = sorted((a, b, max(0.0, 10.0 - abs(x - y)) * 10) for a, x in boxes for b, y in boxes if a < b)
+    assert sorted((r.a, r.b, round(r.overlap_pct, 9)) for r in pairs.collect()) == want
+
+
+def test_six_decimals_as_sql_rounds(spark):
+    import duckdb
+
+    xs = [0.0, 0.5e-6, 1.5e-6, 2.5e-6, 12.3456785, 99.9999995, 100.0, 33.333333333, 1 / 7, 0.0000024999, 57.1234565, 1e9 / 3]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").coalesce(1).orderBy("i").select(catalog.quick6(F.col("x"), "x")).collect()]
+    assert got == [duckdb.execute(f"SELECT round({x!r}::DOUBLE, 6)").fetchone()[0] for x in xs]
+
+
 def test_all_checks_together(spark):
     results = validate.run_all(layers(spark, {}, {"crs": "EPSG:1"}), DEFAULTS)
     assert tuple(validate.summary(results).first()) == (5, 0, 1) and validate.has_critical(results).first()[0]
