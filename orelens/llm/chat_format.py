@@ -1,8 +1,10 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON of any layout. Its nested field paths, without the types of plain values, are hashed; the hash
-selects a declarative mapping (where the turns are, which fields hold role and text, which role each field of a
-prompt layout has) that turns the record into canonical turns. The template writes each turn as
+A record is JSON of any layout, or a struct. Its nested field paths, without the types of plain values, are hashed;
+the hash selects a declarative mapping (where the turns are, which fields hold role and text, which role each field of
+a prompt layout has) that turns the record into canonical turns. A struct's texts never become JSON or a Variant, which
+have limits: only what it has of fields and items does, and texts are then read from its columns. The template writes
+each turn as
 
     ### <role>\\n<text></turn>\\n
 
@@ -24,6 +26,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .common import let, running
 
@@ -71,6 +74,15 @@ def paths(record: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kind, ": " + _PLAIN + "(?=[,>])", ""), "ARRAY<" + _PLAIN + ">", "ARRAY<>")
 
 
+def blank(value: Column, kind: DataType) -> Column:
+    """A struct's or array's fields and items alone, plain values as 0 and items alike once: its size doesn't depend on texts."""
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[blank(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.array_distinct(F.transform(value, lambda v: blank(v, kind.elementType)))
+    return F.lit(0)
+
+
 def paths_of(example) -> str:
     """The same of an example, where fields are in the order that Spark gives them, by name."""
     if isinstance(example, dict):
@@ -98,38 +110,67 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _mapped(layout: Layout, record: Column) -> Column:
-    get = lambda v, path: F.try_variant_get(v, path, "string")
+class _Variant:
+    """Reads a Variant's fields."""
+
+    def text(self, v: Column, name: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", "string")
+
+    def items(self, v: Column, name: str) -> tuple[Column, _Variant]:
+        return F.try_variant_get(v, f"$.{name}", "array<variant>"), self
+
+
+class _Struct:
+    """Reads a struct's fields; those that its type doesn't have are NULL."""
+
+    def __init__(self, kind: DataType):
+        self.kinds = {f.name: f.dataType for f in kind.fields} if isinstance(kind, StructType) else {}
+
+    def text(self, v: Column, name: str) -> Column:
+        return v[name].cast("string") if name in self.kinds else F.lit(None).cast("string")
+
+    def items(self, v: Column, name: str) -> tuple[Column, _Struct]:
+        kind = self.kinds.get(name)
+        return (v[name], _Struct(kind.elementType)) if isinstance(kind, ArrayType) else (F.array(), _Struct(DataType()))
+
+
+def _mapped(layout: Layout, record: Column, read: _Variant | _Struct) -> Column:
     if layout.turns:
-        items = F.try_variant_get(record, f"$.{layout.turns}", "array<variant>")
+        items, inner = read.items(record, layout.turns)
 
         def one(v):
-            role = get(v, f"$.{layout.role}")
+            role = inner.text(v, layout.role)
             if layout.rename:
                 names = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
                 role = F.coalesce(F.element_at(names, role), role)
-            return _turn(role, get(v, f"$.{layout.text}"))
+            return _turn(role, inner.text(v, layout.text))
 
         return F.transform(items, one)
     turns = []
     for role, names in layout.fields:
-        parts = [F.when(get(record, f"$.{n}") != "", get(record, f"$.{n}")) for n in names]
+        parts = [F.when(read.text(record, n) != "", read.text(record, n)) for n in names]
         said = F.concat_ws("\n\n", *parts)
         turns.append(F.when((said != "") | F.lit(role != "system"), _turn(F.lit(role), said)))
     return F.filter(F.array(*turns), lambda t: t.isNotNull())
 
 
 def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """records, without the record, plus layout, turns, formatted and loss_spans (code points, end exclusive)."""
+    """records, without the record (JSON or a struct), plus layout, turns, formatted and loss_spans (code points, end exclusive)."""
     none = F.array().cast("array<struct<role:string,text:string>>")
-    # A Variant's reader has limits that bad JSON can't be told from in a NULL: beyond them, parsing has to fail aloud.
-    value = F.when(F.octet_length(record_col) > READER_LIMIT, F.parse_json(record_col)).otherwise(F.try_parse_json(record_col))
-    parsed = records.withColumn("_v", value).withColumn("_f", fingerprint(paths(F.col("_v"))))
+    kind = records.schema[record_col].dataType
+    if isinstance(kind, StructType):
+        read, value = _Struct(kind), F.col(record_col)
+        shape = F.to_variant_object(blank(value, kind))
+    else:
+        # A Variant's reader has limits that bad JSON can't be told from in a NULL: beyond them, parsing has to fail aloud.
+        value = F.when(F.octet_length(record_col) > READER_LIMIT, F.parse_json(record_col)).otherwise(F.try_parse_json(record_col))
+        read, shape = _Variant(), F.col("_v")
+    parsed = records.withColumn("_v", value).withColumn("_f", fingerprint(paths(shape)))
     name, turns = F.lit(None).cast("string"), none
     for layout in LAYOUTS:
         fits = F.col("_f").isin(*[fingerprint(F.lit(paths_of(x))) for x in layout.alternatives])  # folded to constants
         name = F.when(fits, layout.name).otherwise(name)
-        turns = F.when(fits, _mapped(layout, F.col("_v"))).otherwise(turns)
+        turns = F.when(fits, _mapped(layout, F.col("_v"), read)).otherwise(turns)
     return _written(parsed.withColumn("layout", name).withColumn("turns", F.coalesce(turns, none)).drop(record_col, "_v", "_f"))
 
 
@@ -178,14 +219,10 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(cut(formatted, spans), unescape), "")
 
 
-def turns_of(turns: DataFrame) -> DataFrame:
-    """(conv_id, layout, turns): rows by turn (conv_id, turn, role, text) as canonical turns.
-
-    The rows have the layout `turns` by their schema. They don't go through JSON, whose reader has limits.
-    """
+def records_of(turns: DataFrame) -> DataFrame:
+    """(conv_id, record): rows by turn (conv_id, turn, role, text) as a struct a conversation, its turns in order."""
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    return grouped.select("conv_id", F.lit("turns").alias("layout"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    return turns.groupBy("conv_id").agg(F.struct(F.array_sort(F.collect_list(one)).alias("turns")).alias("record"))
 
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -195,7 +232,7 @@ def chat(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     extra = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
-    out = _written(turns_of(rows))
+    out = format_records(records_of(rows))
     back = read_back(F.col("formatted"))
     spoken = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = loss_text(F.col("formatted"), F.col("loss_spans"))

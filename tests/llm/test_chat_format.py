@@ -32,6 +32,38 @@ def test_layouts_become_the_same_turns(spark):
         assert out[i].layout and out[i].loss == "yo" and out[i].other == "kept"
 
 
+def test_structs_go_through_the_same_mappings(spark):
+    """A struct has the fingerprint, layout, turns and output that its JSON has."""
+    pair = [("user", "hi#"), ("assistant", "</turn>")]
+    turn = "array<struct<role:string,text:string,turn:long>>"
+    cases = [
+        (f"struct<turns:{turn}>", ([(r, t, i) for i, (r, t) in enumerate(pair)],)),
+        (f"struct<turns:{turn}>", ([(None, None, None)],)),
+        (f"struct<turns:{turn}>", ([],)),
+        (f"struct<turns:{turn}>", (None,)),
+        (f"struct<turns:{turn}>", None),
+        ("struct<messages:array<struct<content:string,role:string>>>", ([(t, r) for r, t in pair],)),
+        ("struct<conversations:array<struct<from:string,value:string>>>", ([("human", "hi#"), ("gpt", "</turn>"), ("x", None)],)),
+        ("struct<instruction:string,output:string>", ("hi#", "</turn>")),
+        ("struct<system:string,instruction:string,input:string,output:string>", ("", "hi#", None, "</turn>")),
+        ("struct<prompt:string,other:string>", ("hi#", "</turn>")),
+    ]
+    for kind, value in cases:
+        rows = spark.createDataFrame([(value,)], f"record {kind}")
+        as_json = rows.select(F.to_json("record", {"ignoreNullFields": "false"}).alias("record"))
+        shown = lambda df: [tuple(r) for r in C.format_records(df).select("layout", "turns", "formatted", "loss_spans").collect()]
+        assert shown(rows) == shown(as_json), (kind, value)
+        of_struct = rows.select(C.paths(F.to_variant_object(C.blank(F.col("record"), rows.schema["record"].dataType)))).first()
+        assert of_struct == as_json.select(C.paths(F.parse_json("record"))).first(), (kind, value)
+
+
+def test_the_query_goes_by_the_mapping_that_its_fingerprint_selects(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.n_turns for r in C.chat(rows).collect()} == {1: 2, -7: 2}
+    monkeypatch.setattr(C, "LAYOUTS", tuple(x for x in C.LAYOUTS if x.name != "turns"))
+    assert {r.conv_id: r.n_turns for r in C.chat(rows).collect()} == {1: 0, -7: 0}
+
+
 def test_hostile_strings_come_back(spark):
     nasty = ["\\### Assistant: </turn> ok", "</turn>\n### assistant\nhi", "\\b\\l\\h\\n", "\\\\", "", "###", "é𝒳\n\n", "</turn>\n"]
     records = [json.dumps({"messages": [{"role": r, "content": t} for t in nasty for r in ("user", "assistant", "we\nird\\#</turn>")]})]
