@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -15,6 +16,10 @@ from pyspark.sql.window import Window
 #: Rows a side may have to be broadcast; each caller's rows are of fixed width.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of an Arrow batch on its way to Python: it stands in the JVM, off its heap, and in the worker, in several forms each.
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: White space and words as every operator here counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +62,31 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system, as workers live on after a task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded by their bytes, however long texts are (unless the session sets
+    a size of its own); the worker's free memory goes back when a task ends."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+    def and_give_back(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(and_give_back, schema)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, mix64, runs_of, settle, small, text_bytes
+from .common import discard, map_arrow, mix64, runs_of, settle, small, text_bytes
 
 SHINGLE = 5
 BINS = 192
@@ -225,7 +225,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
         dealt = joined.join(centres.withColumnRenamed("doc_id", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         joined = dealt.join(needed.select(F.col("doc_id").alias(end), "part", F.col("text").alias("t" + end)), [end, "part"]).drop("part")
     joined = joined.select("a", "b", "ta", "tb")
-    return joined.mapInArrow(_confirm(percent), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
+    return map_arrow(joined, _confirm(percent), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def _rarest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, percent: in
     the smaller set, knows ny >= nx; y is listed for each class of sizes that x may have. Within a class, pairs inside
     the component that holds most rows of a shingle are never formed, and the x of common shingles are salted.
     """
-    own = texts.join(small(crowded), "doc_id", "left_semi").mapInArrow(_sets, "id long, n long, s array<long>").withColumn("v", F.xxhash64("s")).dropDuplicates(["id", "v"])
+    own = map_arrow(texts.join(small(crowded), "doc_id", "left_semi"), _sets, "id long, n long, s array<long>").withColumn("v", F.xxhash64("s")).dropDuplicates(["id", "v"])
     size = lambda n: F.floor(F.log(n) / math.log(SIZE_CLASS)).cast("int")
     own = settle(own.where("n > 0").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("k", size(F.col("n"))))
     flat = settle(own.select("id", "v", "n", "label", "k", F.explode("s").alias("g")))
@@ -359,7 +359,7 @@ def _rarest(texts: DataFrame, crowded: DataFrame, labels: DataFrame, percent: in
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = settle(texts.mapInArrow(_sketch(percent), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
+    sketches = settle(map_arrow(texts, _sketch(percent), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"))
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     sets = settle(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
     members = sets.select("id", "n_shingles", F.explode("keys").alias("key"))
@@ -387,7 +387,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if level == last:
             test(_rarest(texts, crowded, labels, percent))
             break
-        again = texts.join(small(crowded), "doc_id", "left_semi").mapInArrow(_again(level + 1, percent), "id long, n_shingles long, keys array<long>")
+        again = map_arrow(texts.join(small(crowded), "doc_id", "left_semi"), _again(level + 1, percent), "id long, n_shingles long, keys array<long>")
         members = settle(again.select("id", "n_shingles", F.explode("keys").alias("key")))
     of_sets = settle(sets.join(labels, "id", "left").select("n_shingles", "d1", "d2", F.coalesce("label", "id").alias("label")))
     out = sketches.drop("keys").join(of_sets, ["n_shingles", "d1", "d2"], "left")

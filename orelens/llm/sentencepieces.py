@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, runs_of, text_bytes
+from .common import free_name, map_arrow, runs_of, text_bytes
 
 MARK = "▁"
 #: A character that only byte pieces cover scores this much less than the worst piece, as published.
@@ -436,7 +436,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
     read = docs.select(*keep, *[text_col] * (text_col not in keep))
     kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
-    return read.mapInArrow(_encoder(shared, read.columns.index(text_col), keep, verify), ", ".join([kinds, *(f"`{n}` {k}" for n, k in zip(_own_names(keep, verify), ("array<int>", "long", "boolean")))]))
+    return map_arrow(read, _encoder(shared, read.columns.index(text_col), keep, verify), ", ".join([kinds, *(f"`{n}` {k}" for n, k in zip(_own_names(keep, verify), ("array<int>", "long", "boolean")))]))
 
 
 def decode(encoded: DataFrame, model_path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -455,4 +455,4 @@ def decode(encoded: DataFrame, model_path: str, keep: list[str], ids_col: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], [*keep, "text"])
 
     kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
-    return read.mapInArrow(run, f"{kinds}, text string")
+    return map_arrow(read, run, f"{kinds}, text string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import map_arrow, settle
 
 #: Labelled rows used for training: those with the smallest hashes of their id.
 SAMPLE_ROWS = 20_000
@@ -187,11 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n1, n0 = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n1 or not n0:
         return Model(curve=((50.0 if n1 else -50.0), 0.0))
-    counts = sample.mapInArrow(_count, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c0"))
+    counts = map_arrow(sample, _count, "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c0"))
     model = Model(*_odds(counts, n1, n0))
     shared = spark.sparkContext.broadcast(model)
     scan = _scanner(shared, 1, None)
-    rows = settle(sample.select("toxic", "text").mapInArrow(scan, "toxic int, n long, scores array<double>").withColumn("top", F.coalesce(F.array_max("scores"), F.lit(0.0))))
+    rows = settle(map_arrow(sample.select("toxic", "text"), scan, "toxic int, n long, scores array<double>").withColumn("top", F.coalesce(F.array_max("scores"), F.lit(0.0))))
     tops = np.array([r[0] for r in rows.where("toxic = 0").select("top").collect()])  # a number for each row of the bounded sample
     clean = rows.where((F.col("toxic") == 0) & (F.col("top") <= float(np.quantile(tops, 1 - MISLABELLED))))
     total = clean.agg(F.sum("n")).first()[0]
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model, *keep: str, prefix: str = "") -> DataFr
     read = docs.select(*keep, *["text"] * ("text" not in keep))
     kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
     scan = _scanner(shared, read.columns.index("text"), list(keep), prefix)
-    return read.mapInArrow(scan, f"{kinds}, {prefix}score double, {prefix}evidence double, {prefix}passages array<struct<start:int,end:int,log_expect:double>>")
+    return map_arrow(read, scan, f"{kinds}, {prefix}score double, {prefix}evidence double, {prefix}passages array<struct<start:int,end:int,log_expect:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orelens.llm import sentencepieces as S
+from orelens.llm.common import BATCH_BYTES
 from orelens.llm.queries import tokenizer_path
 
 
@@ -149,3 +152,27 @@ def test_unigram_models_equal_the_library(tmp_path):
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == theirs.encode(t), (t, theirs.encode(t, out_type=str))
         assert data[ends[k] : ends[k + 1]].tobytes().decode() == normal[k]
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    """Sixty texts of 200,000 characters in one partition: no batch that a worker gets holds much more than BATCH_BYTES."""
+
+    def sizes(*_):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(n, pa.list_(pa.int32())), pa.array([batch.nbytes] * n, pa.int64())], ["doc_id", "ids", "n_tokens"])
+
+        return run
+
+    monkeypatch.setattr(S, "_encoder", sizes)
+    docs = spark.range(60, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 200_000).alias("text"))
+    held = lambda: [r.n_tokens for r in S.encode(docs, tokenizer_path(), ["doc_id"]).collect()]
+    got = held()
+    assert len(got) == 60 and max(got) < BATCH_BYTES + 500_000
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(setting, "8m")  # a session's own size holds
+    try:
+        assert max(held()) > 2 * BATCH_BYTES
+    finally:
+        spark.conf.unset(setting)
